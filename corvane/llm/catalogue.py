@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import mixing, sharding
+from corvane.llm import bpe, mixing, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
+#: The rank file that the BPE query encodes by, a name of public_tokenizers.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir), words=4, budget=4)
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op9_shard)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_secrets, op5_byte_bpe, op8_simhash, op9_shard)}
 ORACLES: dict[str, str] = {}
