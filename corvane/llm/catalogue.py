@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, mixing, secrets, sharding, simhash
+from corvane.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_table(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -33,5 +37,9 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_secrets, op5_byte_bpe, op8_simhash, op9_shard)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_secrets, op4_fingerprints, op5_byte_bpe, op8_simhash, op9_shard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

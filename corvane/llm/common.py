@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once for each context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_corvane_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as top:
+        shutil.copytree(package, Path(top, "in", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+        name = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="corvane-code-"), package.name)), "zip", Path(top, "in"))
+    context.addPyFile(name)
+    context._corvane_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -44,6 +59,7 @@ def n_words(text: Column) -> Column:
 def map_batches(df: DataFrame, fn: Callable[..., list], schema: StructType, cut: int = 0) -> DataFrame:
     """fn(*columns as lists) -> a list of columns, one Arrow batch after another; cut > 0 slices batches to so many rows."""
     arrow = to_arrow_schema(schema)
+    shipped(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.common import map_batches, written
+from corvane.llm.common import map_batches, shipped, written
 
 #: Places and widths of the blocks, from the top bit.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -197,6 +197,7 @@ def near_stars(nodes: DataFrame, budget: int = 4) -> DataFrame:
         if len(task):
             yield _edges(*_stars(task, keys, budget))
 
+    shipped(nodes.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
