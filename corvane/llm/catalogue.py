@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, fingerprints, mixing, quality, secrets, sharding, simhash
+from corvane.llm import bpe, classifier, fingerprints, mixing, quality, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_secrets, op4_fingerprints, op5_byte_bpe, op8_simhash, op9_shard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op8_simhash, op9_shard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
