@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, classifier, fingerprints, mixing, quality, secrets, sharding, simhash
+from corvane.llm import bpe, classifier, fingerprints, mixing, quality, repeats, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_table(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir), words=4, budget=4)
 
@@ -45,5 +49,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op8_simhash, op9_shard, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, applied to documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op7_repeats, op8_simhash, op9_shard, op10_quality_rules, pipeline)}
 ORACLES: dict[str, str] = {}
