@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, classifier, fingerprints, mixing, quality, repeats, secrets, sharding, simhash
+from corvane.llm import bpe, chat, classifier, fingerprints, mixing, quality, repeats, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_table(documents(spark, sf_dir))
 
@@ -56,5 +60,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op7_repeats, op8_simhash, op9_shard, op10_quality_rules, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_chat, op7_repeats, op8_simhash, op9_shard, op10_quality_rules, pipeline)}
+ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE}
