@@ -1 +1 @@
-
+"""Queries over the provided tables, each with its oracle."""

@@ -1 +1 @@
-
+"""Streaming adapters."""
