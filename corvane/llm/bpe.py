@@ -5,7 +5,8 @@ tie. The root thus names the leftmost pair of the least rank. A merge takes one
 ones and sets three leaves: the pair it began, the pair before it and the one it swallowed. That is logarithmic in the
 pre-token's length, so a run of a hundred thousand letters takes as long a letter as a word does.
 
-Equal pre-tokens are encoded once for each worker: a bounded dictionary keeps their ids.
+Short pre-tokens are encoded many at once: the same trees, one a row of an array, with the leaves and inner nodes of all
+rows updated together. Equal pre-tokens are encoded once for each worker: a bounded dictionary keeps their ids.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -22,8 +24,10 @@ from corvane.llm.common import map_batches
 
 #: Pre-tokens kept by a worker; beyond it the dictionary starts anew.
 CACHE = 400_000
-#: Longer pre-tokens aren't kept, so that the dictionary's memory is bounded.
+#: Longer pre-tokens aren't kept, so that the dictionary's memory is bounded, and are encoded one by one.
 CACHE_BYTES = 64
+#: Pre-tokens whose trees are updated together.
+TOGETHER = 20_000
 NONE = 1 << 40
 
 
@@ -36,9 +40,91 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.kept: dict[str, tuple[str, int, bytes]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        return self.split(text)
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = sorted((ranks_a << 32 | ranks_b, rank) for token, rank in self.ranks.items() for ranks_a, ranks_b in self._halves(token))
+        self.pair_keys = np.array([k for k, _ in pairs] or [-1], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs] or [0], np.int64)
+
+    def _halves(self, token: bytes) -> list[tuple[int, int]]:
+        """Ids of every two tokens that make up a token."""
+        get = self.ranks.get
+        found = ((get(token[:k]), get(token[k:])) for k in range(1, len(token)))
+        return [(a, b) for a, b in found if a is not None and b is not None]
+
+    def pair_leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs of ids a, b that begin at places at: rank and place, or NONE."""
+        key = a << 32 | b
+        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[found] == key) & (a >= 0) & (b >= 0), self.pair_ranks[found] << 8 | at, NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of pre-tokens of at most CACHE_BYTES bytes that are no tokens themselves, all at once."""
+        rows = len(pieces)
+        n = np.fromiter(map(len, pieces), np.int64, rows)
+        size = 1 << int(n.max() - 1).bit_length()
+        ids = np.full((rows, size + 1), -1, np.int64)
+        ids[np.arange(size + 1) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.arange(1, size + 2), (rows, 1))
+        before = after - 2
+        tree = np.full((rows, 2 * size), NONE, np.int64)
+        tree[:, size:] = self.pair_leaves(ids[:, :-1], ids[:, 1:], np.arange(size))
+        level = size >> 1
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level >>= 1
+        # From here on all arrays are flat; a live row is known by where it begins in each of them.
+        wide = size + 1
+        ids, after, before, tree = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
+        live = np.arange(rows)
+        while True:
+            top = tree[live * (2 * size) + 1]
+            more = top < NONE
+            live, top = live[more], top[more]
+            if not len(live):
+                break
+            at, root = live * wide, live * (2 * size)
+            i, rank = top & 255, top >> 8
+            j = after[at + i]
+            nxt = after[at + j]
+            back = before[at + i]
+            ids[at + i], ids[at + j], after[at + i] = rank, -1, nxt
+            before[at + np.minimum(nxt, size)] = i
+            # Places past the end have id -1, so no pair with them has a rank; so has place -1, which stands for i itself.
+            led = np.where(back >= 0, back, i)
+            both = np.concatenate((i, led))
+            left = np.concatenate((rank, ids[at + led]))
+            right = np.concatenate((ids[at + np.minimum(nxt, size)], np.where(back >= 0, rank, -1)))
+            leaves = self.pair_leaves(left, right, both)
+            tree[root + size + j] = NONE
+            tree[np.concatenate((root, root)) + size + both] = leaves
+            lone = back < 0
+            tree[root[lone] + size + i[lone]] = leaves[: len(i)][lone]
+            root, node = np.concatenate((root, root, root)), np.concatenate((j, both)) + size
+            for _ in range(size.bit_length() - 1):
+                node >>= 1
+                under = root + 2 * node
+                tree[root + node] = np.minimum(tree[under], tree[under + 1])
+        ids = ids.reshape(rows, wide)
+        left = ids >= 0
+        flat = iter(ids[left].tolist())
+        return [[next(flat) for _ in range(k)] for k in left.sum(1).tolist()]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the short ones of pieces into the dictionary together."""
+        if len(self.kept) + len(pieces) > CACHE:
+            self.kept.clear()
+        new = [(p, p.encode()) for p in pieces if p not in self.kept]
+        tokens = [(p, [self.ranks[raw]], raw) for p, raw in new if raw in self.ranks]
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for p, raw in new:
+            if raw not in self.ranks and len(raw) <= CACHE_BYTES:
+                groups.setdefault((len(raw) - 1).bit_length(), []).append((p, raw))
+        for group in groups.values():
+            for at in range(0, len(group), TOGETHER):
+                part = group[at : at + TOGETHER]
+                tokens += [(p, ids, raw) for (p, raw), ids in zip(part, self.merge_many([raw for _, raw in part]), strict=True)]
+        for p, ids, _ in tokens:
+            self.kept[p] = (",".join(map(str, ids)), len(ids), self.decode(ids))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -131,14 +217,16 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id",
     def run(ids: list, texts: list) -> list:
         e = encoder(path, pattern)
         out: list[tuple[int, str, str]] = []
-        for t in texts:
-            found = [e.known(p) for p in e.split(t or "")]
+        cut = [e.split(t or "") for t in texts]
+        e.learn(set().union(*cut))
+        for pieces in cut:
+            found = [e.known(p) for p in pieces]
             named = hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest()
             out.append((sum([x[1] for x in found]), named, hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()))
         return [ids, *([x[k] for x in out] for k in range(3))]
 
     schema = StructType([docs.schema[id], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
-    return map_batches(docs.select(id, text), run, schema, cut=1000)
+    return map_batches(docs.select(id, text), run, schema, cut=500)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
@@ -146,8 +234,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
 
     def run(*columns: list) -> list:
         e = encoder(path, pattern)
+        e.learn(set().union(*(e.split(t or "") for t in columns[-1])))
         tokens = [e.encode(t) for t in columns[-1]]
         return [*columns[:-1], [len(x) for x in tokens], tokens]
 
     schema = StructType([*(docs.schema[k] for k in keep), StructField("n_tokens", LongType()), StructField("tokens", ArrayType(IntegerType(), False))])
-    return map_batches(docs.select(*keep, text), run, schema, cut=1000)
+    return map_batches(docs.select(*keep, text), run, schema, cut=500)
