@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.geom import total
+from corvane.functions.geom import let, total
 
 
 def schedule(kind: str, t: Column, power: float = 2.0) -> Column:
@@ -55,7 +55,7 @@ def guided_product(cond: Column, null: Column, gamma: float, least: float = 1e-1
 
 
 def normalised(p: Column) -> Column:
-    return F.transform(p, lambda v: v / total(p))
+    return let(total(p), lambda s: F.transform(p, lambda v: v / s))
 
 
 def uniform_transition(p: Column, current: Column, t: Column, dt: float, noise: float, eps: float = 1e-5) -> Column:
@@ -66,7 +66,9 @@ def uniform_transition(p: Column, current: Column, t: Column, dt: float, noise:
     here = F.get(p, current)
     rate = dt * (1 + eta + eta * (s - 1) * t) / (1 - t)
     off = F.transform(p, lambda v, i: F.when(i == current, F.lit(0.0)).otherwise(F.least(F.lit(1.0), rate * v + dt * eta * here)))
-    return F.transform(off, lambda v, i: F.when(i == current, F.greatest(F.lit(0.0), 1 - total(off))).otherwise(v))
+    rest = lambda z: F.greatest(F.lit(0.0), 1 - z["sum"])
+    filled = lambda z: F.transform(z["off"], lambda v, i: F.when(i == current, rest(z)).otherwise(v))
+    return let(off, lambda o: let(F.struct(o.alias("off"), total(o).alias("sum")), filled))
 
 
 def mask_transition(masked: Column, t: Column, dt: float, noise: float) -> Column:
@@ -96,8 +98,8 @@ def pick(p: Column, u: Column) -> Column:
         lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["all"], F.array(s["sum"] + v)).alias("all")),
         lambda s: s["all"],
     )
-    over = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(upto, i) > u * total(p))
-    return F.coalesce(F.get(over, F.lit(0)), F.size(p) - 1)
+    place = lambda s: F.get(F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(s, i) > u * F.element_at(s, -1)), F.lit(0))
+    return F.coalesce(let(upto, place), F.size(p) - 1)
 
 
 def interpolated(prior: Column, data: Column, t: Column | float) -> Column:

@@ -28,12 +28,18 @@ def centroid(points: Column) -> Column:
     return F.struct(*(mean(a).alias(a) for a in AXES))
 
 
+def let(value: Column, body) -> Column:
+    """body(v) with v worked out once: expressions inside a lambda are worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shift(points: Column, by: Column, sign: int = 1) -> Column:
-    return F.transform(points, lambda p: F.struct(*((p[a] + sign * by[a]).alias(a) for a in AXES)))
+    return let(by, lambda b: F.transform(points, lambda p: F.struct(*((p[a] + sign * b[a]).alias(a) for a in AXES))))
 
 
 def scale(points: Column, by: Column | float) -> Column:
-    return F.transform(points, lambda p: F.struct(*((p[a] * by).alias(a) for a in AXES)))
+    by = F.lit(by) if isinstance(by, float | int) else by
+    return let(by, lambda b: F.transform(points, lambda p: F.struct(*((p[a] * b).alias(a) for a in AXES))))
 
 
 def centred(points: Column) -> Column:
@@ -67,7 +73,7 @@ def norm(p: Column) -> Column:
 
 def unit(p: Column, least: float = 1e-8) -> Column:
     """p at length one; the zero vector where its length is at most least."""
-    return F.struct(*(F.when(norm(p) > least, p[a] / norm(p)).otherwise(0.0).alias(a) for a in AXES))
+    return let(norm(p), lambda n: F.struct(*(F.when(n > least, p[a] / n).otherwise(0.0).alias(a) for a in AXES)))
 
 
 def distance(p: Column, q: Column, eps: float = 0.0) -> Column:
@@ -108,9 +114,8 @@ def distance_matrix(p: Column, q: Column, eps: float = 1e-6) -> Column:
 def standardised(points: Column) -> Column:
     """Points divided by the population standard deviation of all their coordinates; they are not centred."""
     flat = F.flatten(F.transform(points, lambda p: F.array(*(p[a] for a in AXES))))
-    mean = total(flat) / F.size(flat)
-    deviation = F.sqrt(total(F.transform(flat, lambda v: (v - mean) * (v - mean))) / F.size(flat))
-    return scale(points, 1 / deviation)
+    spread = lambda m: F.sqrt(total(F.transform(flat, lambda v: (v - m) * (v - m))) / F.size(flat))
+    return scale(points, 1 / let(total(flat) / F.size(flat), spread))
 
 
 def aligned_rmsd(p: Column, q: Column, steps: int = 50) -> Column:
@@ -120,14 +125,16 @@ def aligned_rmsd(p: Column, q: Column, steps: int = 50) -> Column:
     """
     a, b = centred(p), centred(q)
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    return F.element_at(F.transform(F.array(F.struct(pairs.alias("w"), total(F.transform(a, lambda v: dot(v, v))).alias("ga"), total(F.transform(b, lambda v: dot(v, v))).alias("gb"))), lambda s: _from_pairs(s, steps)), 1)
+    squares = lambda c: total(F.transform(c, lambda v: dot(v, v)))
+    return let(F.struct(pairs.alias("w"), squares(a).alias("ga"), squares(b).alias("gb")), lambda s: _from_pairs(s, steps))
 
 
 def _from_pairs(s: Column, steps: int) -> Column:
-    sums = {f"{i}{j}": total(F.transform(s["w"], lambda w, i=i, j=j: w["a"][i] * w["b"][j])) for i in AXES for j in AXES}
+    product = lambda i, j: lambda w: w["a"][i] * w["b"][j]
+    sums = {f"{i}{j}": total(F.transform(s["w"], product(i, j))) for i in AXES for j in AXES}
     sums |= {"n": F.size(s["w"]), "g": s["ga"] + s["gb"]}
     # Bound once as a struct, so that each sum is worked out once.
-    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in sums.items()))), lambda m: rmsd_from_sums(m, steps)), 1)
+    return let(F.struct(*(v.alias(k) for k, v in sums.items())), lambda m: rmsd_from_sums(m, steps))
 
 
 def rmsd_from_sums(m: Column, steps: int = 50) -> Column:
@@ -143,7 +150,6 @@ def rmsd_from_sums(m: Column, steps: int = 50) -> Column:
     ]
     c0 = determinant(rows)
     start = m["g"] / 2
-    poly = F.array(F.struct(c2.alias("c2"), c1.alias("c1"), c0.alias("c0")))
 
     def solve(c: Column) -> Column:
         def step(v: Column, _: Column) -> Column:
@@ -154,7 +160,7 @@ def rmsd_from_sums(m: Column, steps: int = 50) -> Column:
         top = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start.cast("double"), step)
         return F.sqrt(F.greatest(F.lit(0.0), (m["g"] - 2 * top) / m["n"]))
 
-    return F.element_at(F.transform(poly, solve), 1)
+    return let(F.struct(c2.alias("c2"), c1.alias("c1"), c0.alias("c0")), solve)
 
 
 def determinant(rows: list[list]) -> Column:

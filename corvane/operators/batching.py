@@ -72,11 +72,21 @@ def concatenated(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     return numbered(out, ["_turn", key], "global_id").drop("_turn")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a gapless number from 0 by order: ranges are counted, counts summed up, rows numbered within ranges."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the sum of value over all rows before each, by order.
+
+    Rows are dealt by ranges of the order; a range's sum is one row, the sums before each range are added up, and the
+    running sum is then taken within ranges only.
+    """
+    ranged = rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_at", within).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("_at", within).join(F.broadcast(starts), "_part")  # one row for each range
+    return out.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start", "_value")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with a gapless number from 0 by order."""
+    return running(rows, order, F.lit(1).cast("long"), name)

@@ -44,31 +44,52 @@ def distance_join(left: DataFrame, right: DataFrame, axes: list[str], reach: flo
     return out.drop(*(f"_c{i}" for i in range(len(axes))), *(f"_d{i}" for i in range(len(axes))))
 
 
-def jaccard_pairs(sets: DataFrame, id: str, least: float) -> DataFrame:
-    """(a, b, common, score) of pairs a < b whose sets of (id, token) have a Tanimoto score of at least `least` > 0.
+def token_sets(sets: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets of (id, token): (rep, tokens, members), and the membership (id, rep); rep is the least id of a set."""
+    whole = sets.groupBy(id).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    reps = whole.groupBy("tokens").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("members"))
+    return reps.select("rep", "tokens", "members"), whole.join(reps, "tokens").select(id, "rep")
 
-    Prefix filter: with tokens ordered by rarity, a pair that scores so much shares one of the first
-    size - ceil(least size) + 1 tokens of each. Only these meet, so frequent tokens make no pairs; a pair's score is
-    then counted from its full sets.
+
+def jaccard_pairs(reps: DataFrame, least: float) -> DataFrame:
+    """(a, b, common, score) of pairs a < b of distinct sets (rep, tokens) whose Tanimoto score is at least `least` > 0.
+
+    Equal sets are one row of token_sets(), so copies make no pairs. Prefix filter: with tokens ordered by rarity, a
+    pair that scores so much shares one of the first size - ceil(least size) + 1 tokens of each. Only these meet, so
+    frequent tokens make no pairs; a pair's score is then counted from its full sets.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
-    sets = sets.select(id, "token").distinct()
-    rarity = sets.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    order = Window.partitionBy(id).orderBy("_df", "token")
-    rows = sets.join(rarity, "token").withColumns({"_turn": F.row_number().over(order), "_size": F.count(F.lit(1)).over(Window.partitionBy(id))})
-    head = rows.where(F.col("_turn") <= F.col("_size") - F.ceil(F.lit(float(least)) * F.col("_size")) + 1).select(id, "token", "_size")
-    a = head.select(F.col(id).alias("a"), "token", F.col("_size").alias("na"))
-    b = head.select(F.col(id).alias("b"), "token", F.col("_size").alias("nb"))
+    rows = reps.select("rep", F.size("tokens").alias("_size"), F.explode("tokens").alias("token"))
+    rarity = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    order = Window.partitionBy("rep").orderBy("_df", "token")
+    rows = rows.join(rarity, "token").withColumn("_turn", F.row_number().over(order))
+    head = rows.where(F.col("_turn") <= F.col("_size") - F.ceil(F.lit(float(least)) * F.col("_size")) + 1).select("rep", "token", "_size")
+    a = head.select(F.col("rep").alias("a"), "token", F.col("_size").alias("na"))
+    b = head.select(F.col("rep").alias("b"), "token", F.col("_size").alias("nb"))
     close = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    whole = sets.groupBy(id).agg(F.collect_set("token").alias("t"))
-    both = pairs.join(whole.select(F.col(id).alias("a"), F.col("t").alias("ta")), "a").join(whole.select(F.col(id).alias("b"), F.col("t").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    both = both.withColumn("common", common.cast("long"))
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return both.withColumn("score", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common"))).where(F.col("score") >= least).select("a", "b", "common", "score")
 
 
+def containing(rows: DataFrame, passages: DataFrame, id: str, text: str, passage_id: str, passage: str, words: int = 5) -> DataFrame:
+    """(id, passage_id): rows whose text contains a passage. Passages need `words` words at least.
+
+    A passage is looked for only where its first words occur: runs of so many words are joined by equality, then the
+    whole passage is compared.
+    """
+    cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    sized = rows.select(id, text, cut(F.col(text)).alias("_w")).where(F.size("_w") >= words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
+    keyed = sized.select(id, F.explode(F.array_distinct(runs)).alias("_run"))
+    sought = passages.select(passage_id, passage, cut(F.col(passage)).alias("_p")).where(F.size("_p") >= words)
+    sought = sought.select(passage_id, passage, F.xxhash64(F.array_join(F.slice("_p", 1, words), " ")).alias("_run"))
+    met = keyed.join(sought, "_run").select(id, passage_id, passage).distinct()
+    return met.join(rows.select(id, text), id).where(F.contains(F.col(text), F.col(passage))).select(id, passage_id)
+
+
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kind: str) -> DataFrame:
     """For each left row, the right row of the same kind that shares most members with it; the least right_id of equals.
 
@@ -80,17 +101,17 @@ def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return best.select(left_id, kind, f"b.{right_id}", "b.overlap")
 
 
-def locate(points: DataFrame, spans: DataFrame, at: str) -> DataFrame:
-    """The span (start <= at < stop) of each global place; spans: start, stop and any other columns.
+def locate(points: DataFrame, spans: DataFrame, at: str, width: int) -> DataFrame:
+    """The span (start <= at < stop) of each global place, with local = at - start; spans: start, stop, other columns.
 
-    Places and starts are merged in order and the last start is carried forward, rather than compared with each other.
+    The line is cut into cells of the given width (about a span's length); a span goes to each cell it touches, and
+    places meet only the spans of their cell. Empty spans hold no place.
     """
-    marks = spans.select(F.col("start").alias(at), F.struct(*spans.columns).alias("_span"), F.lit(0).alias("_kind"))
-    asks = points.select(F.col(at), F.lit(None).cast(marks.schema["_span"].dataType).alias("_span"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_ask"))
-    both = marks.withColumn("_ask", F.lit(None).cast(asks.schema["_ask"].dataType)).unionByName(asks)
-    carried = F.last("_span", ignorenulls=True).over(Window.orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = both.withColumn("_found", carried).where("_kind = 1 and _found is not null")
-    return out.where(F.col(at) < F.col("_found.stop")).select("_ask.*", *(F.col(f"_found.{c}").alias(c) for c in spans.columns), (F.col(at) - F.col("_found.start")).alias("local"))
+    cells = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    marked = spans.where("stop > start").withColumn("_cell", F.explode(cells))
+    asked = points.withColumn("_cell", F.floor(F.col(at) / width))
+    inside = (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))
+    return asked.join(marked, "_cell").where(inside).withColumn("local", F.col(at) - F.col("start")).drop("_cell")
 
 
 def remap_all(rows: DataFrame, mapping: DataFrame, id: str, old: str, new: str) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corvane.plans import q_ensembles, q_geometry, q_pairs, q_splits  # noqa: F401
+from corvane.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
