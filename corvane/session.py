@@ -10,10 +10,10 @@ TABLES = (
 )
 
 
-def local_session(cores: int | str = 8, memory: str = "12g", app: str = "corvane") -> SparkSession:
-    """A local[cores] session with AQE on, UTC and one shuffle partition a core."""
+def local_session(cores: int | str = 8, memory: str = "12g", app: str = "corvane", shared: str | None = None) -> SparkSession:
+    """A local[cores] session with AQE on, UTC and one shuffle partition a core; shared is its spark.checkpoint.dir."""
     n = 8 if cores == "*" else int(cores)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
@@ -22,8 +22,10 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "corvane
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

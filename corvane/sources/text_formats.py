@@ -111,7 +111,7 @@ def parse_pdb(text: str) -> dict:
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """A row for each PDB file: atoms of its first model, and its chains sorted and joined by _."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

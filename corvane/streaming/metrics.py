@@ -11,7 +11,8 @@ def windowed(events: DataFrame, time: str, width: str, metrics: dict[str, Column
 
     Exact distinct counts can't be merged window by window: use approx_count_distinct in their place.
     """
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if events.isStreaming else rows
     grouped = rows.groupBy(F.window(time, width).alias("_w"), *(by or [])).agg(*(c.alias(k) for k, c in metrics.items()))
     return grouped.select(F.col("_w.start").alias("window_start"), *(by or []), *metrics)
 
