@@ -20,10 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -51,6 +51,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Columns of documents; stages hold all others aside.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), with docs' columns in their order; those beyond DOCUMENT go under other names meanwhile, so none can clash."""
+    names = docs.columns
+    away = {c: f"__aside_{i}" for i, c in enumerate(names) if c not in DOCUMENT}
+    out = work(docs.withColumnsRenamed(away))
+    return out.select(*(F.col(away.get(c, c)).alias(c) for c in names))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null; JVM side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import n_words, written
+from corvane.llm.common import aside, n_words, written
 
 BINS = 1024
 
@@ -134,8 +134,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Whole documents only. Decisions meet the texts in the scan: only the documents of each source's last fine bin are
     shuffled with their texts.
     """
-    columns = docs.columns
     rows = written(keyed(docs.select("doc_id", "source", "text")).select("source", "_size", "_at"), "keyed")
-    out = take(keyed(docs), budgets(rows, **how), whole=True)
-    copies = F.col("epochs") + F.when((F.col("_part") > 0) & (F.col("_size") > 0), 1).otherwise(0)
-    return out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))).select(*columns)
+    budget = budgets(rows, **how)
+
+    def repeated(docs: DataFrame) -> DataFrame:
+        out = take(keyed(docs), budget, whole=True)
+        copies = F.col("epochs") + F.when((F.col("_part") > 0) & (F.col("_size") > 0), 1).otherwise(0)
+        return out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+
+    return aside(docs, repeated)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.common import map_batches, written
+from corvane.llm.common import aside, map_batches, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,21 +62,16 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
-def _names(docs: DataFrame) -> dict[str, str]:
-    """Names for the measures that clash with none of docs."""
-    return {k: f"_q_{k}" for k in (*BASE, "n_lines")}
-
-
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of measure() as columns _q_<name>; a map stage that shuffles nothing."""
-    names = _names(docs)
+    names = [f"_q_{k}" for k in (*BASE, "n_lines")]
     at = docs.columns.index(text)
 
     def run(*columns: list) -> list:
         found = [measure(t) for t in columns[at]]
         return [*columns, *([x[k] for x in found] for k in range(6))]
 
-    return map_batches(docs, run, StructType([*docs.schema, *(StructField(n, LongType()) for n in names.values())]))
+    return map_batches(docs, run, StructType([*docs.schema, *(StructField(n, LongType()) for n in names)]))
 
 
 def _ratio(a: Column, b: Column, by: int) -> Column:
@@ -169,4 +164,5 @@ def quality_table(docs: DataFrame, **how) -> DataFrame:
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns; texts are measured again in the scan instead of shuffled."""
     rows = written(measured(docs.select("lang", "source", "text")).drop("text"), "measured")
-    return judged(measured(docs), thresholds(rows, **how)).where("_q_kept").select(*docs.columns)
+    fences = thresholds(rows, **how)
+    return aside(docs, lambda d: judged(measured(d), fences).where("_q_kept"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.common import map_batches, shipped, written
+from corvane.llm.common import aside, map_batches, shipped, written
 
 #: Places and widths of the blocks, from the top bit.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -258,6 +258,10 @@ def first_of_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFra
     groups = near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_hash")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
     again = Window.partitionBy("_id", "_hash").orderBy("source", "lang")
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
+
+    def begin(docs: DataFrame) -> DataFrame:
+        kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+        return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1")
+
+    return aside(docs, begin)
