@@ -115,4 +115,4 @@ def condition_flags(rows: DataFrame, key: str, share: float, sources: list[str],
 def target(value: Column, draw: Column, spread: float, mean: float, std: float) -> tuple[Column, Column]:
     """(feature, mask) of a property target: value plus spread x draw, floored at 0, standardised; 0.0 and 0 where absent."""
     drawn = F.greatest(F.lit(0.0), value + spread * draw)
-    return F.coalesce((drawn - mean) / std, F.lit(0.0)), value.isNotNull().cast("int")
+    return F.when(value.isNotNull(), (drawn - mean) / std).otherwise(0.0), value.isNotNull().cast("int")
