@@ -39,9 +39,10 @@ def maximal(conversations: DataFrame) -> DataFrame:
     named = written(_turns(conversations).select("conv_id", "place", "one", "two", "_n"), "prefixes")
     whole = named.where("place = _n").select("conv_id", F.col("_n").cast("long").alias("n_turns"), "one", "two")
     inner = named.where("place < _n").select(F.col("place").cast("long").alias("n_turns"), "one", "two").distinct()
-    alone = whole.join(inner, ["n_turns", "one", "two"], "left_anti")
+    # Equal conversations become one row before the join: a minimum that combines before the shuffle.
     first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id"))
-    return alone.groupBy("n_turns", "one", "two").agg(first.alias("f")).select("f.conv_id", "n_turns")
+    whole = whole.groupBy("n_turns", "one", "two").agg(first.alias("f"))
+    return whole.join(inner, ["n_turns", "one", "two"], "left_anti").select("f.conv_id", "n_turns")
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
