@@ -113,11 +113,12 @@ REPEATED, WITNESS, OPEN = 0, 1, 2
 
 def marks(docs: DataFrame) -> DataFrame:
     """(k, s, core, kind) of phrases whose core occurs twice: repeated as a whole, the same and a witness, or open."""
-    # Counts combine before the shuffle; a hot core is one row a task there, and skewed joins are split at run time.
-    twice = phrases(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).where("n_core > 1")
+    # Counts combine before the shuffle, so a hot core is one row a task there. They are written, so that both sides of
+    # the joins are plain tables and a hot core's phrases can be split at run time.
+    twice = written(phrases(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).where("n_core > 1"), "twice")
     found = written(phrases(docs).join(twice, "core"), "candidates")
     exts = found.groupBy("core", "ext").agg(F.count(F.lit(1)).alias("n_ext"), F.min(F.struct("k", "s")).alias("one"))
-    exts = exts.where("n_ext > 1").withColumnsRenamed({"core": "_core", "ext": "_ext"})
+    exts = written(exts.where("n_ext > 1").withColumnsRenamed({"core": "_core", "ext": "_ext"}), "extensions")
     found = found.join(exts, (F.col("core") == F.col("_core")) & (F.col("ext") == F.col("_ext")), "left")
     witness = (F.col("n_ext") < F.col("n_core")) & (F.struct("k", "s") == F.col("one"))
     kind = F.when(F.col("n_ext").isNull(), OPEN).when(witness, WITNESS).otherwise(REPEATED)
