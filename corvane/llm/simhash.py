@@ -238,7 +238,8 @@ def near_groups(prints: DataFrame, budget: int = 4, id: str = "doc_id") -> DataF
     roots = components(near_stars(nodes.select("fp"), budget))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_low", F.coalesce("root", "fp").alias("group"))
     low = named.groupBy("group").agg(F.min("_low").alias("component_id"))
-    named = named.join(low, "group").select(F.col("fp").alias("_fp"), "group", "component_id")
+    # Written, so that a hot fingerprint's rows can be split at run time: both sides of the join are plain tables.
+    named = written(named.join(low, "group").select(F.col("fp").alias("_fp"), "group", "component_id"), "named")
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
