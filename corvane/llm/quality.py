@@ -26,7 +26,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST = 500
 SPREAD = 3.0
 #: (measure, floor, ceiling) of the upper fence, then (floor, ceiling) of the lower one or None. Per mille but for
-#: word_tenths, a tenth of a character. A text of under ten lines counts as ten for dup_line_pm.
+#: word_tenths, a tenth of a character. Texts of under ten lines and 150 words count as so many for
+#: dup_line_pm and repeat_pm: one line said twice is no fault of a short text.
 RULES = (
     ("symbol_pm", 60, 400, None),
     ("dup_line_pm", 300, 800, None),
@@ -83,7 +84,7 @@ def measures() -> dict[str, Column]:
     return {
         "symbol_pm": _ratio(c["n_symbols"], c["word_chars"], 1000),
         "dup_line_pm": _ratio(c["n_dup_lines"], F.greatest(c["n_lines"], F.lit(10)), 1000),
-        "repeat_pm": _ratio(c["n_repeat_words"], c["n_words"], 1000),
+        "repeat_pm": _ratio(c["n_repeat_words"], F.greatest(c["n_words"], F.lit(150)), 1000),
         "word_tenths": _ratio(c["word_chars"], c["n_words"], 10),
     }
 
