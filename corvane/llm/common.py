@@ -27,13 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/corvane-{uuid.uuid4().hex}/{name}"
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. sweep() removes it."""
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes this application's written tables; results that aren't yet written out are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package's code to the executors, once for each context, so that it need not be installed there."""
     context = spark.sparkContext

@@ -205,6 +205,16 @@ def test_pipeline_equals_brute_force(spark):
     assert got == want and got
 
 
+def test_sweep_removes_written_tables(spark, make):
+    from corvane.llm import common
+
+    table = common.written(make(["x"]), "swept")
+    assert table.count() == 1
+    common.sweep(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        table.count()
+
+
 def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
     import corpus_pipeline
 
