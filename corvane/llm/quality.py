@@ -163,7 +163,67 @@ def quality_table(docs: DataFrame, **how) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns; texts are measured again in the scan instead of shuffled."""
+    """The rows of docs that the rules keep, with docs' columns; texts are measured again in the scan instead of shuffled.
+
+    Nulls, repeated rows and empty tables are as in quality_table(): null and empty texts go.
+    """
     rows = written(measured(docs.select("lang", "source", "text")).drop("text"), "measured")
     fences = thresholds(rows, **how)
     return aside(docs, lambda d: judged(measured(d), fences).where("_q_kept"))
+
+
+def _fence_sql(side: str) -> str:
+    """CASE over measures of a fence, from quartiles q1 and q3 of a sketch."""
+    out = []
+    for name, floor, ceiling, under in RULES:
+        if side == "high":
+            out.append(f"WHEN '{name}' THEN least({ceiling}, greatest({floor}, q3 + {SPREAD} * (q3 - q1)))")
+        elif under:
+            out.append(f"WHEN '{name}' THEN least({under[1]}, greatest({under[0]}, q1 - {SPREAD} * (q3 - q1)))")
+    return f"CASE measure {' '.join(out)} END"
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+#: DuckDB: quality_table() over documents; sketches and fences as here, from plain counts.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT *, regexp_extract_all(text, '{_WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d
+), x AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM t WHERE len(words) > 2)
+), r AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i FROM x QUALIFY count(*) OVER (PARTITION BY rid, win) > 1), range(3) s(k) GROUP BY 1
+), b AS (
+  SELECT t.rid, doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words FROM t LEFT JOIN r USING (rid)
+), m AS (
+  SELECT rid, lang, source, 'symbol_pm' AS measure, 1000 * n_symbols // greatest(word_chars, 1) AS v FROM b
+  UNION ALL SELECT rid, lang, source, 'dup_line_pm', 1000 * n_dup_lines // greatest(n_lines, 10) FROM b
+  UNION ALL SELECT rid, lang, source, 'repeat_pm', 1000 * n_repeat_words // greatest(n_words, 150) FROM b
+  UNION ALL SELECT rid, lang, source, 'word_tenths', 10 * word_chars // greatest(n_words, 1) FROM b
+), k AS (
+  SELECT *, CASE WHEN v < 64 THEN 0 ELSE floor(log2(v))::BIGINT - 5 END AS shift FROM m
+), e AS (
+  SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v // (1::BIGINT << shift)) * (1::BIGINT << shift) END AS low FROM k
+), s AS (
+  SELECT 0 AS level, lang, source, measure, low, count(*) AS n FROM e GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, measure, low, count(*) FROM e GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, low, count(*) FROM e GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s
+), q AS (
+  SELECT level, lang, source, measure, any_value(total) AS total, min(low) FILTER (upto >= 0.25 * total) AS q1, min(low) FILTER (upto >= 0.75 * total) AS q3 FROM u GROUP BY 1, 2, 3, 4
+), f AS (SELECT level, lang, source, measure, total, {_fence_sql("high")} AS high, {_fence_sql("low")} AS low FROM q),
+g AS (
+  SELECT a.lang, a.source, a.measure,
+    CASE WHEN a.total >= {LEAST} THEN a.high WHEN b.total >= {LEAST} THEN b.high ELSE c.high END AS high,
+    CASE WHEN a.total >= {LEAST} THEN a.low WHEN b.total >= {LEAST} THEN b.low ELSE c.low END AS low
+  FROM f a JOIN f b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN f c ON c.level = 2 AND a.measure = c.measure WHERE a.level = 0
+), o AS (
+  SELECT rid, bool_or(v > high OR coalesce(v < low, false)) AS beyond FROM m
+  JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source AND m.measure = g.measure GROUP BY 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT beyond AS kept FROM b JOIN o USING (rid)
+"""
