@@ -22,12 +22,9 @@ def band_join(left: DataFrame, right: DataFrame, value: str, tolerance: int, on:
     return a.join(b, same).drop("_at")
 
 
-def distance_join(left: DataFrame, right: DataFrame, axes: list[str], reach: float, on: list[str] | None = None, slack: float = 0.0) -> DataFrame:
-    """Pairs at most reach apart, columns as in band_join(), with dist.
-
-    Space is cut into cells of the reach's size; a left row goes to its own and all adjacent cells.
-    """
-    on = on or []
+def _cells(left: DataFrame, right: DataFrame, axes: list[str], reach: float, on: list[str], slack: float) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Both sides with prefixed columns and cells of the reach's size, left in its own and all adjacent cells; the
+    equality of cells and keys, and the distance."""
     a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     cell = lambda c: F.floor(F.col(c) / F.lit(float(reach))).cast("long")
@@ -40,8 +37,20 @@ def distance_join(left: DataFrame, right: DataFrame, axes: list[str], reach: flo
     for c in on:
         same = same & (F.col(f"l_{c}") == F.col(f"r_{c}"))
     square = sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}")) for c in axes), F.lit(0.0))
-    out = a.join(b, same).withColumn("dist", F.sqrt(square + slack)).where(F.col("dist") <= reach)
-    return out.drop(*(f"_c{i}" for i in range(len(axes))), *(f"_d{i}" for i in range(len(axes))))
+    return a, b, same, F.sqrt(square + slack)
+
+
+def distance_join(left: DataFrame, right: DataFrame, axes: list[str], reach: float, on: list[str] | None = None, slack: float = 0.0) -> DataFrame:
+    """Pairs at most reach apart, columns as in band_join(), with dist."""
+    a, b, same, dist = _cells(left, right, axes, reach, on or [], slack)
+    out = a.join(b, same).withColumn("dist", dist).where(F.col("dist") <= reach)
+    return out.drop(*(f"_{k}{i}" for k in "cd" for i in range(len(axes))))
+
+
+def near_any(left: DataFrame, right: DataFrame, axes: list[str], reach: float, on: list[str] | None = None) -> DataFrame:
+    """(l_<name>) of left rows with some right row at most reach away, perhaps once a cell: a semi-join, no pairs are made."""
+    a, b, same, dist = _cells(left, right, axes, reach, on or [], 0.0)
+    return a.join(b, same & (dist <= reach), "left_semi").drop(*(f"_c{i}" for i in range(len(axes))))
 
 
 def token_sets(sets: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +135,7 @@ def nearest_share(reference: DataFrame, generated: DataFrame, by: str, kind: str
 
     reference needs a column point_id. Groups without reference points don't occur.
     """
-    hits = distance_join(reference, generated, axes, reach, on=[by, kind]).select(F.col("l_point_id").alias("point_id")).distinct()
+    hits = near_any(reference, generated, axes, reach, on=[by, kind]).select(F.col("l_point_id").alias("point_id")).distinct()
     marked = reference.join(hits.withColumn("_hit", F.lit(1)), "point_id", "left")
     return marked.groupBy(by).agg(F.count(F.lit(1)).alias("n_ref"), F.count("_hit").alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_ref"))
 
