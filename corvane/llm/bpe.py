@@ -41,9 +41,43 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.kept: dict[str, tuple[str, int, bytes]] = {}
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        pairs = sorted((ranks_a << 32 | ranks_b, rank) for token, rank in self.ranks.items() for ranks_a, ranks_b in self._halves(token))
-        self.pair_keys = np.array([k for k, _ in pairs] or [-1], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs] or [0], np.int64)
+        pairs = [(a << 32 | b, rank) for token, rank in self.ranks.items() for a, b in self._halves(token)]
+        self._fill(np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64))
+        two = self.byte_ids << 32
+        self.byte_pairs = self._found((two[:, None] | np.maximum(self.byte_ids, 0)[None, :]).ravel())
+
+    def _fill(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A hash table of pairs of ids: open addressing, places tried one after another, at most self.tries of them."""
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slot_keys, self.slot_ranks, self.tries = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64), 1
+        slots = self._slot(keys)
+        while len(keys):
+            free = self.slot_keys[slots] < 0
+            _, first = np.unique(slots, return_index=True)
+            put = np.zeros(len(keys), bool)
+            put[first] = True
+            put &= free
+            self.slot_keys[slots[put]], self.slot_ranks[slots[put]] = keys[put], ranks[put]
+            keys, ranks, slots = keys[~put], ranks[~put], (slots[~put] + 1) & ((1 << self.bits) - 1)
+            self.tries += bool(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, -1 where they make up no token."""
+        slots = self._slot(keys)
+        there = self.slot_keys[slots]
+        out = np.where(there == keys, self.slot_ranks[slots], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        for _ in range(self.tries - 1):
+            if not len(open_):
+                break
+            slots[open_] = (slots[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.slot_keys[slots[open_]]
+            out[open_] = np.where(there == keys[open_], self.slot_ranks[slots[open_]], -1)
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return out
 
     def _halves(self, token: bytes) -> list[tuple[int, int]]:
         """Ids of every two tokens that make up a token."""
@@ -52,10 +86,9 @@ class Encoder:
         return [(a, b) for a, b in found if a is not None and b is not None]
 
     def pair_leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Leaves of the pairs of ids a, b that begin at places at: rank and place, or NONE."""
-        key = a << 32 | b
-        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[found] == key) & (a >= 0) & (b >= 0), self.pair_ranks[found] << 8 | at, NONE)
+        """Leaves of the pairs of ids a, b (below 0: none) that begin at places at: rank and place, or NONE."""
+        rank = np.where((a >= 0) & (b >= 0), self._found(np.maximum(a, 0) << 32 | np.maximum(b, 0)), -1)
+        return np.where(rank >= 0, rank << 8 | at, NONE)
 
     def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
         """merge() of pre-tokens of at most CACHE_BYTES bytes that are no tokens themselves, all at once."""
@@ -63,11 +96,16 @@ class Encoder:
         n = np.fromiter(map(len, pieces), np.int64, rows)
         size = 1 << int(n.max() - 1).bit_length()
         ids = np.full((rows, size + 1), -1, np.int64)
-        ids[np.arange(size + 1) < n[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        inside = np.arange(size + 1) < n[:, None]
+        ids[inside] = self.byte_ids[raw]
         after = np.tile(np.arange(1, size + 2), (rows, 1))
         before = after - 2
         tree = np.full((rows, 2 * size), NONE, np.int64)
-        tree[:, size:] = self.pair_leaves(ids[:, :-1], ids[:, 1:], np.arange(size))
+        # The first leaves, two bytes each, come from a table of all pairs of bytes; a piece's last byte begins none.
+        pairs = np.append(self.byte_pairs[raw[:-1].astype(np.int64) << 8 | raw[1:]], -1)
+        pairs[np.cumsum(n) - 1] = -1
+        tree[:, size:][inside[:, :-1]] = np.where(pairs >= 0, pairs << 8 | np.nonzero(inside)[1], NONE)
         level = size >> 1
         while level:
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
@@ -219,8 +257,9 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id",
         out: list[tuple[int, str, str]] = []
         cut = [e.split(t or "") for t in texts]
         e.learn(set().union(*cut))
+        kept = e.kept
         for pieces in cut:
-            found = [e.known(p) for p in pieces]
+            found = [kept.get(p) or e.known(p) for p in pieces]
             named = hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest()
             out.append((sum([x[1] for x in found]), named, hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()))
         return [ids, *([x[k] for x in out] for k in range(3))]
