@@ -133,8 +133,11 @@ class Model:
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
         """Adam on the mean log loss with weight decay on E."""
         rng = np.random.default_rng(seed)
-        rows = np.concatenate(bags)
-        self.mean, self.scale = rows.mean(0, dtype=np.float64), rows.std(0, dtype=np.float64) + 1e-2
+        # Sums bag by bag: no second copy of the inputs.
+        n = sum(map(len, bags))
+        self.mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
+        squares = sum(np.square(x, dtype=np.float64).sum(0) for x in bags) / n
+        self.scale = np.sqrt(np.maximum(squares - self.mean**2, 0)) + 1e-2
         y = y.astype(np.float64)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         q = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -143,7 +146,7 @@ class Model:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BAGS):
                 pick = order[at : at + BAGS]
-                x = np.concatenate([bags[i] for i in pick])
+                x = np.concatenate([bags[i] for i in pick]).astype(np.float64)
                 bag = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
                 score, kept = self.forward(x, bag, len(pick))
                 g = self.gradient(y[pick], bag, score, kept)
@@ -193,8 +196,11 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, la
         return [ids, ys, [x.tobytes() for x in found]]
 
     schema = StructType([StructField("doc_id", LongType()), StructField("y", IntegerType()), StructField("x", BinaryType())])
-    got = sorted(map_batches(rows, run, schema, cut=500).collect(), key=lambda r: (r[0], r[2]))[: 2 * most]
-    return [np.frombuffer(r[2], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in got], np.array([r[1] for r in got])
+    # One row an id, so that repeated rows don't lift the bound.
+    once = map_batches(rows, run, schema, cut=500).groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    got = sorted(once.collect(), key=lambda r: r[0])
+    y, packed = np.array([r[1] for r in got]), [r[2] for r in got]
+    return [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in packed], y
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, threshold: float = 0.3) -> DataFrame:
