@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import settled
+
 
 def bucket_cost(kind: str, limit: float) -> float:
     """Cost of one row of a bucket: constant, linear in its limit, or quadratic."""
@@ -75,10 +77,10 @@ def concatenated(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
 def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """rows with the sum of value over all rows before each, by order.
 
-    Rows are dealt by ranges of the order; a range's sum is one row, the sums before each range are added up, and the
-    running sum is then taken within ranges only.
+    Rows are dealt by ranges of the order and settled; a range's sum is one row, the sums before each range are added
+    up, and the running sum is then taken within ranges only.
     """
-    ranged = rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = settled(rows.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import settled
+
 
 def cleaned(edges: DataFrame) -> DataFrame:
     """Distinct (graph, i, j, type) with i <= j, without type 0; other columns go."""
@@ -65,23 +67,17 @@ def random_walks(edges: DataFrame, steps: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(graph, node, component): the least node of each node's component.
 
-    Labels spread to neighbours and jump to their label's label, round by round. Lineage is cut by checkpoint() where
-    the session names a checkpoint folder.
+    Labels spread to neighbours and jump to their label's label, round by round; each round is settled.
     """
-    spark = edges.sparkSession
     both = symmetric(edges).where("i <> j").select("graph", F.col("i").alias("a"), F.col("j").alias("b")).distinct()
     labels = edges.select("graph", F.explode(F.array("i", "j")).alias("node")).distinct().withColumn("label", F.col("node"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    keep = (lambda d: d.checkpoint()) if folder else (lambda d: d.persist())
-    both, labels = keep(both), keep(labels)
+    both, labels = settled(both), settled(labels)
     before = None
     for _ in range(most_rounds):
         told = both.join(labels, (both["graph"] == labels["graph"]) & (both["a"] == labels["node"])).select(both["graph"], F.col("b").alias("node"), "label")
         spread = labels.unionByName(told).groupBy("graph", "node").agg(F.min("label").alias("label"))
         jump = spread.select("graph", F.col("node").alias("label"), F.col("label").alias("_next"))
-        labels = keep(spread.join(jump, ["graph", "label"]).select("graph", "node", F.least("label", "_next").alias("label")))
+        labels = settled(spread.join(jump, ["graph", "label"]).select("graph", "node", F.least("label", "_next").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.withColumnRenamed("label", "component")

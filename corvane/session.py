@@ -33,3 +33,15 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "corvane
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided Parquet tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df worked out once and kept: checkpointed into spark.checkpoint.dir, or persisted where no folder is set.
+
+    For plans that are read more than once and must not come out differently (ranges are sampled), and to cut lineage.
+    """
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
