@@ -57,16 +57,14 @@ def pos_neg(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_low: float
 def pos_pos_diagnostics(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_chem: float, tol: int) -> DataFrame:
     """(i, size_matched, with_witness, past_guard, best, reason) for every i; reason is null where a partner was found."""
     pairs = sizes.select("i", F.col("size").alias("i_size")).join(sizes.select(F.col("i").alias("j"), F.col("size").alias("j_size")), _band(tol))
-    matched = pairs.groupBy("i").agg(F.count_distinct("j").alias("size_matched"))
+    matched = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("size_matched"))
     a = _side(scores.select("i", "k", F.struct("compact", "ecfp").alias("v")), sizes, "a", "v", "i").where("a.compact is not null")
     b = _side(scores.select("i", "k", F.struct("extended", "ecfp").alias("v")), sizes, "b", "v", "j").where("b.extended is not null")
     met = a.join(b, "k").where(_band(tol))
     good = (F.col("a.ecfp") <= tau_chem) & (F.col("b.ecfp") <= tau_chem)
-    seen = met.groupBy("i").agg(
-        F.count_distinct("j").alias("with_witness"),
-        F.count_distinct(F.when(good, F.col("j"))).alias("past_guard"),
-        F.max(F.when(good, F.least("a.compact", "b.extended"))).alias("best"),
-    )
+    # One row a pair first: maxima combine before the shuffle, where distinct counts would not.
+    each = met.groupBy("i", "j").agg(F.max(F.when(good, F.least("a.compact", "b.extended"))).alias("s"))
+    seen = each.groupBy("i").agg(F.count(F.lit(1)).alias("with_witness"), F.count("s").alias("past_guard"), F.max("s").alias("best"))
     out = sizes.select("i").join(matched, "i", "left").join(seen, "i", "left").fillna(0, ["size_matched", "with_witness", "past_guard"])
     reason = (
         F.when(F.col("size_matched") == 0, "no_size_match")
