@@ -93,6 +93,15 @@ def kabsch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b @ (u @ np.diag([1, 1, sign]) @ vt)
 
 
+def least_rmsd(clouds: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """RMSD of one centred cloud to each of many after the best rotation, from the singular values of their products."""
+    products = np.einsum("kni,nj->kij", clouds, one)
+    s = np.linalg.svd(products, compute_uv=False)
+    s[:, 2] *= np.sign(np.linalg.det(products))
+    squares = (clouds**2).sum((1, 2)) + (one**2).sum() - 2 * s.sum(1)
+    return np.sqrt(np.maximum(squares, 0) / len(one))
+
+
 def rmsf(rows: DataFrame, by: str, id: str, n_refs: int = 1) -> DataFrame:
     """(by, rmsf): mean over atoms of each atom's fluctuation round its mean, all conformers aligned to a reference.
 
@@ -123,7 +132,7 @@ def distinct_conformers(rows: DataFrame, by: str, id: str, least: float = 0.5) -
         clouds -= clouds.mean(1, keepdims=True)
         kept: list[int] = []
         for i, c in enumerate(clouds):
-            if all(np.sqrt(((clouds[k] - kabsch(clouds[k], c)) ** 2).sum(1).mean()) >= least for k in kept):
+            if not kept or least_rmsd(clouds[kept], c).min() >= least:
                 kept.append(i)
         return frame[[by, id]].iloc[kept]
 

@@ -153,6 +153,14 @@ def test_rmsf_ignores_rigid_motion(spark):
     assert {(r.mol, r.id) for r in ensemble.distinct_conformers(frame, "mol", "id", 0.5).collect()} == {(0, 0), (1, 0)}
 
 
+def test_rmsd_from_singular_values():
+    rng = np.random.default_rng(9)
+    clouds = rng.normal(size=(5, 7, 3))
+    clouds -= clouds.mean(1, keepdims=True)
+    want = [np.sqrt(((a - ensemble.kabsch(a, clouds[0])) ** 2).sum(1).mean()) for a in clouds]
+    assert ensemble.least_rmsd(clouds, clouds[0]) == pytest.approx(want, abs=1e-7)
+
+
 def test_augmentation_modes(spark):
     points = [(0.0, 0.0, 0.0, 1), (1.0, 0.0, 0.0, 1), (0.0, 1.0, 0.0, 3)]
     frame = spark.createDataFrame([(i, points) for i in range(4)], "id int, points array<struct<x:double,y:double,z:double,type:int>>")
