@@ -29,7 +29,7 @@ from corvane.llm.common import aside, map_batches, shipped, written
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SUB = 6
 #: Roots with more fingerprints are dealt out as node pairs.
-HOT_ROOT = 20_000
+HOT_ROOT = 100_000
 #: Node pairs that walk down at once.
 FRONT = 1 << 18
 
