@@ -116,3 +116,21 @@ def target(value: Column, draw: Column, spread: float, mean: float, std: float)
     """(feature, mask) of a property target: value plus spread x draw, floored at 0, standardised; 0.0 and 0 where absent."""
     drawn = F.greatest(F.lit(0.0), value + spread * draw)
     return F.when(value.isNotNull(), (drawn - mean) / std).otherwise(0.0), value.isNotNull().cast("int")
+
+
+def with_features(rows: DataFrame, named: list[tuple[str, Column, float | None]], key: str | None = None, mask_prob: float | None = None, seed: int = 0) -> DataFrame:
+    """rows with a column for each (name, value, sentinel): null values become the sentinel, or stay an error.
+
+    A name given twice is an error. A null sentinel means that a missing value is an error when it is read. With a mask
+    probability p, <name>-mask is 1 where a draw by key exceeds p (p = 0: always, p = 1: never), else 0.
+    """
+    names = [name for name, *_ in named]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"feature names given twice: {', '.join(twice)}")
+    if mask_prob is not None and not 0 <= mask_prob <= 1:
+        raise ValueError("the mask probability must be in [0, 1]")
+    out = {name: F.coalesce(value, F.raise_error(F.lit(f"feature {name} has no value")) if sentinel is None else F.lit(sentinel)) for name, value, sentinel in named}
+    if mask_prob is not None:
+        # 1 - u is in (0, 1], so that 0 keeps every row and 1 none.
+        out |= {f"{name}-mask": (1 - hash_uniform(F.col(key), F.lit(name), seed=seed) > mask_prob).cast("int") for name in names}
+    return rows.withColumns(out)

@@ -44,3 +44,17 @@ def test_binding_without_features(spark):
     atoms = spark.createDataFrame([(1, 0, 6, (0.0, 0.0, 0.0))], ATOMS)
     asked = spark.createDataFrame([(1, 0, "HBDonor", [0])], "mol int, ord int, type string, l_atoms array<int>")
     assert features.binding_profile(asked, none, atoms).count() == 0
+
+
+def test_named_features(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v double")
+    got = features.with_features(rows, [("a", F.col("v"), -1.0), ("b", F.col("v") * 2, 0.0)], "k", 0.0).orderBy("k").collect()
+    assert [(r.a, r.b, r["a-mask"], r["b-mask"]) for r in got] == [(2.0, 4.0, 1, 1), (-1.0, 0.0, 1, 1)]
+    assert all(r["a-mask"] == 0 for r in features.with_features(rows, [("a", F.col("v"), -1.0)], "k", 1.0).collect())
+    with pytest.raises(ValueError, match="twice"):
+        features.with_features(rows, [("a", F.col("v"), 0.0), ("a", F.col("v"), 0.0)])
+    for p in (-0.1, 1.1):
+        with pytest.raises(ValueError, match="probability"):
+            features.with_features(rows, [("a", F.col("v"), 0.0)], "k", p)
+    with pytest.raises(Exception, match="has no value"):
+        features.with_features(rows, [("a", F.col("v"), None)]).collect()
