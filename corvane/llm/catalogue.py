@@ -61,4 +61,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_chat, op7_repeats, op8_simhash, op9_shard, op10_quality_rules, pipeline)}
-ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE, "op10_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE, "op7_repeats": repeats.ORACLE, "op10_quality_rules": quality.ORACLE}

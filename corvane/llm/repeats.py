@@ -15,8 +15,9 @@ A core that occurs once has no repeated window. An extension that occurs twice m
 extensions that occur once but share their core with others are open: their strings (and one of each repeated
 extension of that core) come together by core, all suffixes of at least 200 bytes are sorted, and those whose
 neighbour in that order agrees in 200 bytes are repeated. That is the order of the corpus's suffixes, taken only where
-it is in doubt. A core with more than CROWD open extensions has its windows grouped by two 64-bit hashes instead,
-which combines before the shuffle and has no large group.
+it is in doubt. Runs of more than HASHED suffixes are put in order by 128-bit hashes of their 200 bytes, which takes a
+twelfth of the memory. A core with more than CROWD open extensions has a row for each window instead, grouped by its
+hashes, which combines before the shuffle and has no large group.
 
 Document keys are 64-bit hashes of id and text; phrases found again in a text must agree in place and core as well.
 """
@@ -38,8 +39,10 @@ from corvane.llm.common import map_batches, shipped, written
 
 SPAN, WINDOW, GRAM = 200, 130, 8
 CORE = SPAN - WINDOW + 1
-#: Open extensions of one core beyond which its windows are grouped by hash.
-CROWD = 4000
+#: Open extensions of one core beyond which each of its windows becomes a row; below, a core is one task's work.
+CROWD = 100_000
+#: Suffixes beyond which their order is that of their hashes.
+HASHED = 100_000
 #: Windows that are sorted at once, at least.
 SORTED = 60_000
 
@@ -170,11 +173,20 @@ def twice_in_order(strings: list[bytes]) -> np.ndarray:
     counts = lengths - SPAN + 1
     offsets = np.cumsum(lengths) - lengths
     starts = np.repeat(offsets - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    if len(starts) > HASHED:
+        digests = b"".join([xxhash.xxh3_128_digest(data[a : a + SPAN]) for a in starts.tolist()])
+        high, low = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        order = np.lexsort((low, high))
+        return _paired(order, (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]]))
     suffixes = np.lib.stride_tricks.sliding_window_view(data, SPAN)[starts]
     keys = np.ascontiguousarray(suffixes).view(np.dtype((np.void, SPAN))).ravel()
     order = np.argsort(keys, kind="stable")
-    same = (suffixes[order[1:]] == suffixes[order[:-1]]).all(1)
-    out = np.zeros(len(keys), bool)
+    return _paired(order, (suffixes[order[1:]] == suffixes[order[:-1]]).all(1))
+
+
+def _paired(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Flags of the members of an order that equal a neighbour; same: does each but the first equal the one before?"""
+    out = np.zeros(len(order), bool)
     out[order[1:]] |= same
     out[order[:-1]] |= same
     return out
@@ -301,3 +313,30 @@ def repeat_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     out = without_repeats(docs, id, text)
     return out.select(id, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
+
+
+#: DuckDB: repeat_table() over documents, by counting every window of 200 bytes.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (
+  SELECT rid, p, md5(substr(h, 2 * p + 1, {2 * SPAN})) AS m FROM (SELECT rid, h, unnest(range(length(h) // 2 - {SPAN - 1})) AS p FROM d WHERE length(h) >= {2 * SPAN})
+), c AS (
+  SELECT m FROM w GROUP BY 1 HAVING count(*) > 1
+), r AS (
+  SELECT rid, p FROM w SEMI JOIN c USING (m)
+), i AS (
+  SELECT rid, p, coalesce((p > lag(p) OVER (PARTITION BY rid ORDER BY p) + {SPAN})::INT, 1) AS new FROM r
+), s AS (
+  SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM i
+), a AS (
+  SELECT rid, min(p) AS a, max(p) + {SPAN} AS b FROM s GROUP BY rid, run
+), g AS (
+  SELECT *, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS before FROM a
+), k AS (
+  SELECT rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last
+  FROM g JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.rid IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

@@ -56,7 +56,7 @@ def test_groups_equal_brute_force(make):
     assert [r.component_id for r in got] == brute_groups(prints, list(range(len(texts))))
 
 
-@pytest.mark.parametrize("hot", [20_000, 30])
+@pytest.mark.parametrize("hot", [100_000, 30])
 def test_dense_and_chained_prints(spark, hot, monkeypatch):
     """Hundreds of prints round a few centres, and chains: joined by tries, in hot roots too."""
     monkeypatch.setattr(simhash, "HOT_ROOT", hot)
@@ -122,7 +122,7 @@ def repeated_texts() -> list:
     return texts
 
 
-@pytest.mark.parametrize("crowd", [4000, 2])
+@pytest.mark.parametrize("crowd", [100_000, 2])
 def test_repeats_equal_brute_force(make, crowd, monkeypatch):
     monkeypatch.setattr(repeats, "CROWD", crowd)
     texts = repeated_texts()
@@ -130,6 +130,13 @@ def test_repeats_equal_brute_force(make, crowd, monkeypatch):
     assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
 
 
+def test_order_by_bytes_equals_order_by_hashes(monkeypatch):
+    strings = [t.encode() for t in repeated_texts() if t and len(t.encode()) >= 200]
+    by_bytes = repeats.twice_in_order(strings)
+    monkeypatch.setattr(repeats, "HASHED", 0)
+    assert (repeats.twice_in_order(strings) == by_bytes).all() and by_bytes.any() and not by_bytes.all()
+
+
 def test_every_window_has_its_phrase():
     rng = np.random.default_rng(0)
     for n in (0, 199, 200, 201, 1000):
