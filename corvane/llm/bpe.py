@@ -23,11 +23,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from corvane.llm.common import map_batches
 
 #: Pre-tokens kept by a worker; beyond it the dictionary starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer pre-tokens aren't kept, so that the dictionary's memory is bounded, and are encoded one by one.
 CACHE_BYTES = 64
 #: Pre-tokens whose trees are updated together.
-TOGETHER = 20_000
+TOGETHER = 8_000
 NONE = 1 << 40
 
 
