@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
 
-No DuckDB SQL is given for run(): SimHash's linking, the mix and byte-pair merges are beyond it. tests/llm holds run()
-against a brute-force version instead.
+No DuckDB SQL is given for run(): near-duplicate linking, the mix and byte-pair merges are beyond it. tests/llm holds
+run() against a brute-force version instead.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, mixing, quality, secrets, simhash
+from corvane.llm import bpe, mixing, quality, resemblance, secrets
 from corvane.llm.common import documents, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the least doc_id. Four-word shingles, four bits."""
-    return simhash.first_of_groups(docs)
+    """One document of each group of near copies stays, the one with the least doc_id. Five-word shingles, Jaccard 0.8 or more."""
+    return resemblance.first_of_resembling(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,16 +253,17 @@ def simhash_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFram
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """One row of docs for each group, the one with the least doc_id (nulls last, then by a hash of the text)."""
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    groups = near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget)
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of docs of each group of groups (doc_id, _hash of the text, group) with the least doc_id, nulls last, then by hash."""
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_hash")).distinct()
     again = Window.partitionBy("_id", "_hash").orderBy("source", "lang")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1")
 
-    def begin(docs: DataFrame) -> DataFrame:
-        kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-        return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1")
 
-    return aside(docs, begin)
+def first_of_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
+    """One row of docs for each group, the one with the least doc_id (nulls last, then by a hash of the text)."""
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    groups = near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget)
+    return aside(docs, lambda docs: keep_first(docs, groups))
