@@ -149,3 +149,17 @@ def q32_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "documents").select("doc_id", F.lit("word").alias("kind"), words("text").alias("member"))
     right = table(spark, sf_dir, "benchmark").select("item_id", F.lit("word").alias("kind"), words("text").alias("member"))
     return joins.best_overlap(left, right, "doc_id", "item_id", "kind")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM benchmark),
+o AS (SELECT doc_id, item_id, count(*) AS overlap FROM d JOIN b USING (member) WHERE member <> '' GROUP BY 1, 2)
+SELECT doc_id, 'word' AS kind, item_id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) = 1
+""")
+def q67_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the benchmark item that shares most of its words, of any length."""
+    words = lambda c: F.explode(F.filter(F.split(F.lower(c), "[ \\n\\t\\r]+"), lambda w: w != ""))
+    left = table(spark, sf_dir, "documents").select("doc_id", F.lit("word").alias("kind"), words("text").alias("member"))
+    right = table(spark, sf_dir, "benchmark").select("item_id", F.lit("word").alias("kind"), words("text").alias("member"))
+    return joins.best_overlap(left, right, "doc_id", "item_id", "kind")
