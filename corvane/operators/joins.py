@@ -84,19 +84,22 @@ def jaccard_pairs(reps: DataFrame, least: float) -> DataFrame:
 
 
 def containing(rows: DataFrame, passages: DataFrame, id: str, text: str, passage_id: str, passage: str, words: int = 5) -> DataFrame:
-    """(id, passage_id): rows whose text contains a passage. Passages need `words` words at least.
+    """(id, passage_id): rows whose text contains a passage, as a substring: it may begin or end inside a word.
 
-    A passage is looked for only where its first words occur: runs of so many words are joined by equality, then the
-    whole passage is compared.
+    A passage of `words` + 2 words or more is looked for only where the words after its first one occur: runs of so many
+    words are joined by equality, then the whole passage is compared. Shorter ones are compared with every row.
     """
     cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     sized = rows.select(id, text, cut(F.col(text)).alias("_w")).where(F.size("_w") >= words)
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
     keyed = sized.select(id, F.explode(F.array_distinct(runs)).alias("_run"))
-    sought = passages.select(passage_id, passage, cut(F.col(passage)).alias("_p")).where(F.size("_p") >= words)
-    sought = sought.select(passage_id, passage, F.xxhash64(F.array_join(F.slice("_p", 1, words), " ")).alias("_run"))
-    met = keyed.join(sought, "_run").select(id, passage_id, passage).distinct()
-    return met.join(rows.select(id, text), id).where(F.contains(F.col(text), F.col(passage))).select(id, passage_id)
+    sought = passages.select(passage_id, passage, cut(F.col(passage)).alias("_p"))
+    long = sought.where(F.size("_p") >= words + 2).select(passage_id, passage, F.xxhash64(F.array_join(F.slice("_p", 2, words), " ")).alias("_run"))
+    met = keyed.join(long, "_run").select(id, passage_id, passage).distinct()
+    held = F.contains(F.col(text), F.col(passage))
+    found = met.join(rows.select(id, text), id).where(held).select(id, passage_id)
+    short = sought.where(F.size("_p") < words + 2).select(passage_id, passage)
+    return found.union(rows.select(id, text).join(short, held).select(id, passage_id))
 
 
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kind: str) -> DataFrame:

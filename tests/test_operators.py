@@ -85,6 +85,14 @@ def test_containing_equals_substring(spark):
     assert got == {(d, p) for d, t in docs for p, x in passages[:2] if t and x in t}
 
 
+def test_containing_inside_words_and_short(spark):
+    """Passages of under five words, and ones that begin or end inside a word."""
+    docs = [(0, "xa b c d e fy"), (1, "one xa b c d e f g hy two"), (2, "a b c d e f g"), (3, "tiny"), (4, "b c"), (5, None), (6, "a b c d e f g h")]
+    passages = [(7, "a b c d e f g h"), (8, "b c"), (9, "a b c d e f"), (10, "in"), (11, None)]
+    got = sorted(tuple(r) for r in joins.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(passages, "pid int, p string"), "id", "text", "pid", "p").collect())
+    assert got == sorted((d, p) for d, t in docs for p, x in passages if t and x and x in t)
+
+
 def test_locate(spark):
     spans = spark.createDataFrame([("a", 0, 3), ("e", 3, 3), ("b", 3, 10), ("c", 10, 11)], "name string, start long, stop long")
     asked = spark.range(12).withColumnRenamed("id", "place")
