@@ -140,5 +140,5 @@ def q51_sasa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accessible area of each conformer at tenfold coordinates, radius 1.7; every third atom is polar."""
     flags = F.array(*(F.lit(k % 3 == 0) for k in range(21)))
     rows = conformers(spark, sf_dir).select("vec_id", geom.scale(F.col("xyz"), 10.0).alias("xyz"), F.array_repeat(F.lit(1.7), 21).alias("radii"), flags.alias("polar"))
-    out = kernels.polar_surface(rows, "vec_id", n=240)
+    out = kernels.polar_surface(rows, "vec_id")
     return out.select("vec_id", F.round("area", 4).alias("area"), F.round("polar_area", 4).alias("polar_area"))
