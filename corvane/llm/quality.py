@@ -1,17 +1,23 @@
 """Quality rules whose thresholds come from the corpus: mergeable quantile sketches per language and source.
 
-Each document has a few measures. A sketch counts a measure's values in log-linear buckets (exact below 64, within
-1/32 above), so it is bounded, sketches merge by adding counts, and the order of merging changes nothing. Sketches per
-(language, source) are merged from all documents; a group with few documents uses its language's merged sketch, a
-language with few the whole corpus's. A document goes if a measure lies beyond its group's fence,
+Each document has a few measures. A sketch counts a measure's values in log-linear buckets (exact below 128, within
+1/64 above), so it is bounded, sketches merge by adding counts, and the order of merging changes nothing. A document
+that shows none of a measure (value 0) is not in its sketch.
 
-    upper quartile + SPREAD x (upper - lower quartile), never below the measure's floor (nor above its ceiling),
+Sketches per (language, source) are merged from all documents. Each is blended with its language's, and that with the
+whole corpus's, as if PRIOR documents of the parent's spread had been seen too: a small group leans on its parent, a
+large one on itself, without a size at which one takes over from the other. A document goes if a measure lies beyond
+its group's fence,
 
-or below the mirrored fence where the measure has one. Floors keep groups of uniform clean documents whole.
+    upper quartile + SPREAD x (upper - lower quartile),
+
+or below the mirrored fence where the measure has one. The quartiles alone decide: no fence has a fixed value.
 """
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,27 +28,24 @@ from corvane.llm.common import aside, map_batches, written
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Documents of a group below which the sketch one level up is used.
-LEAST = 500
-SPREAD = 3.0
-#: (measure, floor, ceiling) of the upper fence, then (floor, ceiling) of the lower one or None. Per mille but for
-#: word_tenths, a tenth of a character. Texts of under ten lines and 150 words count as so many for
-#: dup_line_pm and repeat_pm: one line said twice is no fault of a short text.
-RULES = (
-    ("symbol_pm", 60, 400, None),
-    ("dup_line_pm", 300, 800, None),
-    ("repeat_pm", 300, 500, None),
-    ("word_tenths", 120, 250, (10, 30)),
-)
-
-
-def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text, then its lines with a word; null: zeros."""
+MORE = ("n_lines", "n_marks")
+MARKS = string.punctuation.encode()
+#: Documents of the parent's spread that are added to each sketch.
+PRIOR = 50
+SPREAD = 3
+#: Measures, and whether they have a lower fence. Per mille but for word_hundredths, a hundredth of a character.
+RULES = (("mark_pm", False), ("dup_line_pm", False), ("repeat_pm", False), ("word_hundredths", True))
+
+
+def measure(text: str | None) -> tuple[int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text, its lines with a word, its ASCII punctuation; null: zeros."""
     if not text:
-        return 0, 0, 0, 0, 0, 0
-    words = text.encode().split()
+        return 0, 0, 0, 0, 0, 0, 0
+    data = text.encode()
+    words = data.split()
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
+    marks = len(data) - len(data.translate(None, MARKS))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     repeated = 0
     if len(words) > 3:
@@ -60,17 +63,17 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
         for k in range(3):
             cover[k : k + len(twice)] |= twice
         repeated = int(cover.sum())
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), marks
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of measure() as columns _q_<name>; a map stage that shuffles nothing."""
-    names = [f"_q_{k}" for k in (*BASE, "n_lines")]
+    names = [f"_q_{k}" for k in (*BASE, *MORE)]
     at = docs.columns.index(text)
 
     def run(*columns: list) -> list:
         found = [measure(t) for t in columns[at]]
-        return [*columns, *([x[k] for x in found] for k in range(6))]
+        return [*columns, *([x[k] for x in found] for k in range(len(names)))]
 
     return map_batches(docs, run, StructType([*docs.schema, *(StructField(n, LongType()) for n in names)]))
 
@@ -80,73 +83,82 @@ def _ratio(a: Column, b: Column, by: int) -> Column:
 
 
 def measures() -> dict[str, Column]:
-    c = {k: F.col(f"_q_{k}") for k in (*BASE, "n_lines")}
+    c = {k: F.col(f"_q_{k}") for k in (*BASE, *MORE)}
     return {
-        "symbol_pm": _ratio(c["n_symbols"], c["word_chars"], 1000),
-        "dup_line_pm": _ratio(c["n_dup_lines"], F.greatest(c["n_lines"], F.lit(10)), 1000),
-        "repeat_pm": _ratio(c["n_repeat_words"], F.greatest(c["n_words"], F.lit(150)), 1000),
-        "word_tenths": _ratio(c["word_chars"], c["n_words"], 10),
+        "mark_pm": _ratio(c["n_marks"], c["word_chars"], 1000),
+        "dup_line_pm": _ratio(c["n_dup_lines"], c["n_lines"], 1000),
+        "repeat_pm": _ratio(c["n_repeat_words"], c["n_words"], 1000),
+        "word_hundredths": _ratio(c["word_chars"], c["n_words"], 100),
     }
 
 
 def bucket(v: Column) -> Column:
-    """The sketch's bucket of a value of 0 or more: itself below 64, else its octave and top five bits after the first."""
-    shift = F.greatest(F.floor(F.log2(F.greatest(v, F.lit(1)).cast("double"))).cast("int") - 5, F.lit(0))
-    return F.when(v < 64, v).otherwise(shift * 32 + F.floor(v / F.pow(F.lit(2.0), shift))).cast("int")
+    """The least value of the sketch's bucket of a value of 0 or more: its first seven binary digits."""
+    shift = F.greatest(F.length(F.bin(v)) - 7, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
-def lower_edge(b: Column) -> Column:
-    """The least value of a bucket."""
-    shift = F.floor((b - 32) / 32).cast("int")
-    return F.when(b < 64, b.cast("double")).otherwise((b - shift * 32) * F.pow(F.lit(2.0), shift))
+def sketches(rows: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n); each group also has a row of measure "" that counts its documents."""
+    pairs = [F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures().items()]
+    every = F.struct(F.lit("").alias("measure"), F.lit(1).cast("long").alias("bucket"))
+    shown = F.filter(F.array(*pairs, every), lambda m: m["bucket"] > 0)
+    found = rows.select("lang", "source", F.explode(shown).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket")
+    return written(found.agg(F.count(F.lit(1)).alias("n")), "sketches")
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """(level, lang, source, measure, bucket, n): level 0 per language and source, 1 per language, 2 over all."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures().items()))
-    fine = rows.select("lang", "source", F.explode(pairs).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
-    fine = written(fine.withColumn("level", F.lit(0)), "sketches")
-    none = F.lit(None).cast("string")
-    mid = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", none.alias("source"), "measure", "bucket", "n")
-    top = fine.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), none.alias("lang"), none.alias("source"), "measure", "bucket", "n")
-    return fine.select("level", "lang", "source", "measure", "bucket", "n").unionByName(mid).unionByName(top)
-
-
-def thresholds(rows: DataFrame, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
-    """One row per (lang, source): the fences high_<measure> and low_<measure> of its own or the next merged sketch."""
-    group = ["level", "lang", "source", "measure"]
-    upto = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*group)
-    q = sketches(rows).withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(every)})
-    at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("total"), lower_edge(F.col("bucket"))))
-    q = q.groupBy(*group).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.first("total").alias("total"))
+def _same(a: DataFrame, b: DataFrame, null_safe: tuple[str, ...], plain: tuple[str, ...]) -> DataFrame:
+    """a left-joined with b on columns of equal names, those of null_safe also where both are null."""
+    b = b.withColumnsRenamed({c: f"_b_{c}" for c in (*null_safe, *plain)})
+    on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in null_safe] + [F.col(c) == F.col(f"_b_{c}") for c in plain]
+    return a.join(b, on, "left").drop(*(f"_b_{c}" for c in (*null_safe, *plain)))
+
+
+def thresholds(rows: DataFrame, prior: int = PRIOR, spread: int = SPREAD) -> DataFrame:
+    """One row per (lang, source): the fences high_<measure> and low_<measure>, null where no document shows the measure.
+
+    Blended counts stay whole numbers, as decimals: a child's counts times the parent's total, plus prior times the
+    parent's counts.
+    """
+    fine = sketches(rows)
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)")
+    more = F.lit(prior).cast("decimal(38,0)")
+    real = fine.where("measure <> ''")
+    # The corpus's sketch, then each language's over the same buckets, then each group's: joins on measure and language.
+    top = real.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    top = top.select("measure", "bucket", whole(F.col("n")).alias("parent"), whole(F.sum("n").over(Window.partitionBy("measure"))).alias("parents"))
+    names = F.explode(F.array(*(F.lit(k) for k, _ in RULES))).alias("measure")
+    langs = fine.select("lang").distinct().select("lang", names).join(top, "measure")
+    own = real.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+
+    def blended(rows: DataFrame, *by: str) -> DataFrame:
+        total = whole(F.sum("n").over(Window.partitionBy(*by, "measure")))
+        return rows.select(*by, "measure", "bucket", (whole(F.col("n")) * F.col("parents") + more * F.col("parent")).alias("w"), (F.col("parents") * (total + more)).alias("all"))
+
+    mid = blended(_same(langs, own, ("lang",), ("measure", "bucket")), "lang")
+    groups = fine.select("lang", "source").distinct()
+    each = _same(groups, mid.withColumnsRenamed({"w": "parent", "all": "parents"}), ("lang",), ()).where("measure is not null")
+    each = blended(_same(each, real, ("lang", "source"), ("measure", "bucket")), "lang", "source")
+    upto = Window.partitionBy("lang", "source", "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("upto", F.sum("w").over(upto))
+    at = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
+    q = each.groupBy("lang", "source", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
     reach = spread * (F.col("q3") - F.col("q1"))
-    high, low = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, floor, ceiling, under in RULES:
-        here = F.col("measure") == name
-        high = F.when(here, F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), F.col("q3") + reach))).otherwise(high)
-        if under:
-            low = F.when(here, F.least(F.lit(float(under[1])), F.greatest(F.lit(float(under[0])), F.col("q1") - reach))).otherwise(low)
-    fences = [F.max(F.when(F.col("measure") == name, c)).alias(f"{side}_{name}") for name, *_ in RULES for side, c in (("high", high), ("low", low))]
-    wide = written(q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *fences), "fences")
-    own = wide.where("level = 0").alias("a")
-    mid = wide.where("level = 1").alias("b")
-    top = wide.where("level = 2").alias("c")
-    out = own.join(mid, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(F.broadcast(top), F.lit(True), "left")  # one row
-    level = lambda c: F.when(F.col("a.total") >= least, F.col(f"a.{c}")).when(F.col("b.total") >= least, F.col(f"b.{c}")).otherwise(F.col(f"c.{c}"))
-    return written(
-        out.select(F.col("a.lang").alias("_lang"), F.col("a.source").alias("_source"), *(level(c).alias(c) for c in wide.columns if c.startswith(("high_", "low_")))),
-        "thresholds",
-    )
+    here = lambda name, c: F.max(F.when(F.col("measure") == name, c))
+    fences = [here(k, F.col("q3") + reach).alias(f"high_{k}") for k, _ in RULES] + [here(k, F.col("q1") - reach).alias(f"low_{k}") for k, low in RULES if low]
+    wide = _same(groups, q.groupBy("lang", "source").agg(*fences), ("lang", "source"), ())
+    return written(wide.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "thresholds")
 
 
 def judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
     """rows of measured() with base_failed and kept: the fixed base rules, then the fences of its group, joined."""
     words, repeat = F.col("_q_n_words"), F.col("_q_n_repeat_words")
     out = rows.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-    beyond = F.lit(False)
-    for name, value in measures().items():
-        beyond = beyond | (value > F.col(f"high_{name}")) | F.coalesce(value < F.col(f"low_{name}"), F.lit(False))
+    value, beyond = measures(), F.lit(False)
+    for name, lower in RULES:
+        beyond = beyond | F.coalesce(value[name] > F.col(f"high_{name}"), F.lit(False))
+        if lower:
+            beyond = beyond | F.coalesce(value[name] < F.col(f"low_{name}"), F.lit(False))
     failed = (words < 50) | (100 * repeat > 50 * words)
     return out.withColumns({"_q_failed": failed, "_q_kept": ~failed & ~beyond})
 
@@ -172,17 +184,6 @@ def kept_documents(docs: DataFrame, **how) -> DataFrame:
     return aside(docs, lambda d: judged(measured(d), fences).where("_q_kept"))
 
 
-def _fence_sql(side: str) -> str:
-    """CASE over measures of a fence, from quartiles q1 and q3 of a sketch."""
-    out = []
-    for name, floor, ceiling, under in RULES:
-        if side == "high":
-            out.append(f"WHEN '{name}' THEN least({ceiling}, greatest({floor}, q3 + {SPREAD} * (q3 - q1)))")
-        elif under:
-            out.append(f"WHEN '{name}' THEN least({under[1]}, greatest({under[0]}, q1 - {SPREAD} * (q3 - q1)))")
-    return f"CASE measure {' '.join(out)} END"
-
-
 _WORD = r"[^\x20\x09-\x0D]"
 #: DuckDB: quality_table() over documents; sketches and fences as here, from plain counts.
 ORACLE = f"""
@@ -195,35 +196,35 @@ t AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i FROM x QUALIFY count(*) OVER (PARTITION BY rid, win) > 1), range(3) s(k) GROUP BY 1
 ), b AS (
   SELECT t.rid, doc_id, lang, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!-/:-@\\[-`{{-~]', '', 'g')) AS n_marks, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words FROM t LEFT JOIN r USING (rid)
 ), m AS (
-  SELECT rid, lang, source, 'symbol_pm' AS measure, 1000 * n_symbols // greatest(word_chars, 1) AS v FROM b
-  UNION ALL SELECT rid, lang, source, 'dup_line_pm', 1000 * n_dup_lines // greatest(n_lines, 10) FROM b
-  UNION ALL SELECT rid, lang, source, 'repeat_pm', 1000 * n_repeat_words // greatest(n_words, 150) FROM b
-  UNION ALL SELECT rid, lang, source, 'word_tenths', 10 * word_chars // greatest(n_words, 1) FROM b
-), k AS (
-  SELECT *, CASE WHEN v < 64 THEN 0 ELSE floor(log2(v))::BIGINT - 5 END AS shift FROM m
+  SELECT rid, lang, source, 'mark_pm' AS measure, 1000 * n_marks // greatest(word_chars, 1) AS v FROM b
+  UNION ALL SELECT rid, lang, source, 'dup_line_pm', 1000 * n_dup_lines // greatest(n_lines, 1) FROM b
+  UNION ALL SELECT rid, lang, source, 'repeat_pm', 1000 * n_repeat_words // greatest(n_words, 1) FROM b
+  UNION ALL SELECT rid, lang, source, 'word_hundredths', 100 * word_chars // greatest(n_words, 1) FROM b
 ), e AS (
-  SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v // (1::BIGINT << shift)) * (1::BIGINT << shift) END AS low FROM k
-), s AS (
-  SELECT 0 AS level, lang, source, measure, low, count(*) AS n FROM e GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, measure, low, count(*) FROM e GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, measure, low, count(*) FROM e GROUP BY ALL
+  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS low FROM m WHERE v > 0
+), s AS (SELECT lang, source, measure, low, count(*)::HUGEINT AS n FROM e GROUP BY ALL),
+top AS (SELECT measure, low, sum(n)::HUGEINT AS p, sum(sum(n)) OVER (PARTITION BY measure)::HUGEINT AS ps FROM s GROUP BY 1, 2),
+l AS (SELECT lang, measure, low, sum(n)::HUGEINT AS n FROM s GROUP BY 1, 2, 3),
+mid AS (
+  SELECT x.lang, top.measure, top.low, coalesce(n, 0) * ps + {PRIOR} * p AS p, ps * (sum(coalesce(n, 0)) OVER (PARTITION BY x.lang, top.measure)::HUGEINT + {PRIOR}) AS ps
+  FROM (SELECT DISTINCT lang FROM b) x CROSS JOIN top
+  LEFT JOIN l ON l.measure = top.measure AND l.low = top.low AND l.lang IS NOT DISTINCT FROM x.lang
+), w AS (
+  SELECT x.lang, x.source, mid.measure, mid.low, coalesce(n, 0) * ps + {PRIOR} * p AS w,
+    ps * (sum(coalesce(n, 0)) OVER (PARTITION BY x.lang, x.source, mid.measure)::HUGEINT + {PRIOR}) AS total
+  FROM (SELECT DISTINCT lang, source FROM b) x JOIN mid ON mid.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN s ON s.measure = mid.measure AND s.low = mid.low AND s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source
 ), u AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY low) AS upto FROM w
 ), q AS (
-  SELECT level, lang, source, measure, any_value(total) AS total, min(low) FILTER (upto >= 0.25 * total) AS q1, min(low) FILTER (upto >= 0.75 * total) AS q3 FROM u GROUP BY 1, 2, 3, 4
-), f AS (SELECT level, lang, source, measure, total, {_fence_sql("high")} AS high, {_fence_sql("low")} AS low FROM q),
-g AS (
-  SELECT a.lang, a.source, a.measure,
-    CASE WHEN a.total >= {LEAST} THEN a.high WHEN b.total >= {LEAST} THEN b.high ELSE c.high END AS high,
-    CASE WHEN a.total >= {LEAST} THEN a.low WHEN b.total >= {LEAST} THEN b.low ELSE c.low END AS low
-  FROM f a JOIN f b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN f c ON c.level = 2 AND a.measure = c.measure WHERE a.level = 0
+  SELECT lang, source, measure, min(low) FILTER (4 * upto >= total) AS q1, min(low) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY 1, 2, 3
 ), o AS (
-  SELECT rid, bool_or(v > high OR coalesce(v < low, false)) AS beyond FROM m
-  JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source AND m.measure = g.measure GROUP BY 1
+  SELECT rid, bool_or(v > q3 + {SPREAD} * (q3 - q1) OR measure IN ({", ".join(f"'{k}'" for k, low in RULES if low)}) AND v < q1 - {SPREAD} * (q3 - q1)) AS beyond
+  FROM (SELECT m.*, q1, q3 FROM m JOIN q ON m.measure = q.measure AND m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source) GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT beyond AS kept FROM b JOIN o USING (rid)
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(beyond, false) AS kept FROM b LEFT JOIN o USING (rid)
 """

@@ -170,9 +170,69 @@ def test_measures_equal_brute_force():
 def test_buckets_keep_order_and_edges(spark):
     from pyspark.sql import functions as F
 
-    values = [0, 1, 63, 64, 65, 127, 128, 1000, 5000]
-    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bucket(F.col("v")).alias("b")).withColumn("low", quality.lower_edge(F.col("b"))).collect()
-    assert all(r.low <= r.v < r.low * (1 + 1 / 32) + 1 for r in got) and [r.b for r in got] == sorted(r.b for r in got)
+    values = [0, 1, 63, 64, 65, 127, 128, 255, 256, 1000, 5000, 2**31 - 1, 2**31]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bucket(F.col("v")).alias("low")).collect()
+    assert all(r.low <= r.v < r.low * (1 + 1 / 64) + 1 for r in got) and [r.low for r in got] == sorted(r.low for r in got)
+    assert all(r.low == r.v for r in got if r.v < 128)
+
+
+def brute_fences(rows: list[tuple], prior: int = quality.PRIOR) -> dict:
+    """{(lang, source): (q1, q3)} of (lang, source, value) rows, by weighted lists of the values themselves."""
+    from fractions import Fraction
+
+    def spread(items: list, parent: dict) -> dict:
+        out = {v: Fraction(prior) * w for v, w in parent.items()}
+        for v in items:
+            out[v] = out.get(v, 0) + 1
+        total = sum(out.values())
+        return {v: w / total for v, w in out.items()}
+
+    def quartile(share: dict, p: Fraction):
+        upto = Fraction(0)
+        for v in sorted(share):
+            upto += share[v]
+            if upto >= p:
+                return v
+
+    values = [v for *_, v in rows]
+    top = {v: Fraction(values.count(v), len(values)) for v in set(values)}
+    out = {}
+    for lang in {r[0] for r in rows}:
+        mid = spread([v for a, _, v in rows if a == lang], top)
+        for source in {r[1] for r in rows if r[0] == lang}:
+            own = spread([v for a, b, v in rows if (a, b) == (lang, source)], mid)
+            out[lang, source] = quartile(own, Fraction(1, 4)), quartile(own, Fraction(3, 4))
+    return out
+
+
+def test_fences_equal_brute_force(make):
+    """Small and large groups, a null language and source: every fence comes from the blended sketches, by exact fractions."""
+    rng = random.Random(11)
+    docs = []
+    for g, (lang, source, n, length) in enumerate((("en", "a", 300, 5), ("en", "b", 3, 9), ("de", "a", 40, 7), (None, "a", 20, 3), ("de", None, 1, 12))):
+        docs += [(1000 * g + i, " ".join("x" * max(1, length + rng.randrange(-2, 3)) for _ in range(60)), lang, source) for i in range(n)]
+    table = make(docs)
+    got = {(r._lang, r._source): r for r in quality.thresholds(quality.measured(table)).collect()}
+    rows = []
+    for r in quality.measured(table).collect():
+        v = 100 * r._q_word_chars // r._q_n_words
+        shift = max(v.bit_length() - 7, 0)
+        rows.append((r.lang, r.source, v >> shift << shift))
+    want = brute_fences(rows)
+    assert {k: (r.low_word_hundredths, r.high_word_hundredths) for k, r in got.items()} == {k: (a - 3 * (b - a), b + 3 * (b - a)) for k, (a, b) in want.items()}
+    assert len({(r.low_word_hundredths, r.high_word_hundredths) for r in got.values()}) >= 4
+    assert {r.high_mark_pm for r in got.values()} == {None}, "no text shows a mark, so nothing is judged by marks"
+
+
+def test_sketches_decide_on_the_given_table(spark):
+    """No constant stands in for the sketches: fences of the groups differ from one another, and move with a group's texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.measured(docs.select("lang", "source", "text")).drop("text")
+    fences = quality.thresholds(rows).collect()
+    for name in ("high_mark_pm", "high_repeat_pm", "high_dup_line_pm", "high_word_hundredths", "low_word_hundredths"):
+        values = [r[name] for r in fences]
+        most = max(values.count(v) for v in values)
+        assert most <= len(values) / 2, name
 
 
 def test_rules_adapt_and_keep_clean_documents(make):
