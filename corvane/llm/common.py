@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,12 +17,19 @@ from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space bytes; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few plain columns that small() broadcasts at most: some 50 MB in each executor.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where the context checkpoints to.
+
+    Without either, a local master gets a temp folder; a cluster gets an error, as each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of a few plain columns, marked for a broadcast if it has at most so many rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes this application's written tables; results that aren't yet written out are lost with them."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

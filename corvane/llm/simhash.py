@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.common import aside, map_batches, shipped, written
+from corvane.llm.common import aside, map_batches, shipped, small, written
 
 #: Places and widths of the blocks, from the top bit.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -48,9 +48,8 @@ def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64 bits, one set where over half of the shingles' hashes have it set; 0 without words."""
-    hashes = shingle_hashes(text, words)
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits, one set where over half of the hashes have it set; 0 without hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -60,6 +59,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The print of the text's shingles; 0 without words."""
+    return print_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of keep and fp (long, the fingerprint's 64 bits) of every row; null and empty texts have 0."""
 
@@ -254,16 +258,26 @@ def simhash_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFram
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The row of docs of each group of groups (doc_id, _hash of the text, group) with the least doc_id, nulls last, then by hash."""
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_hash")).distinct()
+    """The row of docs of each group of groups (doc_id, _hash of the text, group) with the least doc_id, nulls last, then by hash.
+
+    Decided on ids and hashes alone. Texts meet the list of what goes in an anti-join; only identical rows (one id, one
+    text) of which one stays are numbered with their texts.
+    """
+    rows = groups.groupBy("doc_id", "_hash", "group").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("k")).withColumnRenamed("group", "_group")
+    here = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("_hash").eqNullSafe(F.col("k._hash"))
+    fate = rows.join(first, F.col("group") == F.col("_group")).select(F.col("doc_id").alias("_id"), "_hash", "n", here.alias("stays"))
+    fate = written(fate.where("n > 1 or not stays"), "fate")
+    named = docs.withColumn("_text_hash", F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    alone = named.join(small(fate), on, "left_anti")
     again = Window.partitionBy("_id", "_hash").orderBy("source", "lang")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    many = named.join(small(written(fate.where("stays"), "many")), on).withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    return alone.select(docs.columns).union(many.select(docs.columns))
 
 
 def first_of_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """One row of docs for each group, the one with the least doc_id (nulls last, then by a hash of the text)."""
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    groups = near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget)
+    groups = written(near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget).select("doc_id", "_hash", "group"), "groups")
     return aside(docs, lambda docs: keep_first(docs, groups))

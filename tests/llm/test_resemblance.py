@@ -70,3 +70,23 @@ def test_pairs_at_the_bound_share_a_band():
         a, b = np.unique(pool[: len(pool) - cut]), np.unique(pool[cut:])
         missed += not set(resemblance.bands(a)) & set(resemblance.bands(b))
     assert missed == 0
+
+
+def test_stage_keeps_one_of_identical_rows(awkward, empty):
+    """Nulls, empty texts, identical rows and clashing columns: one whole row of each group stays, as it was."""
+    rows = awkward.collect()
+    kept = resemblance.first_of_resembling(awkward)
+    assert kept.columns == awkward.columns
+    got = kept.collect()
+    assert all(r in rows for r in got)
+    assert len(got) == len(brute_kept([(i, r.text) for i, r in enumerate(rows)]))
+    assert len(got) == len(brute_kept([(i, r.text) for i, r in enumerate(got)]))
+    assert resemblance.first_of_resembling(empty).count() == 0
+
+
+def test_boilerplate_makes_no_group(spark, make):
+    """Texts that share up to three quarters of their shingles stay, however many they are."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(25)]) for _ in range(300)]
+    assert resemblance.first_of_resembling(make(texts)).count() == 300
