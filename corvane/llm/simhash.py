@@ -1,10 +1,10 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-Fingerprints that differ in at most 4 of 64 bits agree in one of five blocks of 12 or 13 bits. For each block the
-fingerprint is rotated until the block leads, so each block's value is the root of a trie of its own: 5 x 8192 roots,
-each a task key. Inside a root, pairs of nodes walk down together; a pair carries the bits in which it differs so far
-and is dropped when they exceed the budget. A root with very many fingerprints is dealt out as pairs of nodes six bits
-further down.
+Of 64 bits in seven blocks, fingerprints that differ in at most 4 bits agree in at least three blocks. For each of the
+35 choices of three blocks the fingerprint is turned so that these lead: their 27 or 28 bits are the root of a trie of
+its own, and each root is a task key. Inside a root, pairs of nodes walk down together; a pair carries the bits in
+which it differs so far and is dropped when they exceed the budget. A root of 27 bits holds 75 of ten billion evenly
+spread fingerprints, so only fingerprints that really are close meet.
 
 Equal fingerprints collapse before the join, so exact copies cost nothing there. Each task returns stars (a fingerprint
 and the least one of its cluster) instead of pairs, and pairs of nodes whose leaves are already one cluster are
@@ -15,6 +15,7 @@ connected-components loop over written tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corvane.llm.common import aside, map_batches, shipped, small, written
 
-#: Places and widths of the blocks, from the top bit.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-SUB = 6
-#: Roots with more fingerprints are dealt out as node pairs.
-HOT_ROOT = 100_000
+#: Widths and places of the blocks, from the top bit; the blocks that lead, for each choice of EQUAL ones.
+WIDTHS, EQUAL = (10, 9, 9, 9, 9, 9, 9), 3
+PLACES = (0, *accumulate(WIDTHS))[:-1]
+CHOICES = tuple(combinations(range(len(WIDTHS)), EQUAL))
+#: A task key is a choice's number, then its root in so many bits.
+ROOT = 32
+#: Fingerprints of whole tasks that a worker joins at once, at least.
+HELD = 50_000
 #: Node pairs that walk down at once.
 FRONT = 1 << 18
 
@@ -137,69 +141,65 @@ def trie_join(keys: np.ndarray, pairs: list[np.ndarray], budget: int) -> np.ndar
     return label
 
 
-def _stars(task: np.ndarray, keys: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, least of its cluster) of whole tasks; task and keys are sorted together."""
+def _turned(prints: np.ndarray, choice: tuple[int, ...]) -> np.ndarray:
+    """Prints with the blocks of a choice first, in their order, then the others."""
+    out = np.zeros_like(prints)
+    for i in (*choice, *(i for i in range(len(WIDTHS)) if i not in choice)):
+        out = (out << np.uint64(WIDTHS[i])) | ((prints >> np.uint64(64 - PLACES[i] - WIDTHS[i])) & np.uint64(2 ** WIDTHS[i] - 1))
+    return out
+
+
+def _stars(task: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, least of its cluster) of whole tasks, sorted by task."""
     starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
-    ends = np.concatenate((starts[1:], [len(task)]))
-    ids = task[starts]
-    root = 13 + 2 * SUB
-    block, hot, x, y = (ids >> (root + 1)), (ids >> root) & 1, (ids >> (13 + SUB)) & (2**SUB - 1), (ids >> 13) & (2**SUB - 1)
-    width = np.array([w for _, w in BLOCKS])[block]
-    many = ends - starts > 1
-    pairs = []
-    plain = many & ((hot == 0) | (x == y))
-    if plain.any():
-        s, e = starts[plain], ends[plain]
-        pairs.append(np.stack([s, e, s, e, (width + SUB * hot)[plain], np.zeros(len(s), np.int64)]))
-    cross = many & (hot == 1) & (x != y)
-    for s, e, w, i, j in zip(starts[cross], ends[cross], width[cross], x[cross], y[cross], strict=True):
-        sub = (keys[s:e] << np.uint64(w)) >> np.uint64(64 - SUB)
-        m = s + int(np.count_nonzero(sub == np.uint64(i)))
-        if s < m < e:
-            pairs.append(np.array([[s], [m], [m], [e], [w + SUB], [int(i ^ j).bit_count()]]))
-    if not pairs:
+    sizes = np.diff(np.concatenate((starts, [len(task)])))
+    several = np.repeat(sizes > 1, sizes)
+    task, prints, sizes = task[several], prints[several], sizes[sizes > 1]
+    if not len(task):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    label = trie_join(keys, [np.concatenate(pairs, axis=1)], budget)
+    choice = task >> ROOT
+    keys = np.empty_like(prints)
+    for i in np.unique(choice).tolist():
+        keys[choice == i] = _turned(prints[choice == i], CHOICES[i])
+    order = np.lexsort((keys, task))
+    keys, prints = keys[order], prints[order]
+    starts = np.cumsum(sizes) - sizes
+    width = np.array([sum(WIDTHS[i] for i in c) for c in CHOICES])[choice[starts]]
+    pairs = np.stack([starts, starts + sizes, starts, starts + sizes, width, np.zeros(len(starts), np.int64)])
+    label = trie_join(keys, [pairs], budget)
     at = np.flatnonzero(label != np.arange(len(keys)))
-    turn = np.array([o for o, _ in BLOCKS], np.uint64)[(task >> (root + 1))[at]]
-    back = lambda k: np.where(turn == 0, k, (k >> turn) | (k << ((np.uint64(64) - turn) % np.uint64(64))))
-    return back(keys[at]), back(keys[label[at]])
+    return prints[at], prints[label[at]]
 
 
 def near_stars(nodes: DataFrame, budget: int = 4) -> DataFrame:
     """Edges (src, dst) of stars that join all of the distinct longs fp that differ in at most budget (up to 4) bits."""
-    if budget > len(BLOCKS) - 1:
-        raise ValueError(f"the budget is at most {len(BLOCKS) - 1}")
-    turned = []
-    for i, (at, width) in enumerate(BLOCKS):
-        key = F.col("fp") if at == 0 else F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at))
-        turned.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(key, 64 - width).cast("int").alias("root"), key.alias("key")))
-    rows = nodes.select(F.explode(F.array(*turned)).alias("t")).select("t.*")
-    rows = rows.withColumn("sub", F.shiftrightunsigned(F.when(F.col("block") == len(BLOCKS) - 1, F.shiftleft("key", 12)).otherwise(F.shiftleft("key", 13)), 64 - SUB).cast("int"))
-    counts = rows.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(counts, ["block", "root"])
-    hot = F.col("n") > HOT_ROOT
-    others = F.filter(F.sequence(F.lit(0), F.lit(2**SUB - 1)), lambda y: F.bit_count(F.col("sub").bitwiseXOR(y)) <= budget)
-    rows = rows.withColumn("other", F.explode(F.when(hot, others).otherwise(F.array(F.lit(0)))))
-    x = F.when(hot, F.least("sub", "other")).otherwise(0).cast("long")
-    y = F.when(hot, F.greatest("sub", "other")).otherwise(0).cast("long")
-    head = F.shiftleft(F.shiftleft(F.shiftleft(F.col("block").cast("long"), 1).bitwiseOR(hot.cast("long")), SUB).bitwiseOR(x), SUB).bitwiseOR(y)
-    rows = rows.select(F.shiftleft(head, 13).bitwiseOR(F.col("root").cast("long")).alias("task"), "key")
-    # Unsigned order within a task: its keys agree in the leading bit but for hot cross tasks, and these agree in the root.
-    rows = rows.repartition("task").sortWithinPartitions("task", "key")
+    if budget > len(WIDTHS) - EQUAL:
+        raise ValueError(f"the budget is at most {len(WIDTHS) - EQUAL}")
+    block = [F.shiftrightunsigned("fp", 64 - at - width).bitwiseAND(F.lit(2**width - 1)) for at, width in zip(PLACES, WIDTHS, strict=True)]
+    tasks = []
+    for n, choice in enumerate(CHOICES):
+        root = F.lit(n).cast("long")
+        for i in choice:
+            root = F.shiftleft(root, WIDTHS[i]).bitwiseOR(block[i])
+        # The choice's number stands above the root's bits, whether these are 27 or 28.
+        tasks.append(root + F.lit((n << ROOT) - (n << sum(WIDTHS[i] for i in choice))))
+    rows = nodes.select(F.explode(F.array(*tasks)).alias("task"), "fp")
+    rows = rows.repartition("task").sortWithinPartitions("task")
     schema = StructType([StructField("src", LongType()), StructField("dst", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
-            task = np.concatenate((task, batch.column(0).to_numpy()))
-            keys = np.concatenate((keys, batch.column(1).to_numpy().view(np.uint64)))
-            cut = int(np.searchsorted(task, task[-1])) if len(task) else 0
-            if cut >= 50_000:
-                yield _edges(*_stars(task[:cut], keys[:cut], budget))
-                task, keys = task[cut:], keys[cut:]
-        if len(task):
-            yield _edges(*_stars(task, keys, budget))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            n += batch.num_rows
+            if n >= HELD and held[0][0][0] != held[-1][0][-1]:
+                task, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(task, task[-1]))
+                yield _edges(*_stars(task[:cut], prints[:cut], budget))
+                held, n = [(task[cut:], prints[cut:])], n - cut
+        if n:
+            yield _edges(*_stars(*(np.concatenate(x) for x in zip(*held, strict=True)), budget))
 
     shipped(nodes.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -57,10 +57,22 @@ def test_groups_equal_brute_force(make):
     assert [r.component_id for r in got] == brute_groups(prints, list(range(len(texts))))
 
 
-@pytest.mark.parametrize("hot", [100_000, 30])
-def test_dense_and_chained_prints(spark, hot, monkeypatch):
-    """Hundreds of prints round a few centres, and chains: joined by tries, in hot roots too."""
-    monkeypatch.setattr(simhash, "HOT_ROOT", hot)
+def test_any_four_bits_leave_a_common_root():
+    """Whichever four bits differ, some choice of blocks turns both prints to the same leading bits."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 4):
+            b ^= 1 << bit
+        two = np.array([a, b], np.uint64)
+        roots = [simhash._turned(two, c) >> np.uint64(64 - sum(simhash.WIDTHS[i] for i in c)) for c in simhash.CHOICES]
+        assert any(r[0] == r[1] for r in roots)
+        assert all((simhash._turned(two, c)[0] ^ simhash._turned(two, c)[1]).item().bit_count() == 4 for c in simhash.CHOICES)
+
+
+def test_dense_and_chained_prints(spark):
+    """Hundreds of prints round a few centres, and chains: joined by tries."""
     rng = random.Random(2)
     prints = {0, 2**64 - 1}
     for _ in range(5):
