@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few plain columns that small() broadcasts at most: some 50 MB in each executor.
 BROADCAST_ROWS = 500_000
+#: Rows of two numbers in a file of a written table whose size is known.
+FILE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +41,13 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. sweep() removes it."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors. sweep() removes it.
+
+    rows: how many narrow rows it has at most, where that is known; it then has a file for each FILE_ROWS of them.
+    """
     path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

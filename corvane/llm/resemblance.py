@@ -16,20 +16,22 @@ Equal sets collapse before all this. Every link, SimHash's too, is counted from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from corvane.llm.common import aside, map_batches, small, written
+from corvane.llm.common import aside, map_batches, shipped, small, written
 from corvane.llm.simhash import components, keep_first, near_stars, print_of, shingle_hashes
 
 BANDS, ROWS = 32, 4
 #: Leaders that the rows of a shingle meet, round by round.
-LEADERS = (2, 8, 32)
+LEADERS = (4, 32)
 #: Odd factors and masks of the MinHash orders.
 FACTORS, MASKS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([1, 0], np.uint64)[:, None, None]
 #: Shingles hashed at once.
@@ -96,11 +98,30 @@ def _prints_alike(nodes: DataFrame) -> DataFrame:
     return near.union(same).distinct()
 
 
+def _often(sets: DataFrame) -> DataFrame:
+    """(h, n) of the shingles that occur in n > 1 sets: counted in each batch, then in each partition of the shingles."""
+    schema = StructType([StructField("h", LongType()), StructField("n", LongType())])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            found, at = np.unique(np.concatenate([b.column(0).to_numpy() for b in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([b.column(1).to_numpy() for b in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
+
+    shipped(sets.sparkSession)
+    return sets.select("set").mapInArrow(first, schema).repartition("h").mapInArrow(then, schema)
+
+
 def _shared(sets: DataFrame, least: float) -> DataFrame:
     """(key, size, shared) of the sets that can have a partner: shared holds their shingles (n, h) that occur in n > 1 sets, rarest first."""
     each = sets.select("key", "size", F.explode("set").alias("h"))
-    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    own = each.join(often, "h").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    own = each.join(written(_often(sets), "often"), "h").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("shared"))
     return own.where(F.size("shared") >= F.ceil(least * F.col("size") - 1e-9))
 
 
@@ -131,31 +152,32 @@ def _linked(prefixes: DataFrame, shared: DataFrame, first: DataFrame, least: flo
     side = lambda rows: rows.withColumnsRenamed({c: f"_{c}" for c in ("key", "size", "rest", "root")})
     ends = [F.col("node").alias("src"), F.col("root").alias("dst")]
 
-    def joined(roots: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
-        links = written(_alike(pairs, shared, least), name)
+    def joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        links = _alike(pairs, shared, least)
         return components(links if roots is None else links.union(roots.select(*ends)))
 
-    def open_(roots: DataFrame) -> DataFrame:
+    def open_(roots: DataFrame | None) -> DataFrame:
         """The rows, with their roots, of shingles whose rows are in more than one component."""
+        if roots is None:
+            return prefixes.withColumn("root", F.col("key"))
         rows = prefixes.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "size", "rest", F.coalesce("root", "key").alias("root"))
-        rows = written(rows, "placed")
         several = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
         return written(rows.join(several, "h", "left_semi"), "open")
 
-    roots = joined(None, first, "links-first")
+    roots = None
     for turn, most in enumerate(LEADERS):
         rows = open_(roots)
         mix = F.xxhash64("h", "key", F.lit(turn))
         slots = rows.groupBy("h", F.pmod(mix, F.lit(most)).alias("slot")).agg(F.min(F.struct(mix.alias("mix"), "key", "size", "rest", "root")).alias("l"))
         leaders = side(slots.select("h", "l.key", "l.size", "l.rest", "l.root"))
-        pairs = rows.join(leaders, "h").where(_may_link(least)).select(*_ordered("key", "_key")).distinct()
-        roots = joined(roots, pairs, f"links-{turn}")
+        pairs = rows.join(leaders, "h").where(_may_link(least)).select(*_ordered("key", "_key"))
+        roots = joined(roots, (pairs if turn else pairs.union(first)).distinct())
     rows = open_(roots)
     # Of a pair in two components at least one is outside the shingle's largest: only such rows look for others.
     largest = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"))
     few = written(rows.join(largest, "h").where("root <> most.root").select("h", "key", "size", "rest", "root"), "few")
     pairs = few.join(side(rows), "h").where(_may_link(least)).select(*_ordered("key", "_key")).distinct()
-    return joined(roots, pairs, "links-rest")
+    return joined(roots, pairs)
 
 
 def resembling_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -172,8 +194,8 @@ def resembling_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
     rows = nodes.select("key", F.explode("bands").alias("band"))
     twice = written(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "bands")
     some = [rows.join(twice, "band").select("key"), first.select("src"), first.select("dst")]
-    some = written(reduce(DataFrame.union, some).distinct(), "suspects")
-    sets = written(_whole(docs, written(nodes.join(some, "key", "left_semi").select("key", "size", "_id", "_text_hash"), "suspects-named"), words), "sets")
+    some = nodes.join(reduce(DataFrame.union, some).distinct(), "key", "left_semi").select("key", "size", "_id", "_text_hash")
+    sets = written(_whole(docs, written(some, "suspects"), words), "sets")
     # Identical rows give their set as often as they occur.
     shared = written(_shared(sets.dropDuplicates(["key"]), least), "shared")
     roots = _linked(written(_prefixes(shared, least), "prefixes"), shared, first, least)

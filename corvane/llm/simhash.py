@@ -209,29 +209,34 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
 
+def _settled(found: DataFrame) -> bool:
+    """Is each node of the edges src > dst either a centre or has one edge, to a centre?"""
+    twice = found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src")
+    chained = found.join(found.select(F.col("dst").alias("at")).distinct(), F.col("src") == F.col("at"), "left_semi").select("src")
+    return twice.union(chained).isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each component of the edges (src, dst), for nodes that aren't it themselves.
 
     Large-star and small-star rounds (Kiveris et al., 2014): minima combine before the shuffle, each round is a written
-    table, nothing is collected but a count and a checksum.
+    table, nothing is collected but a count and whether a row is left.
     """
     clean = lambda e: e.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    found, before = written(clean(edges), "edges"), None
+    found = written(clean(edges), "edges")
     for turn in range(most_rounds):
-        now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        if _settled(found):
             return found.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        before = now
         # Large star: each node hands its larger neighbours to the least of itself and its neighbours.
         both = found.union(found.select("dst", "src"))
         least = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("at"), F.least("low", "src").alias("low"))
-        large = both.where("dst > src").join(least, F.col("src") == F.col("at")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        large = written(clean(large), f"large-{turn}")
+        large = clean(both.where("dst > src").join(least, F.col("src") == F.col("at")).select(F.col("dst").alias("src"), F.col("low").alias("dst")))
         # Small star: each node hands its smaller neighbours, and itself, to the least of them.
         least = large.groupBy("src").agg(F.min("dst").alias("low")).withColumnRenamed("src", "at")
         joined = large.join(least, F.col("src") == F.col("at"))
         small = joined.select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.*")
-        found = written(clean(small), f"small-{turn}")
+        # Neither star makes more edges than there were.
+        found = written(clean(small), f"stars-{turn}", rows=found.count())
     raise RuntimeError("the components did not settle")
 
 
@@ -272,7 +277,7 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     alone = named.join(small(fate), on, "left_anti")
     again = Window.partitionBy("_id", "_hash").orderBy("source", "lang")
-    many = named.join(small(written(fate.where("stays"), "many")), on).withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    many = named.join(small(fate.where("stays")), on).withColumn("_n", F.row_number().over(again)).where("_n = 1")
     return alone.select(docs.columns).union(many.select(docs.columns))
 
 
