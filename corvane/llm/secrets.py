@@ -31,7 +31,8 @@ BASE_KINDS = ("assign", "access", "hex")
 # Kinds beyond the base, with the literals that open them.
 GITHUB = re.compile(r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+JWT_HEAD, JWT_LEAST = "eyJ", 11
+JWT_RUN, JWT_REST = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 MORE_KINDS = ("github", "npm", "jwt", "pem")
 KINDS = BASE_KINDS + MORE_KINDS
@@ -46,7 +47,7 @@ OPENERS = {
     "jwt": ("eyj",),
     "pem": ("-----begin ",),
 }
-EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM}
+EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "pem": PEM}
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +84,23 @@ def _valid(kind: str, m: re.Match) -> bool:
         return len(m[0]) >= ACCESS_LEAST
     if kind in ("github", "npm"):
         return _crc_holds(m[0])
-    return _jwt_holds(m[0]) if kind == "jwt" else True
+    return True
+
+
+def _jwts(text: str, starts: list[int]) -> list[tuple[int, int, str]]:
+    """Tokens that begin at hits. All hits in one run of characters share the run's end and what follows it, so a run is read once."""
+    out, at, end, rest = [], 0, 0, None
+    for start in starts:
+        if start < at or not text.startswith(JWT_HEAD, start):
+            continue
+        if start >= end:
+            end = JWT_RUN.match(text, start).end()
+            rest = JWT_REST.match(text, end)
+        if rest and end - start >= JWT_LEAST:
+            at = rest.end()
+            if _jwt_holds(text[start:at]):
+                out.append((start, at, "jwt"))
+    return out
 
 
 def _folded(text: str) -> str:
@@ -100,6 +117,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     hits: dict[str, list[int]] = {}
     for end, (kind, n) in _automaton().iter(_folded(text)):
         hits.setdefault(kind, []).append(end - n + 1)
+    if "jwt" in hits:
+        spans += _jwts(text, sorted(hits.pop("jwt")))
     for kind, starts in hits.items():
         at, expression = 0, EXPRESSIONS[kind]
         for start in sorted(starts):

@@ -94,6 +94,23 @@ def test_checksums_decide():
     assert secrets.redact(f"a {pem} b") == "a [pem] b"
 
 
+def test_jwts_equal_the_plain_expression_and_take_linear_time():
+    import time
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    rng = random.Random(8)
+    parts = ["eyJ", "EYJ", ".", "..", head, "abcdefgh", "abcdefghijklmnopqr", "-", "_", " ", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        want = [(m.start(), m.end(), "jwt") for m in plain.finditer(text) if secrets._jwt_holds(m[0])]
+        assert [s for s in secrets.scan(text) if s[2] == "jwt"] == want, text
+    began = time.perf_counter()
+    for unit in ("eyJ", "eyJ.", "eyJabcdefgh.", "token=", "AKIA", "-----BEGIN PRIVATE KEY-----", "password "):
+        secrets.scan(unit * (5_000_000 // len(unit)))
+    assert time.perf_counter() - began < 60
+
+
 def test_secret_tables(awkward, empty, make):
     assert secrets.scan_documents(awkward).count() == awkward.count()
     r = secrets.scan_documents(make(["my token = abcdef123 and 0123456789abcdef01234567"])).first()
