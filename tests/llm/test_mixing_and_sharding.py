@@ -57,6 +57,23 @@ def test_order_is_that_of_the_keys(make):
             left -= r.size
 
 
+@pytest.mark.parametrize("low", [1e-6, 1e-3, 1.0, 1e3])
+def test_order_at_any_weight(make, low):
+    """Brute force with exact logarithms: weights from low to 1000 low, no two keys tie, and the cut is where they say."""
+    docs = make([(i, "word " * (5 + i % 40), "en", f"s{i % 2}") for i in range(400)]).withColumn("w", F.lit(low) * F.pow(F.lit(1000.0), (F.col("doc_id") % 10) / 9))
+    rows = mixing.keyed(docs, quality=F.col("w"))
+    found = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(42)), 12)).collect()
+    key = {r.doc_id: -math.log((r.draw + 0.5) / 2**52) / r.w for r in found}
+    assert len({r._at for r in found}) == len(found)
+    out = mixing.take(rows.drop("text"), mixing.budgets(rows.select("source", "_size", "_at"))).collect()
+    for s in ("s0", "s1"):
+        mine = sorted((r for r in out if r.source == s), key=lambda r: key[r.doc_id])
+        left = round(mine[0].target) - mine[0].epochs * mine[0].source_size
+        for r in mine:
+            assert r._part == max(0, min(r._size, left))
+            left -= r._size
+
+
 def test_heavier_documents_come_first_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % 2).alias("heavy"))
     rows = mixing.keyed(docs, quality=F.when(F.col("heavy") == 1, 2.0).otherwise(1.0))
