@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few plain columns that small() broadcasts at most: some 50 MB in each executor.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch at most, and Spark's setting of it.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of two numbers in a file of a written table whose size is known.
 FILE_ROWS = 200_000
 
@@ -63,7 +65,13 @@ def sweep(spark: SparkSession) -> None:
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once for each context, so that it need not be installed there."""
+    """Readies a session for the operators' Python workers.
+
+    Sends this package's code to the executors, once for each context, so that it need not be installed there. Arrow
+    batches hold whole texts, so they get fewer rows than Spark's default of 10,000; a lower setting stays.
+    """
+    if int(spark.conf.get(BATCH_SETTING)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_corvane_shipped", False):
         return
