@@ -7,16 +7,19 @@ A document is a bag of passages of 64 words. Each passage is encoded, gated atte
 and only the document's label trains all of it. A passage's input x holds shape measures of its words and a hashed
 bag of its character trigrams, which know neither the label's table nor language, source or id.
 
-Training: a bounded sample of labelled documents (MOST_TRAIN, a parameter) is read to the driver as passage inputs and
-fitted there by Adam. Scoring: every passage of every whole text, in the map stage, with the fitted arrays (a fixed
-size, about 0.3 MB) shipped to the executors.
+Training: a bounded sample of labelled documents (MOST_TRAIN, a parameter) is read to the driver as packed counts of
+every passage, from which the inputs of a step are worked out as they are for scoring, and fitted there by Adam.
+Scoring: every passage of every whole text, in the map stage, with the fitted arrays (a fixed size, about 0.3 MB)
+shipped to the executors; a long text's passages are weighed in runs, with a running softmax.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -31,8 +34,8 @@ HIDDEN, GATE = 24, 12
 #: Labelled documents that the fit reads at most.
 MOST_TRAIN = 6000
 EPOCHS, RATE, BAGS, SEED = 12, 0.01, 32, 7
-#: Passages of one document that the fit reads at most, spread evenly over it; scoring reads them all.
-FIT_PASSAGES = 24
+#: Passages that are scored at once.
+RUN = 2000
 
 SYMBOLS = b"#*$%&|<>~^=+\\@{}[]_"
 MARKS = b".,;:!?\"'()-"
@@ -51,40 +54,65 @@ def _byte_classes() -> np.ndarray:
 CLASSES = _byte_classes().argmax(1)
 
 
-def passages(text: str | None, most: int | None = None) -> np.ndarray:
-    """Inputs of a text's passages, one row each, float32; a text without words has one row of zeros."""
+def counted(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shape measures (float32) and trigram counts (uint16) of a text's passages, in runs; a text without words has one passage of zeros."""
     data = (text or "").encode()
     words = data.split()
     n = len(words)
     if not n:
-        return np.zeros((1, WIDTH), np.float32)
+        yield np.zeros((1, SHAPES), np.float32), np.zeros((1, HASHED), np.uint16)
+        return
     line = b" ".join(words)
     raw = np.frombuffer(line, np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     count = -(-n // PASSAGE)
-    chosen = np.arange(count)
-    if most is not None and count > most:
-        chosen = np.unique(np.linspace(0, count - 1, most).astype(np.int64))
-    out = np.zeros((len(chosen), WIDTH), np.float32)
-    for row, k in enumerate(chosen.tolist()):
-        a, b = k * PASSAGE, min(n, (k + 1) * PASSAGE)
-        part = raw[starts[a] : ends[b - 1]]
-        own = words[a:b]
-        classes = np.bincount(CLASSES[part], minlength=7) / len(part)
-        distinct = len(set(own)) / (b - a)
-        pairs = len(set(zip(own, own[1:], strict=False))) / max(1, b - a - 1)
-        tail = sum(not w[-1:].isalnum() and w[-1] < 128 for w in own) / (b - a)
-        double = line.count(b"!!", starts[a], ends[b - 1]) / (b - a)
-        out[row, :SHAPES] = [*classes, lengths[a:b].mean() / 10, distinct, pairs, tail, double]
-        if len(part) >= 3:
-            low = part.astype(np.uint32)
-            low = np.where((low >= 65) & (low <= 90), low + 32, low)
-            grams = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
-            at = (grams * np.uint32(2654435761)) >> np.uint32(23)
-            out[row, SHAPES:] = np.sqrt(np.bincount(at, minlength=HASHED) / len(grams))
-    return out
+    for first in range(0, count, RUN):
+        last = min(count, first + RUN)
+        shapes, grams_of = np.zeros((last - first, SHAPES), np.float32), np.zeros((last - first, HASHED), np.uint16)
+        for row, k in enumerate(range(first, last)):
+            a, b = k * PASSAGE, min(n, (k + 1) * PASSAGE)
+            part = raw[starts[a] : ends[b - 1]]
+            own = words[a:b]
+            classes = np.bincount(CLASSES[part], minlength=7) / len(part)
+            distinct = len(set(own)) / (b - a)
+            pairs = len(set(zip(own, own[1:], strict=False))) / max(1, b - a - 1)
+            tail = sum(not w[-1:].isalnum() and w[-1] < 128 for w in own) / (b - a)
+            double = line.count(b"!!", starts[a], ends[b - 1]) / (b - a)
+            shapes[row] = [*classes, lengths[a:b].mean() / 10, distinct, pairs, tail, double]
+            if len(part) >= 3:
+                low = part.astype(np.uint32)
+                low = np.where((low >= 65) & (low <= 90), low + 32, low)
+                grams = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
+                at = (grams * np.uint32(2654435761)) >> np.uint32(23)
+                # Words of megabytes fill a counter to its end.
+                grams_of[row] = np.minimum(np.bincount(at, minlength=HASHED), 65535)
+        yield shapes, grams_of
+
+
+def inputs(shapes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Passage inputs, one row each: the shape measures, then the roots of the trigrams' shares."""
+    share = counts / np.maximum(counts.sum(1, dtype=np.int64), 1)[:, None]
+    return np.concatenate((shapes, np.sqrt(share).astype(np.float32)), axis=1)
+
+
+def passages(text: str | None) -> np.ndarray:
+    """Inputs of all of a text's passages."""
+    return np.concatenate([inputs(*x) for x in counted(text)])
+
+
+def packed(text: str | None) -> bytes:
+    """All of a text's passages, as counted, compressed; unpacked() gives their inputs."""
+    found = list(counted(text))
+    whole = np.concatenate([x for x, _ in found]).tobytes() + np.concatenate([x for _, x in found]).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(whole)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = len(data) // (4 * SHAPES + 2 * HASHED)
+    return inputs(np.frombuffer(data, np.float32, n * SHAPES).reshape(n, SHAPES), np.frombuffer(data, np.uint16, n * HASHED, 4 * n * SHAPES).reshape(n, HASHED))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,13 +158,15 @@ class Model:
         dx = dh * (1 - h * h)
         return {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": ((v * u) * ds[:, None]).sum(0), "c": z.T @ d, "b": np.array([d.sum()])}
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-        """Adam on the mean log loss with weight decay on E."""
+    def fit(self, bags: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+        """Adam on the mean log loss with weight decay on E. bags: packed() texts, unpacked a step's at a time."""
         rng = np.random.default_rng(seed)
-        # Sums bag by bag: no second copy of the inputs.
-        n = sum(map(len, bags))
-        self.mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
-        squares = sum(np.square(x, dtype=np.float64).sum(0) for x in bags) / n
+        n, total, squares = 0, np.zeros(WIDTH), np.zeros(WIDTH)
+        for x in map(unpacked, bags):
+            n += len(x)
+            total += x.sum(0, dtype=np.float64)
+            squares += np.square(x, dtype=np.float64).sum(0)
+        self.mean, squares = total / n, squares / n
         self.scale = np.sqrt(np.maximum(squares - self.mean**2, 0)) + 1e-2
         y = y.astype(np.float64)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -146,8 +176,9 @@ class Model:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BAGS):
                 pick = order[at : at + BAGS]
-                x = np.concatenate([bags[i] for i in pick]).astype(np.float64)
-                bag = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
+                step = [unpacked(bags[i]) for i in pick]
+                x = np.concatenate(step).astype(np.float64)
+                bag = np.repeat(np.arange(len(pick)), list(map(len, step)))
                 score, kept = self.forward(x, bag, len(pick))
                 g = self.gradient(y[pick], bag, score, kept)
                 g["E"] += 1e-3 * self.p["E"]
@@ -158,8 +189,19 @@ class Model:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**turn)) / (np.sqrt(q[k] / (1 - 0.999**turn)) + 1e-8)
         return self
 
+    def score_long(self, runs: Iterator[np.ndarray]) -> float:
+        """The score of one bag whose passages come in runs: attention's sums are carried from run to run."""
+        top, weight, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in runs:
+            _, (_, h, v, u, *_) = self.forward(x.astype(np.float64), np.zeros(len(x), np.int64), 1)
+            s = (v * u) @ self.p["w"]
+            high = max(top, s.max())
+            a, old = np.exp(s - high), np.exp(top - high)
+            top, weight, z = high, weight * old + a.sum(), z * old + a @ h
+        return float(_sigmoid(z / weight @ self.p["c"] + self.p["b"][0]))
+
     def score(self, texts: list[str | None]) -> list[float]:
-        """Scores of whole texts; passages are weighed in runs of texts, to bound the memory."""
+        """Scores of whole texts; passages are weighed in runs of texts, and long texts in runs of passages, to bound the memory."""
         out: list[float] = []
         held: list[np.ndarray] = []
 
@@ -170,8 +212,12 @@ class Model:
                 held.clear()
 
         for t in texts:
+            if len(t or "") >= 2 * PASSAGE * RUN:
+                flush()
+                out.append(self.score_long(inputs(*x) for x in counted(t)))
+                continue
             held.append(passages(t))
-            if sum(map(len, held)) > 2000:
+            if sum(map(len, held)) > RUN:
                 flush()
         flush()
         return out
@@ -182,8 +228,8 @@ def held_out(id: int | None) -> bool:
     return zlib.crc32(b"" if id is None else str(id).encode()) % 5 == 0
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, label: str = "quality") -> tuple[list[np.ndarray], np.ndarray]:
-    """Passage inputs and labels of at most `most` labelled documents that aren't held out, the least by a hash of the id."""
+def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, label: str = "quality") -> tuple[list[bytes], np.ndarray]:
+    """Packed passages and labels of at most `most` labelled documents that aren't held out, the least by a hash of the id."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc % 5 != 0)).select("doc_id", F.col(label).cast("int").alias("_y"))
     chosen = usable.groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -192,15 +238,13 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, la
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
 
     def run(ids: list, ys: list, texts: list) -> list:
-        found = [passages(t, FIT_PASSAGES).astype(np.float16) for t in texts]
-        return [ids, ys, [x.tobytes() for x in found]]
+        return [ids, ys, list(map(packed, texts))]
 
     schema = StructType([StructField("doc_id", LongType()), StructField("y", IntegerType()), StructField("x", BinaryType())])
     # One row an id, so that repeated rows don't lift the bound.
     once = map_batches(rows, run, schema, cut=500).groupBy("doc_id", "y").agg(F.min("x").alias("x"))
     got = sorted(once.collect(), key=lambda r: r[0])
-    y, packed = np.array([r[1] for r in got]), [r[2] for r in got]
-    return [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in packed], y
+    return [bytes(r[2]) for r in got], np.array([r[1] for r in got])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, threshold: float = 0.3) -> DataFrame:

@@ -307,6 +307,20 @@ def test_classifier_edges(awkward, empty, labelled, spark):
     assert classifier.quality_scores(empty, labels).count() == 0
 
 
+def test_long_texts_score_as_in_one_piece(monkeypatch):
+    """Runs of passages with a running softmax give what all passages at once give; packing loses nothing."""
+    import numpy as np
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abc!#") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (0, 1, 64, 65, 900, 3000)]
+    model = classifier.Model(3)
+    whole = [float(model.forward(x.astype(np.float64), np.zeros(len(x), np.int64), 1)[0][0]) for x in map(classifier.passages, texts)]
+    assert all((classifier.unpacked(classifier.packed(t)) == classifier.passages(t)).all() for t in texts)
+    assert model.score(texts) == pytest.approx(whole, abs=1e-12)
+    monkeypatch.setattr(classifier, "RUN", 3)
+    assert model.score(texts) == pytest.approx(whole, abs=1e-12)
+
+
 def test_gradient_equals_differences():
     import numpy as np
 
