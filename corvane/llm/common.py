@@ -9,11 +9,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: A word is a run of anything but the six ASCII white-space bytes; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch at most, and Spark's setting of it.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's setting that drops the shuffle files of a query at its end.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of two numbers in a file of a written table whose size is known.
 FILE_ROWS = 200_000
 
@@ -49,7 +52,14 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     rows: how many narrow rows it has at most, where that is known; it then has a file for each FILE_ROWS of them.
     """
     path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_SETTING, "false")
+    # The table outlives its shuffles, so their files can go as soon as it is there.
+    conf.set(CLEANUP_SETTING, "true")
+    try:
+        (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    finally:
+        conf.set(CLEANUP_SETTING, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +68,21 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def frequent(rows: DataFrame) -> DataFrame:
+    """(h, n) of the longs h of rows (h, n) whose n, counts of batches, add up to more than 1; summed in arrays by partition of h."""
+    schema = StructType([StructField("h", LongType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            found, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
+
+    shipped(rows.sparkSession)
+    return rows.repartition("h").mapInArrow(run, schema)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes this application's written tables; results that aren't yet written out are lost with them."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings: prefix-free parsing, then suffix order of the dictionary.
+"""Removal of repeated byte strings by prefix-free parsing and suffix order.
 
 A byte is removed if a string of SPAN (200) bytes that covers it also starts anywhere else, in the same document or
 another. A window is such a string; the work is to tell which windows occur twice, without a row for each byte.
@@ -7,19 +7,22 @@ Parsing. A hash of each 8-byte gram slides over the text; the least of the WINDO
 trigger. A trigger depends on the window's bytes alone, so equal windows have their triggers in the same place, and
 every window has one. The windows of one trigger form a phrase: its own bytes are the starts of these windows, its
 extension reaches to the end of the last one. All windows of a phrase hold the trigger's core, the 71 bytes from it on.
-
-    parse       phrases of all texts, a row each (one for about 65 bytes): document, place, hashes of core and extension
-    dictionary  distinct extensions
-
-A core that occurs once has no repeated window. An extension that occurs twice makes all its windows repeated. Only
-extensions that occur once but share their core with others are open: their strings (and one of each repeated
-extension of that core) come together by core, all suffixes of at least 200 bytes are sorted, and those whose
-neighbour in that order agrees in 200 bytes are repeated. That is the order of the corpus's suffixes, taken only where
-it is in doubt. Runs of more than HASHED suffixes are put in order by 128-bit hashes of their 200 bytes, which takes a
-twelfth of the memory. A core with more than CROWD open extensions has a row for each window instead, grouped by its
-hashes, which combines before the shuffle and has no large group.
-
-Document keys are 64-bit hashes of id and text; phrases found again in a text must agree in place and core as well.
+Phrases that repeat one after another, as in runs of a byte or a short period, are one row.
+
+Counting. A core that occurs once has no repeated window. An extension that occurs twice makes all its windows
+repeated. Only extensions that occur once but share their core with others are open; with one copy of each repeated
+extension of these cores they are the dictionary.
+
+Order. The dictionary's suffixes of at least 200 bytes are put in the corpus's order as prefix-free parsing does it. A
+suffix is what stands before the trigger, a suffix of the dictionary's phrase, followed by what the parse goes on with
+from the trigger. The parse is sorted once, with the common prefix of neighbours. The suffixes before the trigger are
+induced from it: the order by tau + 1 bytes before the trigger is the order by tau bytes, dealt out by one byte more.
+Equal suffixes of phrases are tied by the order of the parse, so equal windows are neighbours at each tau, and bytes,
+not hashes, tell them.
+
+Phrases meet by CLASSES classes of tau, each with the longer core that its windows share (136 bytes for two classes); a
+class whose core occurs once has no repeated window and goes no further. Texts are named by two 64-bit hashes, and equal
+texts are one: a text's phrases are marked once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -35,25 +38,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from corvane.llm.common import map_batches, shipped, written
+from corvane.llm.common import frequent, map_batches, shipped, written
 
 SPAN, WINDOW, GRAM = 200, 130, 8
 CORE = SPAN - WINDOW + 1
-#: Open extensions of one core beyond which each of its windows becomes a row; below, a core is one task's work.
-CROWD = 100_000
-#: Suffixes beyond which their order is that of their hashes.
-HASHED = 100_000
-#: Windows that are sorted at once, at least.
-SORTED = 60_000
+#: Classes of tau, the bytes of a window before its trigger, and how many tau each has.
+CLASSES = 2
+WIDTH = -(-WINDOW // CLASSES)
+#: Window starts parsed at once, and dictionary rows put in order at once, at least.
+BLOCK, SORTED = 1 << 20, 8000
 
 
 def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start and trigger of each phrase, in order; none for fewer than SPAN bytes."""
-    n = len(data)
-    if n < SPAN:
+    """First and last window start and trigger of each phrase, in order; none for fewer than SPAN bytes. Long texts go by blocks."""
+    n = len(data) - SPAN + 1
+    if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    grams = np.ndarray((n - GRAM + 1,), "<u8", buffer=data, strides=(1,))
+    firsts, triggers, before = [], [], -1
+    for a in range(0, n, BLOCK):
+        at = a + _triggers(data[a : a + BLOCK + SPAN - 1])
+        new = np.flatnonzero(np.concatenate(([at[0] != before], at[1:] != at[:-1])))
+        firsts.append(a + new)
+        triggers.append(at[new])
+        before = at[-1]
+    first = np.concatenate(firsts)
+    return first, np.concatenate((first[1:] - 1, [n - 1])), np.concatenate(triggers)
+
+
+def _triggers(data: bytes) -> np.ndarray:
+    """The trigger of each window of data."""
+    grams = np.ndarray((len(data) - GRAM + 1,), "<u8", buffer=data, strides=(1,))
     mixed = grams * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -65,71 +80,97 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         wide *= 2
     if WINDOW > wide:
         least = np.minimum(least[: wide - WINDOW], least[WINDOW - wide :])
-    at = (least[: n - SPAN + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    last = np.concatenate((first[1:] - 1, [n - SPAN]))
-    return first, last, at[first]
+    return (least[: len(data) - SPAN + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def core_hashes(data: bytes, triggers: np.ndarray) -> np.ndarray:
-    return _signed([xxhash.xxh3_64_intdigest(data[a : a + CORE]) for a in triggers.tolist()])
+def phrase_rows(data: bytes) -> list[np.ndarray]:
+    """Columns s, shape (windows x 256 + bytes from the first window to its trigger), run, core, ext of a text's phrases.
+
+    run phrases with equal extensions that follow one another are one row.
+    """
+    first, last, at = parse(data)
+    core = _signed([xxhash.xxh3_64_intdigest(data[a : a + CORE]) for a in at.tolist()])
+    ext = _signed([xxhash.xxh3_64_intdigest(data[a : b + SPAN], 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    shape = ((last - first + 1) << 8 | (at - first)).astype(np.int32)
+    if not len(first):
+        return [first.astype(np.int32), shape, first.astype(np.int32), core, ext]
+    new = np.flatnonzero(np.concatenate(([True], (ext[1:] != ext[:-1]) | (shape[1:] != shape[:-1]))))
+    run = np.diff(np.concatenate((new, [len(first)])))
+    return [first[new].astype(np.int32), shape[new], run.astype(np.int32), core[new], ext[new]]
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id), F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), whole).alias("k"), whole.alias("text"))
+    return docs.select(F.col(id), F.xxhash64(whole).alias("k"), F.xxhash64(F.lit(1), whole).alias("k2"), whole.alias("text"))
+
+
+PHRASE = StructType(
+    [StructField(n, t) for n, t in (("k", LongType()), ("k2", LongType()), ("s", IntegerType()), ("shape", IntegerType()), ("run", IntegerType()), ("core", LongType()), ("ext", LongType()))]
+)
 
 
 def phrases(docs: DataFrame) -> DataFrame:
-    """(k, s, core, ext) of every phrase of (k, text)."""
-    schema = StructType([StructField("k", LongType()), StructField("s", IntegerType()), StructField("core", LongType()), StructField("ext", LongType())])
-    arrow = to_arrow_schema(schema)
+    """(k, k2, s, shape, run, core, ext) of every phrase of (k, k2, text)."""
+    arrow = to_arrow_schema(PHRASE)
     shipped(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                first, last, at = parse(data)
-                if not len(first):
-                    continue
-                ext = _signed([xxhash.xxh3_64_intdigest(data[a : b + SPAN], 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-                held.append([np.full(len(first), k), first.astype(np.int32), core_hashes(data, at), ext])
-                size += len(first)
-                if size > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=arrow)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=arrow)
+        for held in _gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, arrow.types, strict=True)], schema=arrow)
+
+    return docs.select("k", "k2", "text").mapInArrow(run, PHRASE)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """The columns of PHRASE of texts (k, k2, text), some tens of thousands of rows at a time."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for k, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = phrase_rows(text.encode())
+            if n := len(found[0]):
+                held.append([np.full(n, k), np.full(n, k2), *found])
+                size += n
+            if size > least:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def cores_twice(docs: DataFrame) -> DataFrame:
+    """(core, n_core) of the cores that occur twice; counts of a batch become one row for each core before the shuffle."""
+    shipped(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches):
+            core, at = np.unique(held[5], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(np.bincount(at, held[4]).astype(np.int64))], names=["h", "n"])
 
-    return docs.select("k", "text").mapInArrow(run, schema)
+    return frequent(docs.select("k", "k2", "text").mapInArrow(run, "h long, n long")).select(F.col("h").alias("core"), F.col("n").alias("n_core"))
 
 
 REPEATED, WITNESS, OPEN = 0, 1, 2
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(k, s, core, kind) of phrases whose core occurs twice: repeated as a whole, the same and a witness, or open."""
-    # Counts combine before the shuffle, so a hot core is one row a task there. They are written, so that both sides of
-    # the joins are plain tables and a hot core's phrases can be split at run time.
-    twice = written(phrases(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n_core")).where("n_core > 1"), "twice")
-    found = written(phrases(docs).join(twice, "core"), "candidates")
-    exts = found.groupBy("core", "ext").agg(F.count(F.lit(1)).alias("n_ext"), F.min(F.struct("k", "s")).alias("one"))
+    """(k, k2, s, shape, run, kind) of phrases whose core occurs twice: repeated as a whole, the same and a witness, or open."""
+    # Both sides of the joins are plain tables, so that a hot core's phrases can be split at run time.
+    found = written(phrases(docs).join(written(cores_twice(docs), "twice"), "core"), "candidates")
+    exts = found.groupBy("core", "ext").agg(F.sum("run").alias("n_ext"), F.min(F.struct("k", "k2", "s")).alias("one"))
     exts = written(exts.where("n_ext > 1").withColumnsRenamed({"core": "_core", "ext": "_ext"}), "extensions")
     found = found.join(exts, (F.col("core") == F.col("_core")) & (F.col("ext") == F.col("_ext")), "left")
-    witness = (F.col("n_ext") < F.col("n_core")) & (F.struct("k", "s") == F.col("one"))
+    witness = (F.col("n_ext") < F.col("n_core")) & (F.struct("k", "k2", "s") == F.col("one"))
     kind = F.when(F.col("n_ext").isNull(), OPEN).when(witness, WITNESS).otherwise(REPEATED)
-    return written(found.select("k", "s", "core", kind.alias("kind")), "marks")
+    return written(found.select("k", "k2", "s", "shape", "run", kind.alias("kind")).distinct(), "marks")
 
 
-def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("k").agg(F.collect_list(F.struct(*columns)).alias("found")).withColumnRenamed("k", "_k")
+def _by_text(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("k", "k2").agg(F.collect_list(F.struct(*columns)).alias("found"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -143,52 +184,78 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(*names, "text"), run, StructType([*(docs.schema[c] for c in names), StructField("packed", BinaryType())]), cut=500)
 
 
-def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(k, s, core, kind, string) of the open phrases and the witnesses: their extensions."""
-    wanted = _by_document(found.where(F.col("kind") != REPEATED).distinct(), "s", "core", "kind")
-    rows = _packed(docs.select("k", "text")).join(wanted, F.col("k") == F.col("_k")).select("k", "packed", "found")
+DICTIONARY = StructType(
+    [
+        StructField(n, t)
+        for n, t in (("key", LongType()), ("k", LongType()), ("k2", LongType()), ("kind", IntegerType()), ("class", IntegerType()), ("t", IntegerType()), ("before", IntegerType()), ("string", BinaryType()))
+    ]
+)
+
 
-    def run(ks: list, packs: list, lists: list) -> list:
+def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each class of tau of each open phrase and witness, by the hash of the class's core.
+
+    t: the trigger's place in its text; before: bytes of string before the trigger, the class's greatest tau for the
+    phrase; string reaches to the end of its last window.
+    """
+    wanted = _by_text(found.where(F.col("kind") != REPEATED), "s", "shape", "kind")
+    # One copy of a text is enough.
+    texts = _packed(docs.select("k", "k2", "text")).groupBy("k", "k2").agg(F.first("packed").alias("packed"))
+    rows = texts.join(wanted, ["k", "k2"]).select("k", "k2", "packed", "found")
+
+    def run(ks: list, k2s: list, packs: list, lists: list) -> list:
         open_ = zstandard.ZstdDecompressor().decompress
         out: list[tuple] = []
-        for k, data, wants in zip(ks, packs, lists, strict=True):
+        for k, k2, data, wants in zip(ks, k2s, packs, lists, strict=True):
             data = open_(data)
-            first, last, at = parse(data)
-            place = {s: i for i, s in enumerate(first.tolist())}
             for w in wants:
-                i = place.get(w["s"])
-                if i is not None and _signed([xxhash.xxh3_64_intdigest(data[at[i] : at[i] + CORE])])[0] == w["core"]:
-                    out.append((k, w["s"], w["core"], w["kind"], data[w["s"] : last[i] + SPAN]))
-        return [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-
-    kinds = (LongType(), IntegerType(), LongType(), IntegerType(), BinaryType())
-    schema = StructType([StructField(n, t) for n, t in zip(("k", "s", "core", "kind", "string"), kinds, strict=True)])
-    return map_batches(rows, run, schema, cut=500)
-
-
-def twice_in_order(strings: list[bytes]) -> np.ndarray:
-    """For each suffix of at least SPAN bytes of each string, in turn: does a neighbour in their order agree in SPAN bytes?"""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    counts = lengths - SPAN + 1
-    offsets = np.cumsum(lengths) - lengths
-    starts = np.repeat(offsets - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    if len(starts) > HASHED:
-        digests = b"".join([xxhash.xxh3_128_digest(data[a : a + SPAN]) for a in starts.tolist()])
-        high, low = np.frombuffer(digests, "<u8").reshape(-1, 2).T
-        order = np.lexsort((low, high))
-        return _paired(order, (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]]))
-    suffixes = np.lib.stride_tricks.sliding_window_view(data, SPAN)[starts]
-    keys = np.ascontiguousarray(suffixes).view(np.dtype((np.void, SPAN))).ravel()
-    order = np.argsort(keys, kind="stable")
-    return _paired(order, (suffixes[order[1:]] == suffixes[order[:-1]]).all(1))
-
-
-def _paired(order: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Flags of the members of an order that equal a neighbour; same: does each but the first equal the one before?"""
-    out = np.zeros(len(order), bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
+                n, most = w["shape"] >> 8, w["shape"] & 255
+                t = w["s"] + most
+                for c in range((most - n + 1) // WIDTH, most // WIDTH + 1):
+                    high, low = min(most, c * WIDTH + WIDTH - 1), max(most - n + 1, c * WIDTH)
+                    key = xxhash.xxh3_64_intdigest(data[t - c * WIDTH : t - c * WIDTH + SPAN - WIDTH + 1], c) - 2**63
+                    out.append((key, k, k2, w["kind"], c, t, high, data[t - high : t - low + SPAN]))
+        return [list(c) for c in zip(*out, strict=True)] or [[]] * len(DICTIONARY)
+
+    return map_batches(rows, run, DICTIONARY, cut=200)
+
+
+def in_order(data: np.ndarray, trigger: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
+    """For dictionary rows: which windows, by tau - base, occur in another row or at another tau.
+
+    data: the rows' strings, with SPAN bytes to spare at either end; trigger: where each row's trigger stands in it.
+    low, high: the tau of each row's windows, all from base to base + WIDTH - 1. Rows need not share a core.
+    """
+    n = len(trigger)
+    out = np.zeros((n, WIDTH), bool)
+    # The parse's order: what follows the trigger, within equal base bytes before it (all windows of the class have these).
+    whole = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, base + SPAN)[trigger - base])
+    order = np.argsort(whole.view(np.dtype((np.void, base + SPAN))).ravel(), kind="stable")
+    same = whole[order[1:]] == whole[order[:-1]]
+    common = np.where(same.all(1), base + SPAN, same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    # A row's suffix of the dictionary by name: rows with equal names agree in the tau bytes before the trigger.
+    name = np.zeros(n, np.int64)
+    name[order] = np.concatenate(([0], np.cumsum(common < base)))
+    for tau in range(base, base + WIDTH):
+        if tau > base:
+            order = order[high[order] >= tau]
+            if len(order) < 2:
+                break
+            byte = data[trigger[order] - tau]
+            turn = np.argsort(byte, kind="stable")
+            order, byte = order[turn], byte[turn]
+            old = name[order]
+            name[order] = np.concatenate(([0], np.cumsum((byte[1:] != byte[:-1]) | (old[1:] != old[:-1]))))
+        here = order[low[order] <= tau]
+        if len(here) < 2:
+            continue
+        # Equal names are tied by the parse: do the parts from the trigger on agree in the SPAN - tau bytes that are left?
+        depth = np.concatenate(([0], np.cumsum(common < base + SPAN - tau)))[place[here]]
+        alike = (name[here[1:]] == name[here[:-1]]) & (depth[1:] == depth[:-1])
+        out[here[1:], tau - base] |= alike
+        out[here[:-1], tau - base] |= alike
     return out
 
 
@@ -198,77 +265,61 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-SPANS = StructType([StructField("k", LongType()), StructField("a", IntegerType()), StructField("b", IntegerType())])
+SPANS = StructType([StructField("k", LongType()), StructField("k2", LongType()), StructField("a", IntegerType()), StructField("b", IntegerType())])
+
+
+def spans_in(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """(k, k2, a, b) of the runs of repeated window starts in the open ones of rows (k, k2, kind, class, t, before, string)."""
+    out = []
+    for c in sorted({r[3] for r in rows}):
+        own = [r for r in rows if r[3] == c]
+        lengths = np.array([len(r[6]) for r in own])
+        before = np.array([r[5] for r in own])
+        starts = SPAN + np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join([bytes(SPAN), *(r[6] for r in own), bytes(SPAN)]), np.uint8)
+        low = before - (lengths - SPAN)
+        flags = in_order(data, starts + before, low, before, c * WIDTH)
+        for i in np.flatnonzero(flags.any(1)).tolist():
+            k, k2, kind, _, t, *_ = own[i]
+            if kind == OPEN:
+                out += [(k, k2, t - c * WIDTH - b, t - c * WIDTH - a) for a, b in _runs(flags[i])]
+    return out
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """(k, a, b): runs of repeated window starts in the open phrases of contexts()."""
-    crowded = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(F.col("core").alias("_core"))
-    tagged = rows.join(crowded, F.col("core") == F.col("_core"), "left")
-    near = tagged.where(F.col("_core").isNull()).select("core", "k", "s", "kind", "string")
-    near = near.repartition("core").sortWithinPartitions("core")
+    """(k, k2, a, b): runs of repeated window starts in the open phrases of a written dictionary()."""
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    near = rows.join(written(several, "several"), "key", "left_semi").repartition("key").sortWithinPartitions("key")
     arrow = to_arrow_schema(SPANS)
+    shipped(rows.sparkSession)
 
-    def sort(rows: list[tuple]) -> pa.RecordBatch:
-        flags = twice_in_order([r[3] for r in rows])
-        out, at = [], 0
-        for k, s, kind, string in rows:
-            n = len(string) - SPAN + 1
-            if kind == OPEN:
-                out += [(k, s + a, s + b) for a, b in _runs(flags[at : at + n])]
-            at += n
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, arrow.types, strict=True)], schema=arrow)
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        core, size = None, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                for c, *row in zip(*(x.to_pylist() for x in whole.slice(at, 1000).columns), strict=True):
-                    if c != core and size >= SORTED:
-                        yield sort(held)
-                        held, size = [], 0
-                    core = c
-                    held.append(tuple(row))
-                    size += len(row[3]) - SPAN + 1
+        before = None
+        for part in batches:
+            for key, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key != before and len(held) >= SORTED:
+                    yield batch(spans_in(held))
+                    held = []
+                before = key
+                held.append(tuple(row))
         if held:
-            yield sort(held)
-
-    shipped(rows.sparkSession)
-    few = near.mapInArrow(run, SPANS)
-
-    def each(ks: list, ss: list, kinds: list, strings: list) -> list:
-        out: list[tuple] = []
-        for k, s, kind, x in zip(ks, ss, kinds, strings, strict=True):
-            for i in range(len(x) - SPAN + 1):
-                part = x[i : i + SPAN]
-                out.append((k, s + i, kind, xxhash.xxh3_64_intdigest(part), xxhash.xxh3_64_intdigest(part, 1)))
-        ks, at, kinds, one, two = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-        return [ks, at, kinds, _signed(one), _signed(two)]
-
-    fields = (("k", LongType()), ("a", IntegerType()), ("kind", IntegerType()), ("one", LongType()), ("two", LongType()))
-    windows = map_batches(tagged.where(F.col("_core").isNotNull()).select("k", "s", "kind", "string"), each, StructType([StructField(*f) for f in fields]), cut=200)
-    double = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("one").alias("_one"), F.col("two").alias("_two"))
-    many = windows.where(F.col("kind") == OPEN).join(double, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select("k", "a", F.col("a").alias("b"))
-    return few.unionByName(many)
+            yield batch(spans_in(held))
 
-
-def _freed(docs: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of the steps that are written and done."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    return near.mapInArrow(run, SPANS)
 
 
 def repeat_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (id, k, text) of docs, and spans (k, a, b): runs of window starts that repeat, b None for a whole phrase at a."""
+    """Rows (id, k, k2, text) of docs, and spans (k, k2, a, b): runs of window starts that repeat."""
     rows = _keyed(docs, id, text)
     found = marks(rows)
-    _freed(docs)
-    open_ = written(contexts(rows, found), "contexts")
-    _freed(docs)
-    more = written(resolved(open_), "resolved")
-    _freed(docs)
-    whole = found.where(F.col("kind") != OPEN).select("k", F.col("s").alias("a"), F.lit(None).cast("int").alias("b"), "core")
-    return rows, whole.unionByName(more.withColumn("core", F.lit(None).cast("long")))
+    more = written(resolved(written(dictionary(rows, found), "dictionary")), "resolved")
+    last = F.col("s") + F.col("run") * F.shiftright("shape", 8) - 1
+    return rows, found.where(F.col("kind") != OPEN).select("k", "k2", F.col("s").alias("a"), last.cast("int").alias("b")).unionByName(more)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,27 +329,18 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     Texts under 200 bytes lose nothing. Remaining bytes need not be valid UTF-8.
     """
     rows, spans = repeat_spans(docs, id, text)
-    joined = _packed(rows).join(_by_document(spans, "a", "b", "core"), F.col("k") == F.col("_k"), "left").select(id, "packed", "found")
+    spans = written(_by_text(spans, "a", "b").withColumnsRenamed({"k": "_k", "k2": "_k2"}), "spans")
+    joined = _packed(rows).join(spans, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left").select(id, "packed", "found")
 
     def run(ids: list, packs: list, lists: list) -> list:
         open_ = zstandard.ZstdDecompressor().decompress
         out = []
         for data, spans in zip(packs, lists, strict=True):
             data = open_(data)
-            turn = np.zeros(len(data) + 1, np.int64)
-            if spans:
-                first, last, at = parse(data)
-                place = {s: i for i, s in enumerate(first.tolist())}
-                for x in spans:
-                    a, b = x["a"], x["b"]
-                    if b is None:
-                        i = place.get(a)
-                        if i is None or _signed([xxhash.xxh3_64_intdigest(data[at[i] : at[i] + CORE])])[0] != x["core"]:
-                            continue
-                        b = int(last[i])
-                    if b + SPAN <= len(data):
-                        turn[a] += 1
-                        turn[b + SPAN] -= 1
+            turn = np.zeros(len(data) + 1, np.int32)
+            for x in spans or ():
+                turn[x["a"]] += 1
+                turn[x["b"] + SPAN] -= 1
             gone = np.cumsum(turn[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             out.append((len(data), int(gone.sum()), len(_runs(gone)), kept))
@@ -314,7 +356,6 @@ def repeat_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return out.select(id, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-
 #: DuckDB: repeat_table() over documents, by counting every window of 200 bytes.
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),

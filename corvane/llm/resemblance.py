@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from corvane.llm.common import aside, map_batches, shipped, small, written
+from corvane.llm.common import aside, frequent, map_batches, shipped, small, written
 from corvane.llm.simhash import components, keep_first, near_stars, print_of, shingle_hashes
 
 BANDS, ROWS = 32, 4
@@ -99,23 +99,15 @@ def _prints_alike(nodes: DataFrame) -> DataFrame:
 
 
 def _often(sets: DataFrame) -> DataFrame:
-    """(h, n) of the shingles that occur in n > 1 sets: counted in each batch, then in each partition of the shingles."""
-    schema = StructType([StructField("h", LongType()), StructField("n", LongType())])
+    """(h, n) of the shingles that occur in n > 1 sets."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            found, at = np.unique(np.concatenate([b.column(0).to_numpy() for b in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([b.column(1).to_numpy() for b in held])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
-
     shipped(sets.sparkSession)
-    return sets.select("set").mapInArrow(first, schema).repartition("h").mapInArrow(then, schema)
+    return frequent(sets.select("set").mapInArrow(run, "h long, n long"))
 
 
 def _shared(sets: DataFrame, least: float) -> DataFrame:

@@ -144,19 +144,56 @@ def repeated_texts() -> list:
     return texts
 
 
-@pytest.mark.parametrize("crowd", [100_000, 2])
-def test_repeats_equal_brute_force(make, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+def test_repeats_equal_brute_force(make):
     texts = repeated_texts()
     got = repeats.repeat_table(make(texts)).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
 
 
-def test_order_by_bytes_equals_order_by_hashes(monkeypatch):
+@pytest.mark.parametrize("classes", [1, 2, 5])
+def test_induced_order_equals_counting(classes, monkeypatch):
+    """in_order() against counts of every window, for dictionary rows of one class of tau after another."""
+    width = -(-repeats.WINDOW // classes)
+    monkeypatch.setattr(repeats, "WIDTH", width)
     strings = [t.encode() for t in repeated_texts() if t and len(t.encode()) >= 200]
-    by_bytes = repeats.twice_in_order(strings)
-    monkeypatch.setattr(repeats, "HASHED", 0)
-    assert (repeats.twice_in_order(strings) == by_bytes).all() and by_bytes.any() and not by_bytes.all()
+    rows, windows = [], []
+    for i, data in enumerate(strings):
+        for s, e, t in zip(*(x.tolist() for x in repeats.parse(data)), strict=True):
+            for c in range(classes):
+                high, low = min(t - s, c * width + width - 1), max(t - e, c * width)
+                if low <= high:
+                    rows.append((i, 0, repeats.OPEN, c, t, high, data[t - high : t - low + 200]))
+                    windows += [(i, p, t - p, data[p : p + 200]) for p in range(t - high, t - low + 1)]
+    counts = Counter(x[3] for x in windows)
+    want = sorted((i, p) for i, p, _, w in windows if counts[w] > 1)
+    got = sorted((i, p) for i, _, a, b in repeats.spans_in(rows) for p in range(a, b + 1))
+    assert got == want and 0 < len(got) < len(windows)
+
+
+def test_parsing_by_blocks_equals_parsing_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 100, 5000, dtype=np.uint8)), b"a" * 3000, b"xyz" * 900, b"q" * 250 + bytes(rng.integers(97, 123, 900, dtype=np.uint8))]
+    whole = [repeats.phrase_rows(t) for t in texts]
+    monkeypatch.setattr(repeats, "BLOCK", 97)
+    for a, b in zip(whole, map(repeats.phrase_rows, texts), strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert all(len(x[0]) <= 3 for x in whole[1:3]), "runs of one byte and of a short period are a few rows"
+
+
+def test_identical_rows_cost_no_more_than_other_rows(make, spark):
+    """Repeated rows of one id and text are marked once: 3,000 of them take about as long as 3,000 ids."""
+    import time
+
+    rng = random.Random(13)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(700))
+    repeats.repeat_table(make([text, text])).collect()
+    took = []
+    for rows in ([(i, text, "en", "a") for i in range(3000)], [(1, text, "en", "a")] * 3000):
+        began = time.perf_counter()
+        got = repeats.repeat_table(make(rows)).collect()
+        took.append(time.perf_counter() - began)
+        assert len(got) == 3000 and {(r.n_bytes, r.n_removed, r.n_spans) for r in got} == {(len(text), len(text), 1)}
+    assert took[1] < 3 * took[0] + 5
 
 
 def test_every_window_has_its_phrase():
