@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import settled
+from corvane.functions import ragged
+from corvane.session import bounded, settled
 
 
 def bucket_cost(kind: str, limit: float) -> float:
@@ -53,15 +56,33 @@ def batches(
     else:
         raise ValueError("oversize is error or drop")
     sizes = F.array(*(F.lit(batch_size(budget, bucket_cost(cost, x))) for x in limits))
-    window = Window.partitionBy(*keys).orderBy(*(order or [F.col(length)]))
     size = F.get(sizes, F.col("bucket"))
-    rows = rows.withColumn("batch", F.floor((F.row_number().over(window) - 1) / size).cast("long"))
+    # Rows are numbered over all buckets in ranges of the order, and then within a bucket by the bucket's first number:
+    # a bucket with a third of all rows is no single task.
+    turns = {f"_order{i}": c for i, c in enumerate(order or [F.col(length)])}
+    rows = numbered(rows.withColumns(turns), [*keys, *turns], "_row").drop(*turns)
+    ends = settled(rows.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_all")))
+    ends = ends.withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys))
+    rows = rows.join(bounded(ends, ends.count()), same).withColumn("batch", F.floor((F.col("_row") - F.col("_first")) / size).cast("long"))
     if drop_last:
-        whole = F.count(F.lit(1)).over(Window.partitionBy(*keys, "batch"))
-        rows = rows.withColumn("_n", whole).where(F.col("_n") == size).drop("_n")
+        rows = rows.where((F.col("batch") + 1) * size <= F.col("_all"))
+    rows = rows.drop("_row", "_first", "_all", *(f"_key_{c}" for c in keys))
     return rows.withColumn("replica", F.pmod("batch", F.lit(replicas)).cast("int"))
 
 
+def collated(rows: DataFrame, batch: list[str], arrays: dict[str, Column], length: str) -> DataFrame:
+    """The padded export of batches: each array filled up to its batch's longest `length`, with width and mask.
+
+    arrays: the fill of each array column; all arrays of a row are as long as its column `length` says.
+    """
+    widths = rows.groupBy(*batch).agg(F.max(length).cast("int").alias("width")).withColumnsRenamed({c: f"_{c}" for c in batch})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in batch))
+    out = rows.join(widths, same).drop(*(f"_{c}" for c in batch))
+    padded = {c: ragged.pad(F.col(c), F.col("width"), fill) for c, fill in arrays.items()}
+    return out.withColumns(padded | {"mask": ragged.mask(F.col(next(iter(arrays))), F.col("width"))})
+
+
 def concatenated(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """UNION ALL of named parts with a global id: rows of a part follow those of the parts before it, each by its key.
 

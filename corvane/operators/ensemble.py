@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.flow import hash_uniform
 from corvane.functions.geom import aligned_rmsd
+from corvane.operators.kernels import run_kernel
+from corvane.session import settled
 
 #: Boltzmann's constant in kcal / (mol K).
 BOLTZMANN = 0.001987
@@ -53,16 +55,21 @@ def within_strain(rows: DataFrame, by: list[str], energy: str, most: float = 6.0
 
 
 def weighted_sample(rows: DataFrame, by: list[str], weight: str, order: list[str], draws: int, seed: int) -> DataFrame:
-    """draws rows of each group, with replacement, proportional to weight: the inverse of the cumulative weight."""
+    """draws rows of each group, with replacement, proportional to weight: the inverse of the cumulative weight.
+
+    Draws are laid between the rows on the line of cumulative weights, and each takes the last row before it: one sorted
+    pass over rows and draws instead of a row for each pair of them. Rows of weight 0 are never drawn.
+    """
     group = Window.partitionBy(*by)
-    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"_to": F.sum(weight).over(upto), "_all": F.sum(weight).over(group)})
-    rows = rows.withColumn("_from", F.col("_to") - F.col(weight))
-    draw = rows.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    draw = draw.withColumn("u", hash_uniform(*(F.col(c) for c in by), F.col("draw"), seed=seed))
-    out = rows.join(draw, by)
-    at = F.col("u") * F.col("_all")
-    return out.where((at >= F.col("_from")) & (at < F.col("_to"))).drop("_from", "_to", "_all", "u")
+    there = rows.where(F.col(weight) > 0)
+    start = F.sum(weight).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(weight)
+    laid = there.select(*by, start.cast("double").alias("_at"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast("int").alias("draw"))
+    draw = there.groupBy(*by).agg(F.sum(weight).alias("_all")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    at = hash_uniform(*(F.col(c) for c in by), F.col("draw"), seed=seed) * F.col("_all")
+    draw = draw.select(*by, at.cast("double").alias("_at"), F.lit(None).cast(laid.schema["_row"].dataType).alias("_row"), "draw")
+    before = group.orderBy("_at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = laid.unionByName(draw).withColumn("_row", F.last("_row", ignorenulls=True).over(before))
+    return out.where("draw is not null").select("_row.*", "draw")
 
 
 def uniform_sample(rows: DataFrame, by: list[str], order: list[str], draws: int, seed: int) -> DataFrame:
@@ -71,14 +78,23 @@ def uniform_sample(rows: DataFrame, by: list[str], order: list[str], draws: int,
 
 
 def pairwise_rmsd(rows: DataFrame, by: str, id: str, points: str, most_pairs: int = 200, seed: int = 0) -> DataFrame:
-    """(by, mean_rmsd, n_pairs): the mean aligned RMSD over a group's pairs, at most most_pairs of them by hash."""
-    side = lambda a: rows.select(F.col(by), F.col(id).alias(f"{a}_id"), F.col(points).alias(f"{a}_xyz"))
-    ids = rows.select(by, id)
-    pairs = ids.select(by, F.col(id).alias("a_id")).join(ids.select(by, F.col(id).alias("b_id")), by).where("a_id < b_id")
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", "a_id", "b_id", F.lit(str(seed)))), "a_id", "b_id")
-    # Pairs are drawn on ids alone; coordinates join the drawn ones only.
-    pairs = pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most_pairs).drop("_rank")
-    pairs = pairs.join(side("a"), [by, "a_id"]).join(side("b"), [by, "b_id"])
+    """(by, mean_rmsd, n_pairs): the mean aligned RMSD over a group's pairs, at most most_pairs of them.
+
+    The pairs i < j of a group's ranks are numbered j (j - 1) / 2 + i. Of more than most_pairs, the numbers are cut into
+    so many even runs and one is drawn by hash from each, then decoded: only the drawn pairs are ever made.
+    """
+    ids = rows.select(by, id).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(id)) - 1)
+    sized = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_all", F.expr("_n * (_n - 1) div 2"))
+    sized = sized.withColumn("_draws", F.least(F.col("_all"), F.lit(most_pairs)))
+    drawn = sized.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
+    drawn = drawn.withColumns({"_low": F.expr("_t * _all div _draws"), "_high": F.expr("(_t + 1) * _all div _draws")})
+    u = hash_uniform(F.col(by), F.col("_t"), seed=seed)
+    drawn = drawn.withColumn("_m", F.col("_low") + F.floor(u * (F.col("_high") - F.col("_low"))))
+    guess = F.floor((1 + F.sqrt(1 + 8 * F.col("_m").cast("double"))) / 2).cast("long")
+    drawn = drawn.withColumn("_j", guess).withColumn("_j", F.expr("_j - if(_j * (_j - 1) div 2 > _m, 1, 0)"))
+    drawn = drawn.select(by, "_j", F.expr("_m - _j * (_j - 1) div 2").alias("_i"))
+    side = lambda a, at: rows.join(ids, [by, id]).select(F.col(by), F.col("_i").alias(at), F.col(points).alias(a))
+    pairs = drawn.join(side("a_xyz", "_i"), [by, "_i"]).join(side("b_xyz", "_j"), [by, "_j"])
     return pairs.groupBy(by).agg(F.avg(aligned_rmsd(F.col("a_xyz"), F.col("b_xyz"))).alias("mean_rmsd"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -140,6 +156,20 @@ def distinct_conformers(rows: DataFrame, by: str, id: str, least: float = 0.5) -
     return rows.select(by, id, "xyz").groupBy(by).applyInPandas(run, f"{by} {types[by]}, {id} {types[id]}")
 
 
+def sample_ensemble(rows: DataFrame, by: str, id: str, dedup: float | None = 0.5, strain: float = 6.0, temperature: float = 300.0) -> DataFrame:
+    """The whole chain from molecules to a weighted ensemble: by, id, xyz, energy, strain, weight.
+
+    Conformers come from the registered kernel `embed` and are relaxed by `mmff`; rows that already hold xyz and energy
+    pass these steps as they are. Then conformers within `dedup` of an earlier one go (None: all stay), those without an
+    energy, and those too strained; Boltzmann weights are of what is left.
+    """
+    found = run_kernel("mmff", run_kernel("embed", rows, "xyz"), "energy")
+    if dedup is not None:
+        found = settled(found)
+        found = found.join(distinct_conformers(found, by, id, dedup), [by, id], "left_semi")
+    return boltzmann_weights(within_strain(found, [by], "energy", strain), [by], "energy", temperature)
+
+
 #: Outcomes of raw conformers, in the order in which they are tried.
 OUTCOMES = ("missing", "low", "invalid", "reference", "match", "mismatch")
 

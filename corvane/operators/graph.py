@@ -55,11 +55,13 @@ def random_walks(edges: DataFrame, steps: int) -> DataFrame:
     whole = both.unionByName(nodes.select("graph", "i", F.col("i").alias("j")))
     size = whole.groupBy("graph", "j").agg(F.count(F.lit(1)).alias("_d"))
     one = whole.join(size, ["graph", "j"]).select("graph", "i", "j", (1 / F.col("_d")).alias("p"))
+    # Each power is settled: the next one and the result both read it.
+    one = settled(one)
     power, out = one, one.withColumn("step", F.lit(1))
     right = one.select("graph", F.col("i").alias("m"), F.col("j"), F.col("p").alias("q"))
     for k in range(2, steps + 1):
         left = power.select("graph", "i", F.col("j").alias("m"), "p")
-        power = left.join(right, ["graph", "m"]).groupBy("graph", "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+        power = settled(left.join(right, ["graph", "m"]).groupBy("graph", "i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("p")))
         out = out.unionByName(power.withColumn("step", F.lit(k)))
     return out.select("graph", "step", "i", "j", "p")
 

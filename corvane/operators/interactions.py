@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.geom import angle_degrees, distance
+from corvane.functions.geom import angle_degrees
 from corvane.functions.vocab import INTERACTIONS, group_interaction
+from corvane.operators.joins import distance_join
 
 
 def of_types(rows: DataFrame, types: list[str]) -> DataFrame:
@@ -50,8 +51,7 @@ def hydrogen_bonds(donors: DataFrame, acceptors: DataFrame, on: list[str], bonds
     donors: on, donor, d_point, h_point; acceptors: on, acceptor, a_point; points are struct<x,y,z>. bonds, where given,
     has (on, a, b, steps): pairs nearer than least_bonds along the graph go. A donor is never its own acceptor.
     """
-    met = donors.join(acceptors, on).where(F.col("donor") != F.col("acceptor"))
-    met = met.withColumn("dist", distance(F.col("d_point"), F.col("a_point"))).where(F.col("dist") <= reach)
+    met = _near(donors, acceptors, "d_point", "a_point", on, reach).where(F.col("donor") != F.col("acceptor"))
     met = met.withColumn("angle", angle_degrees(F.col("d_point"), F.col("h_point"), F.col("a_point"))).where(F.col("angle") >= least_angle)
     if bonds is not None:
         near = bonds.where(F.col("steps") < least_bonds).select(*on, F.col("a").alias("donor"), F.col("b").alias("acceptor"))
@@ -63,4 +63,22 @@ def contacts(protein: DataFrame, ligand: DataFrame, on: list[str], reach: float
     """A geometric approximation of hydrophobic contacts: carbon pairs (z = 6) within reach. Exact detection is a plug-in."""
     p = protein.where("z = 6").select(*on, F.col("atom").alias("p"), F.col("point").alias("p_point"))
     q = ligand.where("z = 6").select(*on, F.col("atom").alias("l"), F.col("point").alias("l_point"))
-    return p.join(q, on).withColumn("dist", distance(F.col("p_point"), F.col("l_point"))).where(F.col("dist") <= reach).drop("p_point", "l_point")
+    return _near(p, q, "p_point", "l_point", on, reach).drop("p_point", "l_point")
+
+
+def ionic_contacts(protein: DataFrame, ligand: DataFrame, on: list[str], reach: float = 4.5) -> DataFrame:
+    """A geometric approximation of ionic interactions, by the ligand's part in them: on, p, l, type, dist.
+
+    Both sides: on, atom, charge, point. Oppositely charged atoms within reach, Cationic where the ligand's is positive.
+    """
+    side = lambda rows, a: rows.where("charge <> 0").select(*on, F.col("atom").alias(a), F.col("charge").alias(f"_{a}"), F.col("point").alias(f"{a}_point"))
+    met = _near(side(protein, "p"), side(ligand, "l"), "p_point", "l_point", on, reach).where("sign(_p) = -sign(_l)")
+    return met.select(*on, "p", "l", F.when(F.col("_l") > 0, "Cationic").otherwise("Anionic").alias("type"), "dist")
+
+
+def _near(left: DataFrame, right: DataFrame, left_point: str, right_point: str, on: list[str], reach: float) -> DataFrame:
+    """Rows of both sides with equal keys and points at most reach apart, and dist; points meet by cells, not all with all."""
+    axes = {f"_{a}": a for a in "xyz"}
+    flat = lambda rows, at: rows.withColumns({c: F.col(f"{at}.{a}") for c, a in axes.items()})
+    met = distance_join(flat(left, left_point), flat(right, right_point), list(axes), reach, on)
+    return met.select(*(F.col(f"l_{c}").alias(c) for c in left.columns), *(F.col(f"r_{c}").alias(c) for c in right.columns if c not in on), "dist")

@@ -55,7 +55,11 @@ def near_any(left: DataFrame, right: DataFrame, axes: list[str], reach: float, o
 
 def token_sets(sets: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
     """Distinct sets of (id, token): (rep, tokens, members), and the membership (id, rep); rep is the least id of a set."""
-    whole = sets.groupBy(id).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    return array_sets(sets.groupBy(id).agg(F.array_sort(F.collect_set("token")).alias("tokens")), id)
+
+
+def array_sets(whole: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """token_sets() of (id, tokens), tokens a sorted array of distinct ones."""
     reps = whole.groupBy("tokens").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("members"))
     return reps.select("rep", "tokens", "members"), whole.join(reps, "tokens").select(id, "rep")
 
@@ -102,12 +106,14 @@ def containing(rows: DataFrame, passages: DataFrame, id: str, text: str, passage
     return found.union(rows.select(id, text).join(short, held).select(id, passage_id))
 
 
-def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kind: str) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kind: str, distinct: bool = False) -> DataFrame:
     """For each left row, the right row of the same kind that shares most members with it; the least right_id of equals.
 
-    Both sides are long: id, kind, member. Left rows that share nothing go.
+    Both sides are long: id, kind, member. Left rows that share nothing go. distinct: members of a left row are known to
+    be distinct, so its rows need no shuffle before the join.
     """
-    shared = left.select(left_id, kind, "member").distinct().join(right.select(right_id, kind, "member").distinct(), [kind, "member"])
+    rows = left.select(left_id, kind, "member")
+    shared = (rows if distinct else rows.distinct()).join(right.select(right_id, kind, "member").distinct(), [kind, "member"])
     counts = shared.groupBy(left_id, kind, right_id).agg(F.count(F.lit(1)).alias("overlap"))
     best = counts.groupBy(left_id, kind).agg(F.max_by(F.struct(right_id, "overlap"), F.struct("overlap", -F.col(right_id))).alias("b"))
     return best.select(left_id, kind, f"b.{right_id}", "b.overlap")

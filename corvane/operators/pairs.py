@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.batching import numbered
+from corvane.session import settled
+
 
 def _side(scores: DataFrame, sizes: DataFrame, name: str, value: str, item: str) -> DataFrame:
     return scores.join(sizes, "i").select(F.col("i").alias(item), "k", F.col(value).alias(name), F.col("size").alias(f"{item}_size"))
 
 
-def _band(tol: int):
-    return (F.col("i") != F.col("j")) & (F.abs(F.col("i_size") - F.col("j_size")) <= tol)
+def _met(a: DataFrame, b: DataFrame, tol: int) -> DataFrame:
+    """Rows of a and b with a common witness and sizes in the band: joined on witness and size, so that a popular witness meets by size."""
+    sized = a.withColumn("_at", F.explode(F.sequence(F.col("i_size") - tol, F.col("i_size") + tol)))
+    return sized.join(b.withColumn("_at", F.col("j_size")), ["k", "_at"]).where("i <> j").drop("_at")
 
 
 def pos_pos(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_chem: float, tol: int) -> DataFrame:
@@ -28,7 +33,7 @@ def pos_pos(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_chem: floa
     guarded = scores.where(F.col("ecfp") <= tau_chem)
     a = _side(guarded.where(F.col("compact") >= tau_high), sizes, "a", "compact", "i")
     b = _side(guarded.where(F.col("extended") >= tau_high), sizes, "b", "extended", "j")
-    met = a.join(b, "k").where(_band(tol)).withColumn("score", F.least("a", "b"))
+    met = _met(a, b, tol).withColumn("score", F.least("a", "b"))
     order = Window.partitionBy("i").orderBy(F.col("score").desc(), "j", "k")
     return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("i", "j", "k", "score")
 
@@ -44,7 +49,7 @@ def pos_neg(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_low: float
     def direction(first, second, name: str) -> DataFrame:
         a = _side(guarded.where(first("compact")), sizes, "a", "compact", "i")
         b = _side(guarded.where(second("extended")), sizes, "b", "extended", "j")
-        met = a.join(b, "k").where(_band(tol)).withColumn("gap", F.abs(F.col("a") - F.col("b")))
+        met = _met(a, b, tol).withColumn("gap", F.abs(F.col("a") - F.col("b")))
         best = F.max_by("k", F.struct("gap", -F.col("k")))
         return met.groupBy("i", "j").agg(best.alias(name), F.max("gap").alias(f"{name}_gap"))
 
@@ -56,11 +61,13 @@ def pos_neg(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_low: float
 
 def pos_pos_diagnostics(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_chem: float, tol: int) -> DataFrame:
     """(i, size_matched, with_witness, past_guard, best, reason) for every i; reason is null where a partner was found."""
-    pairs = sizes.select("i", F.col("size").alias("i_size")).join(sizes.select(F.col("i").alias("j"), F.col("size").alias("j_size")), _band(tol))
-    matched = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("size_matched"))
+    # Items in a size's band are the sum of 2 tol + 1 counts by size: no pair is made for them.
+    counts = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    near = counts.select(F.explode(F.sequence(F.col("size") - tol, F.col("size") + tol)).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("n"))
+    matched = sizes.join(near, "size").select("i", (F.col("n") - 1).alias("size_matched"))
     a = _side(scores.select("i", "k", F.struct("compact", "ecfp").alias("v")), sizes, "a", "v", "i").where("a.compact is not null")
     b = _side(scores.select("i", "k", F.struct("extended", "ecfp").alias("v")), sizes, "b", "v", "j").where("b.extended is not null")
-    met = a.join(b, "k").where(_band(tol))
+    met = _met(a, b, tol)
     good = (F.col("a.ecfp") <= tau_chem) & (F.col("b.ecfp") <= tau_chem)
     # One row a pair first: maxima combine before the shuffle, where distinct counts would not.
     each = met.groupBy("i", "j").agg(F.max(F.when(good, F.least("a.compact", "b.extended"))).alias("s"))
@@ -84,6 +91,21 @@ def baselines(scores: DataFrame, value: str) -> DataFrame:
 
 
 def pair_records(pairs: DataFrame) -> DataFrame:
-    """(row, record): each pair as JSON under a stable number."""
-    row = F.row_number().over(Window.orderBy("i")) - 1
-    return pairs.select(row.alias("row"), F.to_json(F.struct(*pairs.columns)).alias("record"))
+    """(row, record): each pair as JSON under a stable number by i; rows are numbered in ranges of i."""
+    record = pairs.select("i", F.to_json(F.struct(*pairs.columns)).alias("record"))
+    return numbered(record, ["i"], "row").select("row", "record")
+
+
+def save_pair_set(pairs: DataFrame, items: DataFrame, baselines: DataFrame, path: str, id: str = "i") -> None:
+    """Writes compact, extended and records under path, all three with the same number `row` of each pair (i, j, ...).
+
+    items: a row for each id; compact holds those of i, extended those of j. A record is the pair as JSON with the
+    baseline of its i (null where it has none). An existing path is an error.
+    """
+    base = baselines.select(F.col("i"), F.struct(*(c for c in baselines.columns if c != "i")).alias("baseline"))
+    whole = pairs.join(base, "i", "left").select("i", "j", F.to_json(F.struct(*pairs.columns, "baseline")).alias("record"))
+    rows = settled(numbered(whole, ["i"], "row"))
+    for name, side in (("compact", "i"), ("extended", "j")):
+        found = items.withColumnRenamed(id, "_id").join(rows.select("row", F.col(side).alias("_id")), "_id")
+        found.withColumnRenamed("_id", id).write.mode("errorifexists").parquet(f"{path}/{name}")
+    rows.select("row", "record").write.mode("errorifexists").parquet(f"{path}/records")

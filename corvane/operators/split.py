@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.batching import numbered
+from corvane.session import BROADCAST_ROWS, bounded
+
 
 def seeded_order(key: str, seed: int) -> list[Column]:
     """A random order of rows: MD5 of key and seed, then the key."""
@@ -12,8 +15,13 @@ def seeded_order(key: str, seed: int) -> list[Column]:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement; fewer where there are fewer. A top-n over each task's own top n."""
-    return rows.orderBy(*seeded_order(key, seed)).limit(n)
+    """n rows without replacement; fewer where there are fewer.
+
+    A top-n over each task's own top n while n rows fit one task, else the first n of all rows numbered in ranges.
+    """
+    if n <= BROADCAST_ROWS:
+        return rows.orderBy(*seeded_order(key, seed)).limit(n)
+    return numbered(rows.withColumn("_mix", seeded_order(key, seed)[0]), ["_mix", key], "_n").where(F.col("_n") < n).drop("_mix", "_n")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
@@ -44,10 +52,10 @@ def assign_splits(rows: DataFrame, candidates: DataFrame, key: str, n_test: int,
         if n_test > eligible:
             raise ValueError(f"only {eligible} rows are eligible for a test split of {n_test}")
     test = seeded_sample(candidates.select(key), key, n_test, seed)
-    rest = rows.select(key).join(F.broadcast(test), key, "left_anti")  # n_test keys: a fixed bound
+    rest = rows.select(key).join(bounded(test, n_test), key, "left_anti")
     val = seeded_sample(rest, key, n_val, seed + 1)
     named = test.withColumn("split", F.lit("test")).unionByName(val.withColumn("split", F.lit("val")))
-    out = rows.join(F.broadcast(named), key, "left")  # n_test + n_val keys: a fixed bound
+    out = rows.join(bounded(named, n_test + n_val), key, "left")
     return out.withColumn("split", F.coalesce("split", F.lit("train")))
 
 

@@ -65,14 +65,18 @@ _KEY = [[_Text(f"({x})") for x in row] for row in (
 
 @query(f"""
 WITH {PTS}, c AS (SELECT vec_id, mol, atom, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y, z - avg(z) OVER g AS z FROM pts WINDOW g AS (PARTITION BY vec_id)),
-ids AS (SELECT DISTINCT vec_id, mol FROM pts),
+ids AS (SELECT vec_id, mol, row_number() OVER (PARTITION BY mol ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY mol) AS n FROM (SELECT DISTINCT vec_id, mol FROM pts)),
 pairs AS (
-  SELECT a.mol, a.vec_id AS ia, b.vec_id AS ib FROM ids a JOIN ids b ON a.mol = b.mol AND a.vec_id < b.vec_id
-  QUALIFY row_number() OVER (PARTITION BY a.mol ORDER BY md5(a.vec_id || ':' || b.vec_id || ':0'), a.vec_id, b.vec_id) <= 200
+  SELECT a.mol, a.vec_id AS ia, b.vec_id AS ib, b.i * (b.i - 1) // 2 + a.i AS m, a.n * (a.n - 1) // 2 AS total FROM ids a JOIN ids b ON a.mol = b.mol AND a.i < b.i
+), runs AS (
+  SELECT mol, total, t, t * total // least(total, 200) AS low, (t + 1) * total // least(total, 200) AS high FROM (SELECT DISTINCT mol, total FROM pairs), range(200) r(t) WHERE t < least(total, 200)
+), picked AS (
+  SELECT mol, low + floor(('0x' || substring(md5(mol || ':' || t || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (high - low))::BIGINT AS m FROM runs
+), drawn AS (SELECT mol, ia, ib FROM pairs JOIN picked USING (mol, m)
 ), m AS (
   SELECT p.mol, ia, ib, sum(a.x*b.x) AS xx, sum(a.x*b.y) AS xy, sum(a.x*b.z) AS xz, sum(a.y*b.x) AS yx, sum(a.y*b.y) AS yy, sum(a.y*b.z) AS yz,
     sum(a.z*b.x) AS zx, sum(a.z*b.y) AS zy, sum(a.z*b.z) AS zz, count(*) AS n, sum(a.x*a.x+a.y*a.y+a.z*a.z+b.x*b.x+b.y*b.y+b.z*b.z) AS g
-  FROM pairs p JOIN c a ON a.vec_id = ia JOIN c b ON b.vec_id = ib AND a.atom = b.atom GROUP BY ALL
+  FROM drawn p JOIN c a ON a.vec_id = ia JOIN c b ON b.vec_id = ib AND a.atom = b.atom GROUP BY ALL
 ), q AS (
   SELECT *, -2*(xx*xx+xy*xy+xz*xz+yx*yx+yy*yy+yz*yz+zx*zx+zy*zy+zz*zz) AS c2,
     8*(xx*yz*zy + yy*zx*xz + zz*xy*yx - xx*yy*zz - yz*zx*xy - zy*yx*xz) AS c1, {geom.determinant(_KEY)} AS c0 FROM m

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import geom, ragged
@@ -128,9 +128,9 @@ def q56_hydrogens_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q50_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conformer's atoms matched to those of the next one of its molecule."""
     rows = conformers(spark, sf_dir).select("vec_id", "mol", "xyz")
-    nxt = rows.select("mol", F.col("vec_id").alias("b_id"), F.col("xyz").alias("b_xyz"))
-    first = rows.select("mol", "vec_id").join(nxt.select("mol", "b_id"), "mol").where("b_id > vec_id").groupBy("vec_id").agg(F.min("b_id").alias("b_id"))
-    pairs = rows.join(first, "vec_id").join(nxt.select("b_id", "b_xyz"), "b_id").withColumnRenamed("xyz", "a_xyz")
+    first = rows.select("vec_id", F.lead("vec_id").over(Window.partitionBy("mol").orderBy("vec_id")).alias("b_id")).where("b_id is not null")
+    other = rows.select(F.col("vec_id").alias("b_id"), F.col("xyz").alias("b_xyz"))
+    pairs = rows.join(first, "vec_id").join(other, "b_id").withColumnRenamed("xyz", "a_xyz")
     out = kernels.match_atoms(pairs, "vec_id")
     return out.select("vec_id", F.array_join(F.transform("order", lambda i: i.cast("string")), ",").alias("atom_order"), F.round("cost", 6).alias("cost"))
 

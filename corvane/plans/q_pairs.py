@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.geom import total
 from corvane.operators import joins, metrics, pairs
 from corvane.plans.registry import query, r
-from corvane.session import table
+from corvane.session import settled, table
 
 TAU_HIGH, TAU_LOW, TAU_CHEM, TOL = 0.2, 0.1, 0.35, 1
 
@@ -34,9 +34,9 @@ SELECT a, b, a_members, b_members, common, round(common::DOUBLE / (na + nb - com
 """)
 def q19_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-equal documents by their distinct lower-cased words; equal word sets are one class with its number of members."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[ \\n\\t\\r]+"), lambda w: w != ""))
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("token"))
-    reps, _ = joins.token_sets(tokens, "doc_id")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[ \\n\\t\\r]+"), lambda w: w != "")))
+    sets = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens")).where(F.size("tokens") > 0)
+    reps = settled(joins.array_sets(sets, "doc_id")[0])
     found = joins.jaccard_pairs(reps, 0.8)
     members = reps.select("rep", "members")
     found = found.join(members.select(F.col("rep").alias("a"), F.col("members").alias("a_members")), "a")
@@ -53,7 +53,8 @@ def scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dot = lambda c: r(2 * total(F.zip_with(f"l_{c}", f"r_{c}", lambda x, y: x * y)))
     chem = r(F.coalesce(metrics.tanimoto(F.col("l_bits"), F.col("r_bits")), F.lit(0.0)))
     out = met.select(F.col("l_vec_id").alias("i"), F.col("r_vec_id").alias("k"), dot("a").alias("compact"), dot("b").alias("extended"), chem.alias("ecfp"))
-    return out, rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("i"), "size")
+    # Both sides of every pair read the scores.
+    return settled(out), rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("i"), "size")
 
 
 SCORES = """v AS (SELECT vec_id, label AS size, embedding::DOUBLE[] AS e, list_filter(range(64), lambda i: embedding[i + 1] > 0.1::DOUBLE) AS bits FROM embeddings),
@@ -137,29 +138,15 @@ def q28_interaction_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_nations"), r(F.avg("recall")).alias("macro_recall"))
 
 
-@query("""
-WITH d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM documents),
-b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM benchmark),
-o AS (SELECT doc_id, item_id, count(*) AS overlap FROM d JOIN b USING (member) WHERE length(member) >= 10 GROUP BY 1, 2)
-SELECT doc_id, 'word' AS kind, item_id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) = 1
-""")
-def q32_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document the benchmark item that shares most of its words of ten letters or more."""
-    words = lambda c: F.explode(F.filter(F.split(F.lower(c), "[ \\n\\t\\r]+"), lambda w: F.length(w) >= 10))
-    left = table(spark, sf_dir, "documents").select("doc_id", F.lit("word").alias("kind"), words("text").alias("member"))
-    right = table(spark, sf_dir, "benchmark").select("item_id", F.lit("word").alias("kind"), words("text").alias("member"))
-    return joins.best_overlap(left, right, "doc_id", "item_id", "kind")
-
-
 @query("""
 WITH d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM documents),
 b AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[ \\n\\t\\r]+')) AS member FROM benchmark),
 o AS (SELECT doc_id, item_id, count(*) AS overlap FROM d JOIN b USING (member) WHERE member <> '' GROUP BY 1, 2)
 SELECT doc_id, 'word' AS kind, item_id, overlap FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) = 1
 """)
-def q67_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q32_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the benchmark item that shares most of its words, of any length."""
-    words = lambda c: F.explode(F.filter(F.split(F.lower(c), "[ \\n\\t\\r]+"), lambda w: w != ""))
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[ \\n\\t\\r]+"), lambda w: w != "")))
     left = table(spark, sf_dir, "documents").select("doc_id", F.lit("word").alias("kind"), words("text").alias("member"))
     right = table(spark, sf_dir, "benchmark").select("item_id", F.lit("word").alias("kind"), words("text").alias("member"))
-    return joins.best_overlap(left, right, "doc_id", "item_id", "kind")
+    return joins.best_overlap(left, right, "doc_id", "item_id", "kind", distinct=True)

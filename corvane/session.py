@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -36,12 +40,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df worked out once and kept: checkpointed into spark.checkpoint.dir, or persisted where no folder is set.
+    """df worked out once and checkpointed into the shared folder, which outlives lost executors.
 
     For plans that are read more than once and must not come out differently (ranges are sampled), and to cut lineage.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, set as the context's checkpoint folder. Without one a local master gets a temp folder, a cluster an error."""
+    context = spark.sparkContext
+    if found := context.getCheckpointDir():
+        return found
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+#: Rows of a few plain columns that bounded() broadcasts at most.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most so many rows of a few plain columns, for a broadcast if these are few enough; else to be shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -17,5 +17,5 @@ def test_overlap_of_whole_texts(spark):
         n, item = max((len(words(r.text) & w), -i) for i, w in items.items())
         if n:
             want[r.doc_id] = (-item, n)
-    got = {r.doc_id: (r.item_id, r.overlap) for r in QUERIES["q67_overlap_whole"](spark, SF).collect()}
+    got = {r.doc_id: (r.item_id, r.overlap) for r in QUERIES["q32_overlap_match"](spark, SF).collect()}
     assert got == want
