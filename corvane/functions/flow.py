@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +120,49 @@ def hash_uniform(*key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def hash_normal(*key: Column, seed: int | str) -> Column:
+    """A standard normal number from two uniform ones (Box and Muller); the same on any partitioning and engine."""
+    u, v = hash_uniform(*key, seed=f"{seed}:0"), hash_uniform(*key, seed=f"{seed}:1")
+    # 1 - u is in (0, 1].
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def gaussian_feature(*key: Column, mean: float, std: float, most: float | None = None, seed: int | str) -> Column:
+    """A normal draw of each row, most at most."""
+    out = mean + std * hash_normal(*key, seed=seed)
+    return out if most is None else F.least(out, F.lit(float(most)))
+
+
+def uniform_feature(*key: Column, low: float = 0.0, high: float = 1.0, seed: int | str) -> Column:
+    return low + (high - low) * hash_uniform(*key, seed=seed)
+
+
+STRATEGIES = ("sample", "mask", "velocity")
+
+
+def category_step(strategy: str, p: Column, current: Column, t: Column, dt: float, noise: float, u: Column, again: Column | None = None, masked: int = 0) -> Column:
+    """The next category of a place under one integration step.
+
+    sample and velocity draw from the transition's probabilities by u. mask: a masked place takes a category drawn from
+    p by u, any other goes back to `masked`, where the draw `again` is below the transition's probability.
+    """
+    if strategy == "sample":
+        return pick(uniform_transition(p, current, t, dt, noise), u).cast("int")
+    if strategy == "velocity":
+        return pick(velocity_transition(p, current, t, dt, noise), u).cast("int")
+    if strategy == "mask":
+        hidden = current == masked
+        moved = F.when(hidden, pick(p, u).cast("int")).otherwise(F.lit(masked))
+        return F.when(again < mask_transition(hidden, t, dt, noise), moved).otherwise(current.cast("int"))
+    raise ValueError(f"unknown strategy {strategy}, not one of {', '.join(STRATEGIES)}")
+
+
+def integrator_step(x: Column, velocity: Column, p: Column, current: Column, t: Column, dt: float, u: Column, strategy: str = "sample", noise: float = 0.0, kind: str = "identity", again: Column | None = None) -> Column:
+    """One step of a state: struct of coords (Euler, number by number) and category (by strategy)."""
+    coords = F.zip_with(x, velocity, lambda a, v: euler_step(a, v, t, dt, kind))
+    return F.struct(coords.alias("coords"), category_step(strategy, p, current, t, dt, noise, u, again).alias("category"))
+
+
 def total_variation(p: Column, q: Column) -> Column:
     return 0.5 * total(F.zip_with(p, q, lambda a, b: F.abs(a - b)))
 

@@ -79,8 +79,8 @@ def collated(rows: DataFrame, batch: list[str], arrays: dict[str, Column], lengt
     widths = rows.groupBy(*batch).agg(F.max(length).cast("int").alias("width")).withColumnsRenamed({c: f"_{c}" for c in batch})
     same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in batch))
     out = rows.join(widths, same).drop(*(f"_{c}" for c in batch))
-    padded = {c: ragged.pad(F.col(c), F.col("width"), fill) for c, fill in arrays.items()}
-    return out.withColumns(padded | {"mask": ragged.mask(F.col(next(iter(arrays))), F.col("width"))})
+    out = out.withColumn("mask", ragged.mask(F.col(next(iter(arrays))), F.col("width")))
+    return out.withColumns({c: ragged.pad(F.col(c), F.col("width"), fill) for c, fill in arrays.items()})
 
 
 def concatenated(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import geom, vocab
-from corvane.functions.flow import hash_uniform
+from corvane.functions import geom, ragged, vocab
+from corvane.functions.flow import hash_normal, hash_uniform
 from corvane.operators.joins import best_overlap
 
 
@@ -78,6 +78,61 @@ def binding_profile(interactions: DataFrame, features: DataFrame, atoms: DataFra
     return best.select(F.col("kind.mol").alias("mol"), "feat", F.lit(0).alias("copy")).distinct()
 
 
+def typed(found: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Features of the families of a vocabulary, with type: the family's place in it plus 2 (1 is a shape point).
+
+    The vocabulary is an argument, so that it can be another one in each call; families that it lacks go.
+    """
+    if len(set(vocabulary)) < len(vocabulary):
+        raise ValueError("a family is given twice")
+    place = F.array_position(F.array(*map(F.lit, vocabulary)), F.col("family"))
+    return found.where(F.col("family").isin(*vocabulary)).withColumn("type", (place + 1).cast("int"))
+
+
+def rotation(*key: Column, seed: int) -> list[list[Column]]:
+    """A uniformly random rotation of each row: the matrix of a normalised quaternion of four normal draws."""
+    w, x, y, z = (hash_normal(*key, seed=f"{seed}:{a}") for a in "wxyz")
+    n = F.sqrt(w * w + x * x + y * y + z * z)
+    w, x, y, z = w / n, x / n, y / n, z / n
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+        [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+        [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
+    ]
+
+
+def molecule_transform(rows: DataFrame, key: str, seed: int = 0, rotate: bool = False, shift_std: float = 0.0, dropout: float = 0.0, features: list[str] | None = None) -> DataFrame:
+    """The composite transform of molecules: key, numbers (atomic), confs (array of point arrays), groups (array of atom
+    id arrays), any scalar features.
+
+    One conformer is drawn; group_points are the centroids of the groups' atoms, hydrogens included; all points may be
+    turned together; hydrogens go; what is left is centred on its centroid and may be shifted by normal noise. A feature
+    is kept where its own draw is at least dropout, else 0, with <name>-mask. Draws are by key, so that results don't
+    depend on partitions.
+    """
+    at = F.floor(hash_uniform(F.col(key), F.lit("conformer"), seed=seed) * F.size("confs")).cast("int")
+    rows = rows.withColumn("xyz", F.get("confs", at))
+    middle = lambda ids: geom.centroid(F.transform(ids, lambda a: F.element_at("xyz", a + 1)))
+    rows = rows.withColumn("group_points", F.transform("groups", middle))
+    if rotate:
+        turned = rotation(F.col(key), seed=seed)
+        # The matrix is worked out once a row, not once a point.
+        rows = rows.withColumn("_m", F.array(*(F.array(*line) for line in turned)))
+        cells = [[F.get(F.get("_m", F.lit(i)), F.lit(j)) for j in range(3)] for i in range(3)]
+        rows = rows.withColumns({c: geom.rotate(F.col(c), cells) for c in ("xyz", "group_points")}).drop("_m")
+    rows = rows.withColumn("_heavy", ragged.heavy_places(F.col("numbers")))
+    rows = rows.withColumns({c: ragged.take(F.col(c), F.col("_heavy")) for c in ("xyz", "numbers")})
+    rows = rows.withColumn("_c", geom.centroid(F.col("xyz"))).drop("_heavy")
+    rows = rows.withColumns({c: geom.shift(F.col(c), F.col("_c"), -1) for c in ("xyz", "group_points")}).drop("_c")
+    if shift_std:
+        off = geom.point(*(shift_std * hash_normal(F.col(key), F.lit(a), seed=f"{seed}:shift") for a in "xyz"))
+        rows = rows.withColumn("_by", off).withColumns({c: geom.shift(F.col(c), F.col("_by")) for c in ("xyz", "group_points")}).drop("_by")
+    for name in features or []:
+        there = F.col(name).isNotNull() & (hash_uniform(F.col(key), F.lit(name), seed=seed) >= dropout)
+        rows = rows.withColumns({f"{name}-mask": there.cast("int"), name: F.when(there, F.col(name)).otherwise(0.0)})
+    return rows.drop("confs", "groups")
+
+
 def apart(points: Column, least: float = 0.1) -> Column:
     """Row: are all coordinates finite and no two points nearer than least?"""
     good = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.flow import normalised
 from corvane.functions.geom import points_of
-from corvane.session import table
+from corvane.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,11 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", normalised(F.col("e")).alias("p"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for queries that write and read again."""
+    return f"{shared_folder(spark)}/corvane-scratch/{name}-{uuid.uuid4().hex}"
+
+
 def r(c: Column, digits: int = 6) -> Column:
     """Rounded, with no negative zero."""
     return F.round(c, digits) + F.lit(0.0)
