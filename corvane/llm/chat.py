@@ -25,7 +25,8 @@ def _turns(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order))
-    parts = (F.col("place"), F.coalesce("role", F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
+    # A null adds nothing to the hash, so flags tell it from any text.
+    parts = (F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
     rows = rows.withColumns({"_one": F.xxhash64(F.lit(1), *parts), "_two": F.xxhash64(F.lit(2), *parts)})
     # Exclusive or over the places so far: rolling, and each place enters with its number.
     return rows.withColumns({"one": F.bit_xor("_one").over(upto), "two": F.bit_xor("_two").over(upto), "_n": F.max("place").over(Window.partitionBy("conv_id"))})

@@ -105,8 +105,8 @@ def edit_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
     The next document is that of the next id, ties in the order of a hash of the text, nulls first, and after the last
-    comes the first; a table of one row is its own next. Null counts as empty. Texts are shuffled once, compressed, by
-    ranges of the id. A range streams in order, each row meeting the next one. Only the first and last rows of the
+    comes the first; a table of one row is its own next. Null counts as empty. Texts are shuffled twice, compressed:
+    canonical ones by hash, for the comparison inside equal buckets, and whole ones by ranges of the id. A range streams in order, each row meeting the next one. Only the first and last rows of the
     ranges meet once more, by an equality join of range and next range.
     """
     fields = [StructField(n, t) for n, t in zip(OUT, (LongType(), *[StringType()] * 5, DoubleType(), DoubleType()), strict=True)]

@@ -226,6 +226,13 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(spark.createDataFrame([], CHATS)).count() == 0
 
 
+def test_nulls_are_no_text(spark):
+    """A null role or text is told from every text, and from the other one's null."""
+    parts = [(None, None), (None, ""), ("", None), ("", ""), (None, "\x00"), ("\x00", None), ("\x01", "x"), (None, "x"), ("x", None)]
+    out = chat.format_chats(spark.createDataFrame([(i, 0, *p) for i, p in enumerate(parts)], CHATS)).collect()
+    assert {r.conv_id for r in out} == set(range(len(parts)))
+
+
 def test_maximal_equals_brute_force(spark):
     rng = random.Random(5)
     convs = {i: [(rng.choice("ua"), rng.choice("xy")) for _ in range(rng.randrange(1, 5))] for i in range(120)}
