@@ -233,7 +233,12 @@ class Encoder:
         return got
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for p in self.split(text or "") for x in self.known(p)[0].split(",")]
+        return self.joined(self.split(text or ""))
+
+    def joined(self, pieces: list[str]) -> list[int]:
+        """The ids of a text's pre-tokens."""
+        kept = self.kept
+        return list(map(int, ",".join([(kept.get(p) or self.known(p))[0] for p in pieces]).split(","))) if pieces else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -269,12 +274,17 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id: str = "doc_id",
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
-    """The columns of keep, n_tokens and tokens (array of ids) of every row; null counts as empty."""
+    """The columns of keep, n_tokens and tokens (array of ids) of every row; null counts as empty.
+
+    A mix repeats documents, one row after another: equal texts of a batch are cut and encoded once.
+    """
 
     def run(*columns: list) -> list:
         e = encoder(path, pattern)
-        e.learn(set().union(*(e.split(t or "") for t in columns[-1])))
-        tokens = [e.encode(t) for t in columns[-1]]
+        cut = {t: e.split(t or "") for t in dict.fromkeys(columns[-1])}
+        e.learn(set().union(*cut.values()))
+        found = {t: e.joined(pieces) for t, pieces in cut.items()}
+        tokens = [found[t] for t in columns[-1]]
         return [*columns[:-1], [len(x) for x in tokens], tokens]
 
     schema = StructType([*(docs.schema[k] for k in keep), StructField("n_tokens", LongType()), StructField("tokens", ArrayType(IntegerType(), False))])
