@@ -31,7 +31,7 @@ from corvane.llm.simhash import components, keep_first, near_stars, print_of, sh
 
 BANDS, ROWS = 32, 4
 #: Leaders that the rows of a shingle meet, round by round.
-LEADERS = (16,)
+LEADERS = (4, 32)
 #: Odd factors and masks of the MinHash orders.
 FACTORS, MASKS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([1, 0], np.uint64)[:, None, None]
 #: Shingles hashed at once.
