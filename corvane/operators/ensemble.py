@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions.flow import hash_uniform
 from corvane.functions.geom import aligned_rmsd
 from corvane.operators.kernels import run_kernel
-from corvane.session import settled
+from corvane.session import settled, shipped
 
 #: Boltzmann's constant in kcal / (mol K).
 BOLTZMANN = 0.001987
@@ -136,6 +136,7 @@ def rmsf(rows: DataFrame, by: str, id: str, n_refs: int = 1) -> DataFrame:
             found.append(np.sqrt((off**2).sum(2).mean(0)).mean())
         return pd.DataFrame({by: [frame[by].iloc[0]], "rmsf": [float(np.mean(found)) if len(clouds) > 1 else 0.0]})
 
+    shipped(rows.sparkSession)
     return rows.select(by, id, "xyz").groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, rmsf double")
 
 
@@ -152,6 +153,7 @@ def distinct_conformers(rows: DataFrame, by: str, id: str, least: float = 0.5) -
                 kept.append(i)
         return frame[[by, id]].iloc[kept]
 
+    shipped(rows.sparkSession)
     types = dict(rows.dtypes)
     return rows.select(by, id, "xyz").groupBy(by).applyInPandas(run, f"{by} {types[by]}, {id} {types[id]}")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import shipped
+
 
 def assignment(cost: np.ndarray) -> np.ndarray:
     """For each row of a square matrix, the column of a least-cost assignment.
@@ -92,6 +94,7 @@ def match_atoms(pairs: DataFrame, id: str) -> DataFrame:
                 costs.append(float(cost[np.arange(len(a)), order].sum()))
             yield pd.DataFrame({id: frame[id], "order": orders, "cost": costs})
 
+    shipped(pairs.sparkSession)
     return pairs.select(id, "a_xyz", "b_xyz").mapInPandas(run, f"{id} {dict(pairs.dtypes)[id]}, order array<int>, cost double")
 
 
@@ -104,6 +107,7 @@ def polar_surface(rows: DataFrame, id: str, probe: float = 1.4, n: int = 960) ->
             polar = [float(a[np.asarray(p, bool)].sum()) for a, p in zip(found, frame["polar"], strict=True)]
             yield pd.DataFrame({id: frame[id], "area": [float(a.sum()) for a in found], "polar_area": polar})
 
+    shipped(rows.sparkSession)
     return rows.select(id, "xyz", "radii", "polar").mapInPandas(run, f"{id} {dict(rows.dtypes)[id]}, area double, polar_area double")
 
 
@@ -146,6 +150,7 @@ def augmented_profiles(
                 out.append((key, [dict(zip("xyz", map(float, p), strict=True), type=t) for p, t in zip(whole, types, strict=True)], turned, mode, float(pos_std)))
             yield pd.DataFrame(out, columns=[id, "points", "rotated", "mode", "noise"])
 
+    shipped(rows.sparkSession)
     kind = dict(rows.dtypes)[id]
     return rows.select(id, "points").mapInPandas(run, f"{id} {kind}, points array<struct<x:double,y:double,z:double,type:int>>, rotated boolean, mode int, noise double")
 
@@ -167,6 +172,7 @@ def run_kernel(name: str, rows: DataFrame, result: str | None = None) -> DataFra
     """Runs a registered kernel; without one, rows that already hold the column `result` pass as they are."""
     if name in _KERNELS:
         fn, schema = _KERNELS[name]
+        shipped(rows.sparkSession)
         return rows.mapInPandas(fn, schema)
     if result and result in rows.columns:
         return rows

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once for each context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_corvane_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as top:
+        shutil.copytree(package, Path(top, "in", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+        name = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="corvane-code-"), package.name)), "zip", Path(top, "in"))
+    context.addPyFile(name)
+    context._corvane_shipped = True
+
+
 #: Rows of a few plain columns that bounded() broadcasts at most.
 BROADCAST_ROWS = 500_000
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import shipped
+
 SDF_SCHEMA = (
     "path string, ord int, name string, symbols array<string>, charges array<int>, xyz array<struct<x:double,y:double,z:double>>, "
     "bonds array<struct<i:int,j:int,type:int>>, meta map<string,string>, error string"
@@ -66,6 +68,7 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
                 out.append({"path": path, "ord": k} | parse_sdf(block.replace("\r\n", "\n")))
             yield pd.DataFrame(out)
 
+    shipped(spark)
     return rows.mapInPandas(run, SDF_SCHEMA)
 
 
@@ -117,6 +120,7 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([{"path": p} | parse_pdb(t) for p, t in zip(frame["path"], frame["value"], strict=True)])
 
+    shipped(spark)
     return rows.mapInPandas(run, PDB_SCHEMA)
 
 
