@@ -26,7 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id. Five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near copies stays, the one with the least doc_id. Five-word shingles, Jaccard 0.8 or more.
+
+    SimHash's trie join gives the first links; pairs that its four bits leave open are found and counted as exact sets.
+    """
     return resemblance.first_of_resembling(docs)
 
 
