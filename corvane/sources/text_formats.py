@@ -17,7 +17,7 @@ SDF_SCHEMA = (
 # Charges by their code in an atom line.
 SDF_CHARGES = {1: 3, 2: 2, 3: 1, 5: -1, 6: -2, 7: -3}
 
-PDB_SCHEMA = "path string, chains string, atoms array<struct<serial:int,name:string,res_name:string,chain:string,res_id:int,element:string,x:double,y:double,z:double>>"
+PDB_SCHEMA = "path string, chains string, atoms array<struct<serial:int,name:string,res_name:string,chain:string,res_id:int,element:string,x:double,y:double,z:double>>, bonds array<struct<i:int,j:int,type:int>>"
 
 
 def parse_sdf(block: str) -> dict:
@@ -100,20 +100,39 @@ def write_sdf(rows: DataFrame, path: str, index: str, name: Column, symbols: str
 
 
 def parse_pdb(text: str) -> dict:
-    atoms = []
+    """Chains, atoms of the first model, and the bonds that CONECT records name: places of atoms, i < j, each pair once.
+
+    A pair that a record repeats is a bond of that order, as some writers mark double bonds. Partners that are no atom of
+    the first model are left out.
+    """
+    atoms, ties = [], []
+    ended = False
     for line in text.split("\n"):
+        if line.startswith("CONECT"):
+            serials = [int(line[at : at + 5]) for at in range(6, len(line.rstrip()), 5) if line[at : at + 5].strip()]
+            ties.append((serials[0], serials[1:]))
+        if ended:
+            continue
         if line.startswith(("ATOM  ", "HETATM")):
             atoms.append({
                 "serial": int(line[6:11]), "name": line[12:16].strip(), "res_name": line[17:20].strip(), "chain": line[21].strip(),
                 "res_id": int(line[22:26]), "element": line[76:78].strip(), "x": float(line[30:38]), "y": float(line[38:46]), "z": float(line[46:54]),
             })
         elif line.startswith("ENDMDL"):
-            break  # the first model only
-    return {"chains": "_".join(sorted({a["chain"] for a in atoms})), "atoms": atoms}
+            ended = True  # the first model only; CONECT records follow the last one
+    place = {a["serial"]: i for i, a in enumerate(atoms)}
+    orders: dict[tuple[int, int], int] = {}
+    for a, others in ties:
+        for b in set(others):
+            if a in place and b in place and a != b:
+                pair = (min(place[a], place[b]), max(place[a], place[b]))
+                orders[pair] = max(orders.get(pair, 0), others.count(b))
+    bonds = [{"i": i, "j": j, "type": n} for (i, j), n in sorted(orders.items())]
+    return {"chains": "_".join(sorted({a["chain"] for a in atoms})), "atoms": atoms, "bonds": bonds}
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each PDB file: atoms of its first model, and its chains sorted and joined by _."""
+    """A row for each PDB file: atoms of its first model, its chains sorted and joined by _, and the bonds of its CONECT records."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

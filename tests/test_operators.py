@@ -284,6 +284,15 @@ def test_pdb_round_trip(spark, tmp_path):
     assert len(back) == 1 and back[0].chains == "A_B" and [tuple(a) for a in back[0].atoms] == atoms
 
 
+def test_pdb_bonds():
+    atom = lambda n: f"ATOM  {n:5d}  C   ALA A{n:4d}    {n:8.3f}{0:8.3f}{0:8.3f}  1.00  0.00           C"
+    lines = [atom(3), atom(5), atom(9), "ENDMDL", atom(11), "CONECT    3    5    5    9", "CONECT    5    3    3", "CONECT    9   11", "CONECT    9", "END"]
+    got = text_formats.parse_pdb("\n".join(lines))
+    assert [a["serial"] for a in got["atoms"]] == [3, 5, 9]
+    assert got["bonds"] == [{"i": 0, "j": 1, "type": 2}, {"i": 0, "j": 2, "type": 1}]
+    assert text_formats.parse_pdb(atom(1))["bonds"] == []
+
+
 def test_manifest(spark):
     rows = spark.createDataFrame([(2, "test"), (1, "train")], "k int, split string")
     import json
