@@ -23,11 +23,17 @@ not hashes, tell them.
 Phrases meet by CLASSES classes of tau, each with the longer core that its windows share (136 bytes for two classes); a
 class whose core occurs once has no repeated window and goes no further. Texts are named by two 64-bit hashes, and equal
 texts are one: a text's phrases are marked once, however many rows have it.
+
+Crowds. Rows of one core beyond CROWD, from a passage that very many texts share, are not one task's work: their class is
+cut into NARROWER ones, whose windows share still longer cores, and counting and ordering start again there. Where such
+a passage begins or ends, all but one of the narrower classes lie within it, and counting decides them, or outside,
+where cores are unique. A class of one tau has nothing but equal strings, so this ends after three cuts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from corvane.llm.common import frequent, map_batches, shipped, written
+from corvane.llm.common import frequent, map_batches, shipped, small, written
 
 SPAN, WINDOW, GRAM = 200, 130, 8
 CORE = SPAN - WINDOW + 1
@@ -47,6 +53,8 @@ CLASSES = 2
 WIDTH = -(-WINDOW // CLASSES)
 #: Window starts parsed at once, and dictionary rows put in order at once, at least.
 BLOCK, SORTED = 1 << 20, 8000
+#: Dictionary rows of one core that are put in order in one task at most, and the parts that a class with more is cut into.
+CROWD, NARROWER = 1000, 8
 
 
 def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +200,17 @@ DICTIONARY = StructType(
 )
 
 
+def classes(data: bytes, at: int, low: int, high: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Of windows that begin low to high bytes before the trigger at data[at], by classes of width tau: key, class, greatest tau and string.
+
+    key: a hash of the class's core, the bytes that all its windows share.
+    """
+    for c in range(low // width, high // width + 1):
+        top, least = min(high, c * width + width - 1), max(low, c * width)
+        key = xxhash.xxh3_64_intdigest(data[at - c * width : at - c * width + SPAN - width + 1], c << 8 | width) - 2**63
+        yield key, c, top, data[at - top : at - least + SPAN]
+
+
 def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
     """A row for each class of tau of each open phrase and witness, by the hash of the class's core.
 
@@ -211,15 +230,37 @@ def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
             for w in wants:
                 n, most = w["shape"] >> 8, w["shape"] & 255
                 t = w["s"] + most
-                for c in range((most - n + 1) // WIDTH, most // WIDTH + 1):
-                    high, low = min(most, c * WIDTH + WIDTH - 1), max(most - n + 1, c * WIDTH)
-                    key = xxhash.xxh3_64_intdigest(data[t - c * WIDTH : t - c * WIDTH + SPAN - WIDTH + 1], c) - 2**63
-                    out.append((key, k, k2, w["kind"], c, t, high, data[t - high : t - low + SPAN]))
+                out += [(key, k, k2, w["kind"], c, t, top, string) for key, c, top, string in classes(data, t, most - n + 1, most, WIDTH)]
         return [list(c) for c in zip(*out, strict=True)] or [[]] * len(DICTIONARY)
 
     return map_batches(rows, run, DICTIONARY, cut=200)
 
 
+def narrowed(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a dictionary cut into classes of width tau, and the spans (k, k2, a, b) that counting their strings decides.
+
+    A string that occurs twice makes all its windows repeated; one of its rows stays, as a witness. Strings are compared
+    by 128-bit hashes within equal cores.
+    """
+    named = StructType([*DICTIONARY, StructField("low", IntegerType()), StructField("name", BinaryType())])
+
+    def run(keys: list, ks: list, k2s: list, kinds: list, old: list, ts: list, befores: list, strings: list) -> list:
+        out: list[tuple] = []
+        for k, k2, kind, t, high, data in zip(ks, k2s, kinds, ts, befores, strings, strict=True):
+            for key, c, top, string in classes(data, high, high - len(data) + SPAN, high, width):
+                out.append((key, k, k2, kind, c, t, top, string, top - len(string) + SPAN, xxhash.xxh3_128_digest(string, top)))
+        return [list(c) for c in zip(*out, strict=True)] or [[]] * len(named)
+
+    cut = written(map_batches(rows.select(DICTIONARY.names), run, named, cut=200), "cut")
+    twice = cut.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "k2", "t")).alias("one")).where("n > 1")
+    twice = small(written(twice.select(F.col("key").alias("_key"), F.col("name").alias("_name"), "one"), "strings-twice"))
+    both = cut.join(twice, (F.col("key") == F.col("_key")) & (F.col("name") == F.col("_name")), "left")
+    spans = both.where((F.col("kind") == OPEN) & F.col("one").isNotNull()).select("k", "k2", (F.col("t") - F.col("before")).alias("a"), (F.col("t") - F.col("low")).alias("b"))
+    left = both.where(F.col("one").isNull() | (F.struct("k", "k2", "t") == F.col("one")))
+    left = left.withColumn("kind", F.when(F.col("one").isNull(), F.col("kind")).otherwise(WITNESS))
+    return written(left.select(DICTIONARY.names), "narrowed"), spans
+
+
 def in_order(data: np.ndarray, trigger: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
     """For dictionary rows: which windows, by tau - base, occur in another row or at another tau.
 
@@ -268,28 +309,46 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 SPANS = StructType([StructField("k", LongType()), StructField("k2", LongType()), StructField("a", IntegerType()), StructField("b", IntegerType())])
 
 
-def spans_in(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """(k, k2, a, b) of the runs of repeated window starts in the open ones of rows (k, k2, kind, class, t, before, string)."""
+def spans_in(rows: list[tuple], width: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(k, k2, a, b) of the runs of repeated window starts in the open ones of rows (k, k2, kind, class, t, before, string).
+
+    width: how many tau a class has, WIDTH at most, which None stands for.
+    """
     out = []
     for c in sorted({r[3] for r in rows}):
-        own = [r for r in rows if r[3] == c]
+        own, base = [r for r in rows if r[3] == c], c * (width or WIDTH)
         lengths = np.array([len(r[6]) for r in own])
         before = np.array([r[5] for r in own])
         starts = SPAN + np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join([bytes(SPAN), *(r[6] for r in own), bytes(SPAN)]), np.uint8)
         low = before - (lengths - SPAN)
-        flags = in_order(data, starts + before, low, before, c * WIDTH)
+        flags = in_order(data, starts + before, low, before, base)
         for i in np.flatnonzero(flags.any(1)).tolist():
             k, k2, kind, _, t, *_ = own[i]
             if kind == OPEN:
-                out += [(k, k2, t - c * WIDTH - b, t - c * WIDTH - a) for a, b in _runs(flags[i])]
+                out += [(k, k2, t - base - b, t - base - a) for a, b in _runs(flags[i])]
     return out
 
 
 def resolved(rows: DataFrame) -> DataFrame:
     """(k, k2, a, b): runs of repeated window starts in the open phrases of a written dictionary()."""
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    near = rows.join(written(several, "several"), "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    found, width = [], WIDTH
+    while True:
+        counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+        crowded = counts.where(F.col("n") > CROWD).select("key")
+        if crowded.isEmpty():
+            return reduce(DataFrame.union, found, ordered(rows.join(counts, "key", "left_semi"), width))
+        crowded = small(crowded)
+        others = rows.join(crowded, "key", "left_anti")
+        found.append(ordered(others.join(counts, "key", "left_semi"), width))
+        width = -(-width // NARROWER)
+        rows, spans = narrowed(rows.join(crowded, "key", "left_semi"), width)
+        found.append(spans)
+
+
+def ordered(rows: DataFrame, width: int) -> DataFrame:
+    """(k, k2, a, b) of the open ones of dictionary rows, in classes of width tau; the rows of a key are put in order in one task."""
+    near = rows.repartition("key").sortWithinPartitions("key")
     arrow = to_arrow_schema(SPANS)
     shipped(rows.sparkSession)
 
@@ -303,12 +362,12 @@ def resolved(rows: DataFrame) -> DataFrame:
         for part in batches:
             for key, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if key != before and len(held) >= SORTED:
-                    yield batch(spans_in(held))
+                    yield batch(spans_in(held, width))
                     held = []
                 before = key
                 held.append(tuple(row))
         if held:
-            yield batch(spans_in(held))
+            yield batch(spans_in(held, width))
 
     return near.mapInArrow(run, SPANS)
 

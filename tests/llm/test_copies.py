@@ -196,6 +196,51 @@ def test_identical_rows_cost_no_more_than_other_rows(make, spark):
     assert took[1] < 3 * took[0] + 5
 
 
+def crowd_texts(n: int) -> list:
+    """n texts that share a passage of 330 bytes, some with a byte changed in it or cut, between words of their own."""
+    rng = random.Random(29)
+    words = lambda k: " ".join(f"w{rng.randrange(10**7)}" for _ in range(k))
+    passage = words(40)[:330]
+    texts = []
+    for i in range(n):
+        shared = passage
+        if i % 7 == 1:
+            a = rng.randrange(330)
+            shared = passage[:a] + "é" + passage[a + 1 :]
+        elif i % 7 == 2:
+            shared = passage[rng.randrange(140) :]
+        elif i % 7 == 3:
+            shared = passage[: 330 - rng.randrange(140)]
+        texts.append(f"{words(rng.randrange(25))}{shared}{words(rng.randrange(25))}")
+    return texts
+
+
+@pytest.mark.parametrize(("crowd", "narrower"), [(2, 8), (2, 2), (20, 3), (10**9, 8)])
+def test_crowded_cores_are_cut(crowd, narrower, make, monkeypatch):
+    """However few rows of a core make a crowd, results are those of counting every window."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "NARROWER", narrower)
+    texts = crowd_texts(120) + repeated_texts()
+    got = repeats.repeat_table(make(texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
+
+
+def test_no_task_orders_a_crowd(make, monkeypatch):
+    """A passage of 2,500 texts: no key that reaches the ordering has more than CROWD rows, and bytes removed are right."""
+    most = []
+    order = repeats.ordered
+
+    def counted(rows, width):
+        most.append(max((r["count"] for r in rows.groupBy("key").count().collect()), default=0))
+        return order(rows, width)
+
+    monkeypatch.setattr(repeats, "ordered", counted)
+    texts = crowd_texts(2500)
+    got = repeats.repeat_table(make(texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
+    assert len(most) > 1 and max(most) <= repeats.CROWD
+
+
 def test_every_window_has_its_phrase():
     rng = np.random.default_rng(0)
     for n in (0, 199, 200, 201, 1000):
