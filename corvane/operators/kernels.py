@@ -112,47 +112,66 @@ def polar_surface(rows: DataFrame, id: str, probe: float = 1.4, n: int = 960) ->
 
 
 def augmented_profiles(
-    rows: DataFrame, id: str, seed: int = 0, pos_std: float = 0.0, rotate_prob: float = 0.0, resample: float = 0.0,
+    rows: DataFrame, id: str, seed: int = 0, pos_std: float | tuple[float, float] = 0.0, rotate_prob: float = 0.0, resample: float = 0.0,
     drop_pharm_point: float = 0.0, drop_pharm: float = 0.0, drop_shape: float = 0.0,
 ) -> DataFrame:
     """(id, points, rotated, mode, noise) of typed profiles: array<struct<x,y,z,type>>, type 1 shape, above it pharmacophore.
 
+    Points may also hold a direction (dx, dy, dz) and atom_ids (array<int>), which go with them: both are copied, dropped
+    and kept with their point, and directions turn with the positions. Other fields are left out.
     Shape points are doubled with probability resample; then either all pharmacophores (mode 1) or all shape points
-    (mode 2) may go, never both; then single pharmacophores; shape points get normal noise; the whole may be rotated.
-    Draws are seeded by the row's id, so that results don't depend on partitions.
+    (mode 2) may go, never both; then single pharmacophores; shape points get normal noise, whose deviation a range
+    (low, high) as pos_std has each row draw for itself (noise); the whole may be rotated.
+    Draws are seeded by the row's id, so that results don't depend on partitions. A null array of points is an empty one.
     """
+    if not all(0 <= p <= 1 for p in (rotate_prob, resample)):
+        raise ValueError("rotate_prob and resample are probabilities, from 0 to 1")
+    fields = {f.name for f in rows.schema["points"].dataType.elementType}
+    directed, named = {"dx", "dy", "dz"} <= fields, "atom_ids" in fields
 
-    def run(frames):
+    def augmented(key, points: list) -> tuple:
         import zlib
 
+        rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+        of = lambda names: np.array([[p[c] for c in names] for p in points], float).reshape(-1, 3)
+        places, ways = of("xyz"), of(("dx", "dy", "dz")) if directed else np.zeros((len(points), 3))
+        kind = np.array([p["type"] for p in points], int)
+        shape, pharm = np.flatnonzero(kind == 1), np.flatnonzero(kind > 1)
+        shape = np.concatenate([shape, shape[rng.random(len(shape)) < resample]])
+        no_pharm, no_shape = rng.random() < drop_pharm, rng.random() < drop_shape
+        mode = 0 if no_pharm == no_shape else 1 if no_pharm else 2
+        if mode == 1:
+            pharm = pharm[:0]
+        else:
+            pharm = pharm[rng.random(len(pharm)) >= drop_pharm_point]
+            shape = shape[:0] if mode == 2 else shape
+        noise = float(rng.uniform(*pos_std) if isinstance(pos_std, tuple) else pos_std)
+        at = np.concatenate([shape, pharm])
+        places, ways = places[at], ways[at]
+        if noise:
+            places[: len(shape)] += rng.normal(0, noise, (len(shape), 3))
+        turned = bool(rng.random() < rotate_prob)
+        if turned:
+            turn = random_rotation(rng).T
+            places, ways = places @ turn, ways @ turn
+        out = [dict(zip("xyz", map(float, p), strict=True), type=int(kind[i])) for i, p in zip(at, places, strict=True)]
+        for i, point, way in zip(at, out, ways, strict=True):
+            if directed:
+                point.update(zip(("dx", "dy", "dz"), map(float, way), strict=True))
+            if named:
+                ids = points[i]["atom_ids"]
+                point["atom_ids"] = None if ids is None else list(ids)
+        return key, out, turned, mode, noise
+
+    def run(frames):
         for frame in frames:
-            out = []
-            for key, points in zip(frame[id], frame["points"], strict=True):
-                rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-                xyz = np.array([(p["x"], p["y"], p["z"]) for p in points], float).reshape(-1, 3)
-                kind = np.array([p["type"] for p in points], int)
-                shape, pharm = xyz[kind == 1], xyz[kind > 1]
-                labels = kind[kind > 1]
-                shape = np.concatenate([shape, shape[rng.random(len(shape)) < resample]])
-                no_pharm, no_shape = rng.random() < drop_pharm, rng.random() < drop_shape
-                mode = 0 if no_pharm == no_shape else 1 if no_pharm else 2
-                if mode == 1:
-                    pharm, labels = pharm[:0], labels[:0]
-                else:
-                    keep = rng.random(len(pharm)) >= drop_pharm_point
-                    pharm, labels = pharm[keep], labels[keep]
-                    shape = shape[:0] if mode == 2 else shape
-                shape = shape + rng.normal(0, pos_std, shape.shape) if pos_std else shape
-                whole = np.concatenate([shape, pharm])
-                turned = bool(rng.random() < rotate_prob)
-                whole = whole @ random_rotation(rng).T if turned else whole
-                types = [1] * len(shape) + labels.tolist()
-                out.append((key, [dict(zip("xyz", map(float, p), strict=True), type=t) for p, t in zip(whole, types, strict=True)], turned, mode, float(pos_std)))
+            out = [augmented(key, [] if points is None else list(points)) for key, points in zip(frame[id], frame["points"], strict=True)]
             yield pd.DataFrame(out, columns=[id, "points", "rotated", "mode", "noise"])
 
     shipped(rows.sparkSession)
     kind = dict(rows.dtypes)[id]
-    return rows.select(id, "points").mapInPandas(run, f"{id} {kind}, points array<struct<x:double,y:double,z:double,type:int>>, rotated boolean, mode int, noise double")
+    point = "x:double,y:double,z:double,type:int" + (",dx:double,dy:double,dz:double" if directed else "") + (",atom_ids:array<int>" if named else "")
+    return rows.select(id, "points").mapInPandas(run, f"{id} {kind}, points array<struct<{point}>>, rotated boolean, mode int, noise double")
 
 
 EXTERNAL = ("qed", "logp", "tpsa", "aromatic_rings", "sanitise", "smiles", "electrostatics", "pharmacophores", "align", "mmff", "xtb", "embed", "dock", "interactions", "pose_checks")

@@ -180,6 +180,27 @@ def test_augmentation_modes(spark):
     assert all(r.mode == 1 and {p.type for p in r.points} == {1} for r in kernels.augmented_profiles(frame, "id", drop_pharm=1.0).collect())
 
 
+def test_augmentation_carries_directions_and_atoms(spark):
+    """Directions turn with positions, atom ids stay with their points, noise is drawn from its range and moves shape only."""
+    kind = "id int, points array<struct<x:double,y:double,z:double,type:int,dx:double,dy:double,dz:double,atom_ids:array<int>>>"
+    points = [(1.0, 0.0, 0.0, 1, 0.0, 0.0, 0.0, [1]), (0.0, 2.0, 0.0, 3, 0.0, 1.0, 0.0, [2, 3]), (0.0, 0.0, 3.0, 4, 0.0, 0.0, 1.0, None)]
+    frame = spark.createDataFrame([(i, points) for i in range(30)] + [(30, []), (31, None)], kind)
+    same = kernels.augmented_profiles(frame, "id").orderBy("id").collect()
+    assert [[tuple(p) for p in r.points] for r in same] == [points] * 30 + [[], []]
+    for r in kernels.augmented_profiles(frame.where("id < 30"), "id", rotate_prob=1.0).collect():
+        assert r.rotated and [p.atom_ids for p in r.points] == [[1], [2, 3], None]
+        for p, length in zip(r.points, (0, 2, 3), strict=True):
+            assert [length * c for c in (p.dx, p.dy, p.dz)] == pytest.approx([p.x, p.y, p.z] if length else [0] * 3, abs=1e-9)
+    shaken = kernels.augmented_profiles(frame.where("id < 30"), "id", pos_std=(0.1, 0.4)).collect()
+    assert all(0.1 <= r.noise <= 0.4 and r.points[0].x != 1.0 and [tuple(p) for p in r.points[1:]] == points[1:] for r in shaken)
+    assert len({r.noise for r in shaken}) == 30
+    gone = kernels.augmented_profiles(frame.where("id < 30"), "id", drop_pharm_point=0.5, resample=1.0).collect()
+    assert {tuple(p.atom_ids or ()) for r in gone for p in r.points if p.type == 1} == {(1,)}
+    assert all(p.atom_ids == {3: [2, 3], 4: None}.get(p.type, [1]) for r in gone for p in r.points) and len({len(r.points) for r in gone}) > 1
+    with pytest.raises(ValueError, match="probabilities"):
+        kernels.augmented_profiles(frame, "id", resample=1.5)
+
+
 def test_missing_kernels_say_so(spark):
     frame = spark.range(2)
     with pytest.raises(kernels.KernelNotInstalled, match="register_kernel"):
