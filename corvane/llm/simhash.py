@@ -245,10 +245,12 @@ def near_groups(prints: DataFrame, budget: int = 4, id: str = "doc_id") -> DataF
     prints = written(prints, "prints")
     nodes = written(prints.groupBy("fp").agg(F.min(id).alias("_low")), "nodes")
     roots = components(near_stars(nodes.select("fp"), budget))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_low", F.coalesce("root", "fp").alias("group"))
-    low = named.groupBy("group").agg(F.min("_low").alias("component_id"))
-    # Written, so that a hot fingerprint's rows can be split at run time: both sides of the join are plain tables.
-    named = written(named.join(low, "group").select(F.col("fp").alias("_fp"), "group", "component_id"), "named")
+    named = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_low", F.coalesce("root", "fp").alias("group")), "grouped")
+    low = named.groupBy("group").agg(F.min("_low").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    low = small(written(low.select(F.col("group").alias("_group"), "component_id"), "lows"))
+    # Sides of both joins are plain tables, so that a hot group's or fingerprint's rows can be split at run time.
+    named = named.join(low, F.col("group") == F.col("_group"), "left")
+    named = written(named.select(F.col("fp").alias("_fp"), "group", F.coalesce("component_id", "_low").alias("component_id")), "named")
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
