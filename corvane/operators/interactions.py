@@ -76,6 +76,33 @@ def ionic_contacts(protein: DataFrame, ligand: DataFrame, on: list[str], reach:
     return met.select(*on, "p", "l", F.when(F.col("_l") > 0, "Cationic").otherwise("Anionic").alias("type"), "dist")
 
 
+# Atomic numbers of metals that are complexed (Mg, Ca, Mn, Fe, Co, Ni, Cu, Zn, Cd) and of chelating atoms (N, O, S).
+METALS = (12, 20, 25, 26, 27, 28, 29, 30, 48)
+CHELATING = (7, 8, 16)
+
+
+def metal_contacts(protein: DataFrame, ligand: DataFrame, on: list[str], reach: float = 2.8) -> DataFrame:
+    """A geometric approximation of metal complexes, by the ligand's part in them: on, p, l, type, dist.
+
+    Both sides: on, atom, z, point. A metal and a chelating atom within reach, MetalDonor where the metal is the ligand's.
+    """
+    of = lambda rows, a, zs: rows.where(F.col("z").isin(*zs)).select(*on, F.col("atom").alias(a), F.col("point").alias(f"{a}_point"))
+    met = lambda ps, ls: _near(of(protein, "p", ps), of(ligand, "l", ls), "p_point", "l_point", on, reach)
+    both = met(CHELATING, METALS).withColumn("type", F.lit("MetalDonor")).unionByName(met(METALS, CHELATING).withColumn("type", F.lit("MetalAcceptor")))
+    return both.select(*on, "p", "l", "type", "dist")
+
+
+def vdw_contacts(protein: DataFrame, ligand: DataFrame, on: list[str], tolerance: float = 0.0) -> DataFrame:
+    """Atoms no farther apart than the sum of their van der Waals radii and tolerance: on, p, l, type (VdWContact), dist.
+
+    Both sides: on, atom, radius, point. The widest radius of each side, one row, tells how far to look.
+    """
+    widest = sum(rows.agg(F.max("radius")).first()[0] or 0.0 for rows in (protein, ligand))
+    side = lambda rows, a: rows.select(*on, F.col("atom").alias(a), F.col("radius").alias(f"_{a}"), F.col("point").alias(f"{a}_point"))
+    met = _near(side(protein, "p"), side(ligand, "l"), "p_point", "l_point", on, max(widest + tolerance, 1e-9))
+    return met.where(F.col("dist") <= F.col("_p") + F.col("_l") + tolerance).select(*on, "p", "l", F.lit("VdWContact").alias("type"), "dist")
+
+
 def _near(left: DataFrame, right: DataFrame, left_point: str, right_point: str, on: list[str], reach: float) -> DataFrame:
     """Rows of both sides with equal keys and points at most reach apart, and dist; points meet by cells, not all with all."""
     axes = {f"_{a}": a for a in "xyz"}

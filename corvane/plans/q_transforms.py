@@ -180,6 +180,35 @@ def q88_ionic_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "p", "l", "type", r(F.col("dist")).alias("dist"))
 
 
+@query(f"""
+WITH {PTS}, c AS (SELECT vec_id, atom, 10 * x AS x, 10 * y AS y, 10 * z AS z, CASE atom % 3 WHEN 0 THEN 30 WHEN 1 THEN 8 ELSE 6 END AS el FROM pts),
+m AS (SELECT p.vec_id, p.atom::INT AS p, l.atom::INT AS l, p.el AS pe, l.el AS le, sqrt((p.x-l.x)**2 + (p.y-l.y)**2 + (p.z-l.z)**2) AS dist
+  FROM c p JOIN c l ON p.vec_id = l.vec_id AND p.atom < 10 AND l.atom >= 10)
+SELECT vec_id, p, l, CASE WHEN le = 30 THEN 'MetalDonor' ELSE 'MetalAcceptor' END AS type, round(dist, 6) AS dist
+FROM m WHERE dist <= 1.5 AND ((pe = 30 AND le = 8) OR (pe = 8 AND le = 30))
+""")
+def q98_metal_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms 0..9 as the pocket, the rest as the ligand, elements by turns: zinc and oxygen within reach."""
+    z = F.when(F.col("atom") % 3 == 0, 30).when(F.col("atom") % 3 == 1, 8).otherwise(6)
+    atoms = conformers(spark, sf_dir).select("vec_id", F.posexplode(geom.scale(F.col("xyz"), 10.0)).alias("atom", "point")).withColumn("z", z)
+    out = interactions.metal_contacts(atoms.where("atom < 10"), atoms.where("atom >= 10"), ["vec_id"], 1.5)
+    return out.select("vec_id", "p", "l", "type", r(F.col("dist")).alias("dist"))
+
+
+@query(f"""
+WITH {PTS}, c AS (SELECT vec_id, atom, 10 * x AS x, 10 * y AS y, 10 * z AS z, 0.5::DOUBLE + (atom % 3) / 8.0::DOUBLE AS radius FROM pts),
+m AS (SELECT p.vec_id, p.atom::INT AS p, l.atom::INT AS l, p.radius + l.radius AS most, sqrt((p.x-l.x)**2 + (p.y-l.y)**2 + (p.z-l.z)**2) AS dist
+  FROM c p JOIN c l ON p.vec_id = l.vec_id AND p.atom < 10 AND l.atom >= 10)
+SELECT vec_id, p, l, 'VdWContact' AS type, round(dist, 6) AS dist FROM m WHERE dist <= most + 0.25
+""")
+def q99_vdw_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms 0..9 as the pocket, the rest as the ligand, radii by turns: pairs whose spheres touch."""
+    radius = 0.5 + (F.col("atom") % 3) / 8.0
+    atoms = conformers(spark, sf_dir).select("vec_id", F.posexplode(geom.scale(F.col("xyz"), 10.0)).alias("atom", "point")).withColumn("radius", radius)
+    out = interactions.vdw_contacts(atoms.where("atom < 10"), atoms.where("atom >= 10"), ["vec_id"], 0.25)
+    return out.select("vec_id", "p", "l", "type", r(F.col("dist")).alias("dist"))
+
+
 @query("""
 WITH d AS (SELECT l_partkey, draw, floor(('0x' || substring(md5(l_partkey || ':' || draw || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT AS turn
   FROM (SELECT l_partkey, count(DISTINCT l_quantity) AS n FROM lineitem GROUP BY 1), range(1, 4) t(draw)),
