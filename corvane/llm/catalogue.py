@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, chat, classifier, fingerprints, mixing, quality, repeats, secrets, sharding, simhash
+from corvane.llm import bpe, chat, classifier, divergence, fingerprints, minhash, mixing, periodic, quality, repeats, secrets, sharding, simhash
 from corvane.llm.common import documents
 
 
@@ -53,6 +53,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_table(documents(spark, sf_dir))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_table(documents(spark, sf_dir))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_table(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, applied to documents."""
     import corpus_pipeline
@@ -60,5 +72,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_chat, op7_repeats, op8_simhash, op9_shard, op10_quality_rules, pipeline)}
-ORACLES: dict[str, str] = {"op6_chat": chat.ORACLE, "op7_repeats": repeats.ORACLE, "op10_quality_rules": quality.ORACLE}
+_OPERATORS = (
+    op1_mix_sources, op2_quality_mil, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_chat, op7_repeats, op8_simhash, op9_shard, op10_quality_rules,
+    op11_periodic_runs, op12_minhash, op13_divergence, pipeline,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {
+    "op6_chat": chat.ORACLE,
+    "op7_repeats": repeats.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
+    "op12_minhash": minhash.ORACLE,
+    "op13_divergence": divergence.ORACLE,
+}
