@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+from corvane.session import shipped
 
 
 def band_join(left: DataFrame, right: DataFrame, value: str, tolerance: int, on: list[str] | None = None) -> DataFrame:
@@ -69,7 +75,8 @@ def jaccard_pairs(reps: DataFrame, least: float) -> DataFrame:
 
     Equal sets are one row of token_sets(), so copies make no pairs. Prefix filter: with tokens ordered by rarity, a
     pair that scores so much shares one of the first size - ceil(least size) + 1 tokens of each. Only these meet, so
-    frequent tokens make no pairs; a pair's score is then counted from its full sets.
+    frequent tokens make no pairs; a pair's score is then counted from its full sets. Products of `least` are floats, so
+    both bounds have a slack of 1e-9: a pair at exactly `least` is never lost before it is counted.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
@@ -77,33 +84,69 @@ def jaccard_pairs(reps: DataFrame, least: float) -> DataFrame:
     rarity = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     order = Window.partitionBy("rep").orderBy("_df", "token")
     rows = rows.join(rarity, "token").withColumn("_turn", F.row_number().over(order))
-    head = rows.where(F.col("_turn") <= F.col("_size") - F.ceil(F.lit(float(least)) * F.col("_size")) + 1).select("rep", "token", "_size")
+    head = rows.where(F.col("_turn") <= F.col("_size") - F.ceil(F.lit(float(least)) * F.col("_size") - 1e-9) + 1).select("rep", "token", "_size")
     a = head.select(F.col("rep").alias("a"), "token", F.col("_size").alias("na"))
     b = head.select(F.col("rep").alias("b"), "token", F.col("_size").alias("nb"))
-    close = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    close = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return both.withColumn("score", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common"))).where(F.col("score") >= least).select("a", "b", "common", "score")
 
 
+#: Characters of short passages that one automaton looks for; more passages are looked for in several passes.
+AUTOMATON_CHARS = 2_000_000
+
+
 def containing(rows: DataFrame, passages: DataFrame, id: str, text: str, passage_id: str, passage: str, words: int = 5) -> DataFrame:
     """(id, passage_id): rows whose text contains a passage, as a substring: it may begin or end inside a word.
 
     A passage of `words` + 2 words or more is looked for only where the words after its first one occur: runs of so many
-    words are joined by equality, then the whole passage is compared. Shorter ones are compared with every row.
+    words are joined by equality, then the whole passage is compared. Shorter ones go into an automaton that reads each
+    text once, or into several where they have over AUTOMATON_CHARS characters. Null and empty passages are in no row.
     """
     cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     sized = rows.select(id, text, cut(F.col(text)).alias("_w")).where(F.size("_w") >= words)
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
     keyed = sized.select(id, F.explode(F.array_distinct(runs)).alias("_run"))
-    sought = passages.select(passage_id, passage, cut(F.col(passage)).alias("_p"))
+    sought = passages.where(F.length(passage) > 0).select(passage_id, passage, cut(F.col(passage)).alias("_p"))
     long = sought.where(F.size("_p") >= words + 2).select(passage_id, passage, F.xxhash64(F.array_join(F.slice("_p", 2, words), " ")).alias("_run"))
     met = keyed.join(long, "_run").select(id, passage_id, passage).distinct()
-    held = F.contains(F.col(text), F.col(passage))
-    found = met.join(rows.select(id, text), id).where(held).select(id, passage_id)
+    found = met.join(rows.select(id, text), id).where(F.contains(F.col(text), F.col(passage))).select(id, passage_id)
     short = sought.where(F.size("_p") < words + 2).select(passage_id, passage)
-    return found.union(rows.select(id, text).join(short, held).select(id, passage_id))
+    chars = short.agg(F.sum(F.length(passage))).first()[0] or 0
+    slices = -(-chars // AUTOMATON_CHARS)
+    for k in range(slices):
+        part = short.where(F.pmod(F.xxhash64(passage_id, passage), F.lit(slices)) == k).select(passage, passage_id).collect()
+        found = found.union(_holding(rows.select(id, text), [(p, i) for p, i in part], passages.schema[passage_id]))
+    return found
+
+
+def _holding(rows: DataFrame, passages: list[tuple], field: StructField) -> DataFrame:
+    """(id, passage_id) of rows (id, text) whose text contains one of the few passages (passage, id)."""
+    ids: dict[str, list] = {}
+    for passage, i in passages:
+        ids.setdefault(passage, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for passage, those in ids.items():
+            automaton.add_word(passage, those)
+        automaton.make_automaton()
+        for batch in batches:
+            places, held = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                for i in {i for _, those in automaton.iter(text or "") for i in those}:
+                    places.append(at)
+                    held.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(held, kind)], names=names)
+
+    shipped(rows.sparkSession)
+    out = StructType([rows.schema.fields[0], field])
+    kind, names = to_arrow_schema(StructType([field])).field(0).type, out.names
+    return rows.mapInArrow(run, out)
 
 
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kind: str, distinct: bool = False) -> DataFrame:

@@ -53,8 +53,7 @@ def scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dot = lambda c: r(2 * total(F.zip_with(f"l_{c}", f"r_{c}", lambda x, y: x * y)))
     chem = r(F.coalesce(metrics.tanimoto(F.col("l_bits"), F.col("r_bits")), F.lit(0.0)))
     out = met.select(F.col("l_vec_id").alias("i"), F.col("r_vec_id").alias("k"), dot("a").alias("compact"), dot("b").alias("extended"), chem.alias("ecfp"))
-    # Both sides of every pair read the scores.
-    return settled(out), rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("i"), "size")
+    return out, rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("i"), "size")
 
 
 SCORES = """v AS (SELECT vec_id, label AS size, embedding::DOUBLE[] AS e, list_filter(range(64), lambda i: embedding[i + 1] > 0.1::DOUBLE) AS bits FROM embeddings),
@@ -76,6 +75,7 @@ SELECT i, j, k, score FROM m QUALIFY row_number() OVER (PARTITION BY i ORDER BY
 """)
 def q20_pos_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, sizes = scores(spark, sf_dir)
+    found = settled(found)  # both sides of every pair read the scores
     return pairs.pos_pos(found, sizes, TAU_HIGH, TAU_CHEM, TOL)
 
 
@@ -92,6 +92,7 @@ SELECT i, j, k1, k2, round(least(g1, g2), 6) AS score FROM d1 JOIN d2 USING (i,
 """)
 def q21_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, sizes = scores(spark, sf_dir)
+    found = settled(found)  # both sides of every pair read the scores
     return pairs.pos_neg(found, sizes, TAU_HIGH, TAU_LOW, TAU_CHEM, TOL).withColumn("score", r(F.col("score")))
 
 
@@ -107,6 +108,7 @@ SELECT *, CASE WHEN size_matched = 0 THEN 'no_size_match' WHEN with_witness = 0
 """)
 def q22_pair_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, sizes = scores(spark, sf_dir)
+    found = settled(found)  # both sides of every pair read the scores
     return pairs.pos_pos_diagnostics(found, sizes, TAU_HIGH, TAU_CHEM, TOL)
 
 

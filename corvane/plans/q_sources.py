@@ -9,7 +9,7 @@ from corvane.operators import metrics, pairs, split
 from corvane.plans.q_pairs import SCORES, TAU_CHEM, TAU_HIGH, TOL, scores
 from corvane.plans.registry import PTS, conformers, query, r, scratch
 from corvane.sources import results, schemas, shards, text_formats
-from corvane.session import table
+from corvane.session import settled, table
 
 
 @query("""
@@ -89,12 +89,7 @@ SELECT event_type, count(*) FILTER (value IS NULL) IN (0, count(*)) AS ok FROM (
 def q73_all_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An optional column must be set in every row of a batch or in none; clicks break the rule."""
     rows = table(spark, sf_dir, "events").select("event_type", F.when((F.col("event_type") != "click") | (F.col("event_id") % 2 == 0), F.col("value")).alias("value"))
-    kinds = [k for (k,) in rows.select("event_type").distinct().limit(1000).collect()]  # the batches of the query, five types
-    parts = [schemas.all_or_none(rows.where(F.col("event_type") == k), "value").select(F.lit(k).alias("event_type"), "ok") for k in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return schemas.all_or_none(rows, "value", by=["event_type"])
 
 
 @query("""
@@ -124,6 +119,7 @@ SELECT row_number() OVER (ORDER BY p.i) - 1 AS row, p.i AS compact, p.j AS exten
 def q75_pair_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best partners written as a pair set: compact and extended rows and JSON records under one number, read again."""
     found, sizes = scores(spark, sf_dir)
+    found = settled(found)
     path = scratch(spark, "pairs")
     pairs.save_pair_set(pairs.pos_pos(found, sizes, TAU_HIGH, TAU_CHEM, TOL), sizes, pairs.baselines(found, "compact"), path)
     read = lambda name: spark.read.parquet(f"{path}/{name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +42,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting that drops the shuffle files of a query at its end.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df worked out once and checkpointed into the shared folder, which outlives lost executors.
+    """df worked out once, as a Parquet table in the shared folder, which outlives lost executors.
 
     For plans that are read more than once and must not come out differently (ranges are sampled), and to cut lineage.
+    Readers prune its columns and see its sizes. swept() removes an application's tables.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path, conf = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP_SETTING, "false")
+    conf.set(CLEANUP_SETTING, "true")  # the table outlives its shuffles
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP_SETTING, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/corvane-settled-{spark.sparkContext.applicationId}"
+
+
+def swept(spark: SparkSession) -> None:
+    """Deletes this application's settled tables; results that aren't yet written out are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -41,9 +41,9 @@ def interaction_faults(interactions: Column, n_protein: Column, n_ligand: Column
     return F.when(F.exists(interactions, lambda i: beyond(i["p_atoms"], n_protein) | beyond(i["l_atoms"], n_ligand)), "interaction atom out of range")
 
 
-def all_or_none(rows: DataFrame, column: str) -> DataFrame:
-    """(ok): is an optional column set in every row or in none?"""
-    return rows.agg(F.count_if(F.col(column).isNull()).isin(F.lit(0), F.count(F.lit(1))).alias("ok"))
+def all_or_none(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """(by, ok): is an optional column set in every row of a batch or in none? by names the batches; without it all rows are one."""
+    return rows.groupBy(*by or []).agg(F.count_if(F.col(column).isNull()).isin(F.lit(0), F.count(F.lit(1))).alias("ok"))
 
 
 def enforced(rows: DataFrame, fault: Column) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.session import shipped
@@ -54,22 +56,66 @@ def parse_sdf(block: str) -> dict:
     return out
 
 
+def _sdf_records(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, int, str, str | None]]:
+    """(path, block, turn, text, fault) of the records in a task's pieces (path, block, value), turn counted in each block of a file.
+
+    A piece ends where its file has $$$$. That ends a record only at the end of a line: a piece that ends inside one
+    goes on with the next. Where the next is another block's, and so another task's, both parts are kept with a fault.
+    """
+    key, turn, held = None, 0, None
+    for frame in frames:
+        for path, block, value in zip(frame["path"], frame["block"], frame["value"], strict=True):
+            if (path, block) != key:
+                if held is not None:
+                    yield (*key, turn, held, None)
+                key, turn, held = (path, block), 0, None
+                first = block == 0
+            else:
+                first = False
+            piece, fault = value.replace("\r\n", "\n"), None
+            if held is not None:
+                piece, held = f"{held}$$$${piece}", None
+            elif not first and piece.startswith("\n"):
+                piece = piece[1:]
+            elif not first and piece.strip():
+                fault = "begins inside a line with $$$$"
+            if not piece.strip():
+                continue
+            if piece.endswith("\n"):
+                yield path, block, turn, piece, fault
+                turn += 1
+            else:
+                held = piece
+    if held is not None:
+        yield (*key, turn, held, None)
+
+
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the SDF files at path, split at $$$$ by Spark's reader; broken records have error set."""
-    rows = spark.read.option("lineSep", "$$$$\n").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = rows.where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    """A row for each record of the SDF files at path; broken records have error set.
+
+    Records end at a line $$$$, whatever the ends of lines, and Spark's reader splits files between them. ord is a
+    record's place in its file, from 0: records are counted in each block of a file first, so a file that many tasks read
+    is numbered as by one.
+    """
+    rows = spark.read.option("lineSep", "$$$$").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counter((path, block) for path, block, *_ in _sdf_records(frames))
+        yield pd.DataFrame([(*key, k) for key, k in n.items()], columns=["path", "block", "n"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn: dict[str, int] = {}
-        for frame in frames:
-            out = []
-            for path, block in zip(frame["path"], frame["value"], strict=True):
-                k = turn[path] = turn.get(path, -1) + 1
-                out.append({"path": path, "ord": k} | parse_sdf(block.replace("\r\n", "\n")))
-            yield pd.DataFrame(out)
+        records = _sdf_records(frames)
+        while some := list(islice(records, 1000)):
+            yield pd.DataFrame([{"block": b, "turn": t} | parse_sdf(text) | ({"error": fault} if fault else {}) | {"path": p} for p, b, t, text, fault in some])
 
     shipped(spark)
-    return rows.mapInPandas(run, SDF_SCHEMA)
+    blocks = rows.mapInPandas(counts, "path string, block long, n long")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    found = rows.mapInPandas(run, SDF_SCHEMA.replace("ord int", "block long, turn int"))
+    found = found.join(starts, ["path", "block"]).withColumn("ord", (F.col("_start") + F.col("turn")).cast("int"))
+    return found.select("path", "ord", "name", "symbols", "charges", "xyz", "bonds", "meta", "error")
 
 
 def single_reference(rows: DataFrame) -> DataFrame:
