@@ -11,8 +11,10 @@ signature is used twice:
               counted by bits in the JVM; a pair five deviations below what 0.8 gives is let go (3e-7 at 0.8).
 
 What is left is confirmed from both whole sets. Equal sets are one node from the start. A small bucket compares all its
-rows. In a larger one rows meet a few leaders first, chosen by hash, and links join components; only rows that are in
-different components after that meet each other. So a dense group costs about its size, and no pair is left out.
+rows. In a larger one rows meet a leader first, chosen by hash, another in each band, and links join components. The
+rows of buckets that are in different components after that meet by an exact filter of resemblance.py: they need most of
+their shingles in common with others, and share one of the rarest. So a dense group costs about its size, and no pair of
+a common band is left out.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from corvane.llm.common import aside, map_batches, small, written
+from corvane.llm.resemblance import _may_link, _prefixes, _shared
 from corvane.llm.simhash import components, keep_first, shingle_hashes
 
 #: Permutations; bands, each of two minima and two maxima.
@@ -37,8 +40,8 @@ FACTORS, MASKS = np.random.default_rng(12).integers(0, 2**64, (2, PERMUTATIONS,
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles hashed at once.
 SLICE = 1 << 12
-#: Buckets of up to so many rows compare all of them; in larger ones rows meet so many leaders, round by round.
-SMALL, LEADERS = 8, (2, 16)
+#: Buckets of up to so many rows compare all of them; in larger ones rows meet one of them first.
+SMALL = 8
 #: Deviations below the expected count of agreeing values at which a pair is let go.
 DEVIATIONS = 5
 BITS = ("s0", "s1", "s2", "s3")
@@ -101,21 +104,15 @@ def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["key"])  # identical rows give their set as often as they occur
 
 
-def _other(c: str) -> str:
-    return f"_{c}"
-
-
 def _pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Distinct (src, dst) of rows of a and b in one bucket that sizes and estimates let pass; in different components if they have roots."""
-    b = b.withColumnsRenamed({c: _other(c) for c in b.columns if c != "band"})
-    apart = [F.bitwise_not(F.col(s).bitwiseXOR(F.col(_other(s)))) for s in BITS]
+    """(src, dst) of rows of a and b in one bucket that sizes and estimates let pass, once a bucket."""
+    b = b.withColumnsRenamed({c: f"_{c}" for c in b.columns if c != "band"})
+    apart = [F.bitwise_not(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in BITS]
     # A value seems to agree where both of its bits do: longs 0 and 2 hold one half of the values, 1 and 3 the other.
     agree = F.bit_count(apart[0].bitwiseAND(apart[2])) + F.bit_count(apart[1].bitwiseAND(apart[3]))
     sizes = (F.col("size") >= least * F.col("_size") - 1e-9) & (F.col("_size") >= least * F.col("size") - 1e-9)
     may = (F.col("key") != F.col("_key")) & sizes & (agree >= least_agreeing(least))
-    if "root" in a.columns:
-        may = may & (F.col("root") != F.col("_root"))
-    return a.join(b, "band").where(may).select(F.least("key", "_key").alias("src"), F.greatest("key", "_key").alias("dst")).distinct()
+    return a.join(b, "band").where(may).select(F.least("key", "_key").alias("src"), F.greatest("key", "_key").alias("dst"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,51 +132,59 @@ class _Links:
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> None:
-        pairs = written(pairs, "candidates")
-        needed = pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct()
+    def load(self, keys: DataFrame) -> None:
+        """Reads the sets of the distinct keys that aren't there yet."""
         if self.sets is not None:
-            needed = needed.join(self.sets.select("key"), "key", "left_anti")
-        rows = written(self.nodes.join(needed, "key", "left_semi").select("key", "_id", "_text_hash"), "suspects")
+            keys = keys.join(self.sets.select("key"), "key", "left_anti")
+        rows = written(self.nodes.join(keys, "key", "left_semi").select("key", "_id", "_text_hash"), "suspects")
         new = written(_sets(self.docs, rows, self.words), "sets")
         self.sets = new if self.sets is None else self.sets.union(new)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Takes in the pairs that their whole sets confirm."""
+        pairs = written(pairs, "candidates")
+        self.load(pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct())
         links = _confirmed(pairs, self.sets, self.percent)
         if self.roots is not None:
             links = links.union(self.roots.select(F.col("node").alias("src"), F.col("root").alias("dst")))
         self.roots = components(links)
 
-    def rooted(self, rows: DataFrame) -> DataFrame:
-        """rows with the root of their key."""
+    def open(self, rows: DataFrame, by: str) -> DataFrame:
+        """rows with the root of their key, of the groups by whose rows are in more than one component."""
         found = self.roots.select(F.col("node").alias("key"), "root")
-        return rows.drop("root").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rows = rows.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        several = rows.groupBy(by).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select(by)
+        return written(rows.join(several, by, "left_semi"), "open")
+
 
-    def open(self, rows: DataFrame) -> DataFrame:
-        """The rows, with roots, of buckets whose rows are in more than one component."""
-        rows = self.rooted(rows)
-        several = rows.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-        return written(rows.join(several, "band", "left_semi"), "open")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(band, n, key, size, bits) of the nodes in buckets of n > 1."""
+    rows = nodes.select(F.explode("bands").alias("band"), "key").repartition("band")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(rows.join(sizes, "band").join(nodes.select("key", "size", *BITS), "key"), "buckets")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of all links."""
     least = percent / 100
-    rows = nodes.select(F.explode("bands").alias("band"), "key").repartition("band")
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "band").join(nodes.select("key", "size", *BITS), "key")
-    rows = written(rows, "buckets")
+    rows = _buckets(nodes)
     links = _Links(docs, nodes, words, percent)
     few, many = (rows.where(cond).drop("n") for cond in (f"n <= {SMALL}", f"n > {SMALL}"))
-    for turn, most in enumerate(LEADERS):
-        many = many.withColumn("root", F.col("key")) if turn == 0 else links.open(many)
-        mix = F.xxhash64("band", "key", F.lit(turn))
-        slots = many.groupBy("band", F.pmod(mix, F.lit(most)).alias("slot")).agg(F.min_by(F.struct(*(c for c in many.columns if c != "band")), mix).alias("l"))
-        pairs = _pairs(many, slots.select("band", "l.*"), least)
-        links.add(pairs.union(_pairs(few, few, least)).distinct() if turn == 0 else pairs)
-    many = links.open(many)
-    # Of a pair in two components at least one is outside the bucket's largest: only such rows look for others.
-    largest = many.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"))
-    outside = written(many.join(largest, "band").where("root <> most.root").select(many.columns), "outside")
-    links.add(_pairs(outside, many, least))
+    leader = F.min_by(F.struct("key", "size", *BITS), F.xxhash64("band", "key")).alias("l")
+    links.add(_pairs(few, few, least).union(_pairs(many, many.groupBy("band").agg(leader).select("band", "l.*"), least)).distinct())
+    # What large buckets leave open is settled by an exact filter: two sets of that similarity share most shingles, and
+    # one of the rarest of each. A set with too many shingles of its own goes without a pair.
+    left = written(links.open(many.select("band", "key"), "band").select("key").distinct(), "left")
+    links.load(left)
+    sets = links.sets.join(left, "key", "left_semi").select("key", F.size("set").alias("size"), "set")
+    prefixes = written(_prefixes(written(_shared(sets, least), "shared"), least), "prefixes")
+    rows = links.open(prefixes, "h")
+    # Of a pair in two components at least one is outside the shingle's largest: only such rows look for others.
+    largest = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"))
+    outside = written(rows.join(largest, "h").where("root <> most.root").select(rows.columns), "outside")
+    others = rows.withColumnsRenamed({c: f"_{c}" for c in rows.columns if c != "h"})
+    met = outside.join(others, "h").where(_may_link(least))
+    links.add(met.select(F.least("key", "_key").alias("src"), F.greatest("key", "_key").alias("dst")).distinct())
     return links.roots
 
 
