@@ -37,7 +37,7 @@ HEAVY_SHARE = 3
 #: Or in more than so many, so that the posting pairs of a light term stay few.
 MOST_LIGHT = 512
 #: Groups on a side of a dense tile, and its terms on average.
-TILE, TERMS = 64, 2048
+TILE, TERMS = 64, 256
 #: Terms of a task's counters that are handed on at once.
 HELD = 300_000
 #: Posting pairs, or cells of a tile, worked out at once.
