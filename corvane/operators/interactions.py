@@ -133,8 +133,8 @@ def ring_planes(points: DataFrame, by: list[str]) -> DataFrame:
 
 def _tilt(u: Column, v: Column) -> Column:
     """Degrees between two lines, from 0 to 90, along vectors of any length; null along a vector of none."""
-    length = F.sqrt(dot(u, u) * dot(v, v))
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.try_divide(F.abs(dot(u, v)), F.when(length > 0, length)))) + F.when(length > 0, F.lit(0.0)))
+    cosine = F.try_divide(F.abs(dot(u, v)), F.sqrt(dot(u, u) * dot(v, v)))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), cosine))))
 
 
 def pi_stacking(protein: DataFrame, ligand: DataFrame, on: list[str]) -> DataFrame:
