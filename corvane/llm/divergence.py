@@ -2,14 +2,14 @@
 
 Each language keeps the V terms in at least LEAST_DOCS of its documents. A group with N occurrences of them gives a term
 that occurs c times the share p = 1 + floor(10^9 (c + 2) / (N + 2 V)); p0 is that of an absent term. Two shares differ by
-f(p, q) = floor((p - q)^2 / (p + q)), and two groups by the sum of f over all V terms, exact in whole numbers. The sum
-is split by how many groups of the language have a term:
+f(p, q) = floor((p - q)^2 / (p + q)), and two groups by the sum of f over all V terms, exact in whole numbers. As if all
+terms were absent from both groups, that is V f(p0, q0). The rest is a sum of what terms differ from that, split by how
+many groups of the language have a term:
 
-    heavy  (at least a third of the groups, or more than MOST_LIGHT): dense tiles of shares, at most 64 x 64 groups by
-           a slice of terms, are summed by NumPy, absent terms at p0.
-    light  all terms as if absent from both, L f(p0, q0), corrected for each group's own counts against the other's p0,
-           from a histogram of its counts, and corrected once more for the terms that both have, from the term's posting
-           pairs: f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0), where each correction is relative to f(p0, q0).
+    heavy  (at least a third of the groups, or more than MOST_LIGHT): f(p, q) - f(p0, q0) over dense tiles of shares, at
+           most 64 x 64 groups by a slice of terms, in NumPy. A term that no group of a tile has adds nothing there.
+    light  each group's own counts against the other's p0, f(p, q0) - f(p0, q0), from a histogram of its counts; and for
+           the terms that both have, from each term's posting pairs, f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0).
 
 Both partial sums are sums of longs, in any order. Words are counted inside each task before anything is shuffled, and
 what is shuffled afterwards is a row for each term of a group.
@@ -188,7 +188,7 @@ def tile_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _heavy(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """PAIRS of the rows (lang, term, g, p) of heavy terms: a task for each pair of up to TILE groups and slice of a language's terms.
+    """PAIRS of what the rows (lang, term, g, p) of heavy terms differ from absent ones: a task for each pair of up to TILE groups and slice of a language's terms.
 
     Each tile also gets the p0 of its groups, as rows without a term, for those that have none of its terms.
     """
@@ -203,7 +203,7 @@ def _heavy(rows: DataFrame, groups: DataFrame) -> DataFrame:
         shares = np.repeat(absent[:, None], len(terms.dictionary), axis=1)
         shares[np.searchsorted(numbers, g[~group]), at[~group]] = p[~group]
         mine, theirs = numbers // TILE == side, numbers // TILE == other
-        sums = tile_sums(shares[mine], shares[theirs])
+        sums = tile_sums(shares[mine], shares[theirs]) - shares.shape[1] * differ(absent[mine][:, None], absent[theirs])
         a, b = np.meshgrid(numbers[mine], numbers[theirs], indexing="ij")
         return pa.Table.from_batches([_batch(table.column("lang")[0].as_py(), a[a < b], b[a < b], sums[a < b])])
 
@@ -221,7 +221,7 @@ def _audited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The kept terms of each group, and all groups.
 
     terms: lang, source, term, n, all (n in the language), heavy, first (is it the language's first row of the term?).
-    groups: lang, source, g (number), total (N + 2 V), p0, all_total (the language's), v, light (terms), tiles, slices.
+    groups: lang, source, g (number), total (N + 2 V), p0, all_total (the language's), v, tiles, slices.
     """
     here = Window.partitionBy("lang", "term")
     # One shuffle by term serves the sums of a group and those of its language.
@@ -240,21 +240,20 @@ def _audited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "g": F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1,
         "total": F.expr("own_n + 2 * v"),
         "all_total": F.expr("all_n + 2 * v"),
-        "light": F.expr("v - n_heavy"),
         "tiles": F.ceil(F.col("s") / TILE),
         "slices": F.ceil(F.col("n_heavy") / TERMS),
     }).withColumn("p0", _share("0L", "total"))
-    return kept, written(groups.select("lang", "source", "g", "total", "all_total", "v", "light", "tiles", "slices", "p0"), "groups")
+    return kept, written(groups.select("lang", "source", "g", "total", "all_total", "v", "tiles", "slices", "p0"), "groups")
 
 
 def _pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, v): the sum of f over all kept terms of each pair of groups a < b of a language."""
-    side = lambda name: groups.select("lang", F.col("g").alias(name), F.col("p0").alias(f"{name}0"), "light")
-    every = side("a").join(small(side("b").drop("light")), "lang").where("a < b")
-    absent = every.select("lang", "a", "b", F.expr(f"coalesce(light * {_f('a0', 'b0')}, 0L)").alias("v"))
+    side = lambda name: groups.select("lang", F.col("g").alias(name), F.col("p0").alias(f"{name}0"), "v")
+    every = side("a").join(small(side("b").drop("v")), "lang").where("a < b")
+    absent = every.select("lang", "a", "b", F.expr(f"coalesce(v * {_f('a0', 'b0')}, 0L)").alias("v"))
     light = shares.where("not heavy").select("lang", "term", "g", "p", "p0")
     counts = light.groupBy("lang", "g", "p", "p0").agg(F.count(F.lit(1)).alias("m"))
-    met = counts.join(small(side("b").drop("light")), "lang").where("g <> b")
+    met = counts.join(small(side("b").drop("v")), "lang").where("g <> b")
     own = met.select("lang", F.least("g", "b").alias("a"), F.greatest("g", "b").alias("b"), F.expr(f"m * ({_f('p', 'b0')} - {_f('p0', 'b0')})").alias("v"))
     dense = _heavy(shares.where("heavy"), groups)
     return absent.union(own).union(_light(light)).union(dense).groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
