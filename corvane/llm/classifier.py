@@ -22,7 +22,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from corvane.llm.common import map_batches, written
 
@@ -240,7 +240,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN, la
     def run(ids: list, ys: list, texts: list) -> list:
         return [ids, ys, list(map(packed, texts))]
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("y", IntegerType()), StructField("x", BinaryType())])
+    schema = StructType([docs.schema["doc_id"], StructField("y", IntegerType()), StructField("x", BinaryType())])
     # One row an id, so that repeated rows don't lift the bound.
     once = map_batches(rows, run, schema, cut=500).groupBy("doc_id", "y").agg(F.min("x").alias("x"))
     got = sorted(once.collect(), key=lambda r: r[0])

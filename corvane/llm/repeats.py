@@ -57,21 +57,32 @@ BLOCK, SORTED = 1 << 20, 8000
 CROWD, NARROWER = 1000, 8
 
 
-def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start and trigger of each phrase, in order; none for fewer than SPAN bytes. Long texts go by blocks."""
+Phrases = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def parsed(data: bytes) -> Iterator[Phrases]:
+    """First and last window start and trigger of each phrase, in order, a block of windows at a time; none for fewer than SPAN bytes."""
     n = len(data) - SPAN + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    firsts, triggers, before = [], [], -1
+    held = None  # the block's last phrase: it may go on in the next one
     for a in range(0, n, BLOCK):
         at = a + _triggers(data[a : a + BLOCK + SPAN - 1])
-        new = np.flatnonzero(np.concatenate(([at[0] != before], at[1:] != at[:-1])))
-        firsts.append(a + new)
-        triggers.append(at[new])
-        before = at[-1]
-    first = np.concatenate(firsts)
-    return first, np.concatenate((first[1:] - 1, [n - 1])), np.concatenate(triggers)
+        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        first, trigger = a + new, at[new]
+        if held is not None and trigger[0] == held[1]:
+            first[0] = held[0]
+        elif held is not None:
+            first, trigger = np.concatenate(([held[0]], first)), np.concatenate(([held[1]], trigger))
+        yield first[:-1], first[1:] - 1, trigger[:-1]
+        held = first[-1], trigger[-1]
+    if held is not None:
+        yield np.array([held[0]]), np.array([n - 1]), np.array([held[1]])
+
+
+def parse(data: bytes) -> Phrases:
+    """All of parsed() at once."""
+    none = np.zeros(0, np.int64)
+    first, last, trigger = (np.concatenate(x) for x in zip((none, none, none), *parsed(data), strict=True))
+    return first, last, trigger
 
 
 def _triggers(data: bytes) -> np.ndarray:
@@ -95,20 +106,48 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+def _again(data: bytes, first: np.ndarray, last: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Which phrases, in order, have the shape and the extension of the one before them: that extension begins as many bytes earlier as the phrase has windows."""
+    out = np.zeros(len(first), bool)
+    some = 1 + np.flatnonzero(shape[1:] == shape[:-1])
+    for step in np.unique(last[some] - first[some]) + 1:
+        those = some[last[some] - first[some] + 1 == step]
+        a, b = first[those] - step, last[those] - step + SPAN
+        if len(those) < 64:
+            out[those] = [data[x:y] == data[x + step : y + step] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        else:
+            low = int(a[0])
+            view = np.frombuffer(data[low : int(b[-1] + step)], np.uint8)
+            unlike = np.concatenate(([0], np.cumsum(view[:-step] != view[step:], dtype=np.int32)))
+            out[those] = unlike[b - low] == unlike[a - low]
+    return out
+
+
 def phrase_rows(data: bytes) -> list[np.ndarray]:
     """Columns s, shape (windows x 256 + bytes from the first window to its trigger), run, core, ext of a text's phrases.
 
-    run phrases with equal extensions that follow one another are one row.
+    run phrases with equal extensions that follow one another are one row. Such phrases are told by comparing bytes, a
+    block at a time, and only the first of a run is hashed: a long text of one byte or a short period takes a block's memory.
     """
-    first, last, at = parse(data)
-    core = _signed([xxhash.xxh3_64_intdigest(data[a : a + CORE]) for a in at.tolist()])
-    ext = _signed([xxhash.xxh3_64_intdigest(data[a : b + SPAN], 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-    shape = ((last - first + 1) << 8 | (at - first)).astype(np.int32)
-    if not len(first):
-        return [first.astype(np.int32), shape, first.astype(np.int32), core, ext]
-    new = np.flatnonzero(np.concatenate(([True], (ext[1:] != ext[:-1]) | (shape[1:] != shape[:-1]))))
-    run = np.diff(np.concatenate((new, [len(first)])))
-    return [first[new].astype(np.int32), shape[new], run.astype(np.int32), core[new], ext[new]]
+    parts: list[list[np.ndarray]] = []
+    for first, last, at in parsed(data):
+        if not len(first):
+            continue
+        shape = ((last - first + 1) << 8 | (at - first)).astype(np.int32)
+        new = np.flatnonzero(~_again(data, first, last, shape))
+        run = np.diff(np.concatenate((new, [len(first)]))).astype(np.int32)
+        core = _signed([xxhash.xxh3_64_intdigest(data[a : a + CORE]) for a in at[new].tolist()])
+        ext = _signed([xxhash.xxh3_64_intdigest(data[a : b + SPAN], 1) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)])
+        rows = [first[new].astype(np.int32), shape[new], run, core, ext]
+        if parts and parts[-1][1][-1] == rows[1][0] and parts[-1][4][-1] == rows[4][0]:
+            # The run of the block before goes on.
+            parts[-1][2][-1] += rows[2][0]
+            rows = [c[1:] for c in rows]
+        if len(rows[0]):
+            parts.append(rows)
+    if not parts:
+        return [np.zeros(0, t) for t in (np.int32, np.int32, np.int32, np.int64, np.int64)]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:

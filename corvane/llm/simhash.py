@@ -284,7 +284,11 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """One row of docs for each group, the one with the least doc_id (nulls last, then by a hash of the text)."""
+    """One row of docs for each group, the one with the least doc_id (nulls last, then by a hash of the text).
+
+    Null and empty texts have fingerprint 0 and are one group, with any text whose fingerprint is near 0; of identical
+    rows one stays; columns beyond those of documents are carried along under any name; an empty table gives an empty result.
+    """
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     groups = written(near_groups(fingerprints(named, words, keep=("doc_id", "_hash")), budget).select("doc_id", "_hash", "group"), "groups")
     return aside(docs, lambda docs: keep_first(docs, groups))

@@ -334,11 +334,59 @@ def test_sweep_removes_written_tables(spark, make):
         table.count()
 
 
+def test_phrases_of_long_periodic_texts_take_little_memory():
+    """Peak of a fresh process over 20 MB of one byte, beyond what its imports take."""
+    import subprocess
+    import sys
+    import time
+
+    code = (
+        "import resource, time; from corvane.llm import repeats; peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024;"
+        "before, began = peak(), time.time(); rows = repeats.phrase_rows(b'a' * 20_000_000); print(len(rows[0]), peak() - before, time.time() - began)"
+    )
+    n, mb, seconds = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(n) == 1 and int(mb) < 300 and float(seconds) < 15
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_runs_of_equal_phrases_are_those_of_their_hashes(monkeypatch, block):
+    import numpy as np
+    import xxhash
+
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(60):
+        unit = bytes(rng.randrange(97, 100) for _ in range(rng.choice((1, 2, 3, 40, 130, 131, 250))))
+        data = bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300))) + unit * rng.randrange(1, 300) + bytes(rng.randrange(97, 99) for _ in range(rng.randrange(300)))
+        first, last, at = repeats.parse(data)
+        ext = [xxhash.xxh3_64_intdigest(data[a : b + repeats.SPAN], 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        shape = ((last - first + 1) << 8 | (at - first)).tolist()
+        new = [i for i in range(len(ext)) if i == 0 or (ext[i], shape[i]) != (ext[i - 1], shape[i - 1])]
+        got = repeats.phrase_rows(data)
+        assert got[0].tolist() == first[new].tolist() and got[2].tolist() == np.diff([*new, len(ext)]).tolist()
+
+
 def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
+    """Rows, not names alone: what each stage leaves of awkward rows, and nothing of an empty table."""
     import corpus_pipeline
 
     for frame in (awkward, empty):
         docs = frame
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before, schema = docs.collect(), stage(spark, docs, SF).schema
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
+            after = docs.collect()
+            if frame is empty:
+                assert after == []
+                continue
             assert i == 4 or docs.columns == frame.columns
+            if name in ("quality_rules", "near_duplicates"):
+                # Rows stay as they are, none twice as often as before.
+                assert not Counter(map(str, after)) - Counter(map(str, before)) and after
+            elif name == "secret_scan":
+                assert sorted(map(str, (r.doc_id for r in after))) == sorted(map(str, (r.doc_id for r in before)))
+            elif name == "mix_sources":
+                assert {str(r) for r in after} <= {str(r) for r in before} and all(r.text.split() for r in after)
+            else:
+                assert [r.n_tokens for r in after] == [len(r.tokens) for r in after] and len(after) == len(before)
+                assert Counter((r.doc_id, r.lang, r.source) for r in after) == Counter((r.doc_id, r.lang, r.source) for r in before)

@@ -236,7 +236,7 @@ def test_fences_equal_brute_force(make):
         shift = max(v.bit_length() - 7, 0)
         rows.append((r.lang, r.source, v >> shift << shift))
     want = brute_fences(rows)
-    assert {k: (r.low_word_hundredths, r.high_word_hundredths) for k, r in got.items()} == {k: (a - 3 * (b - a), b + 3 * (b - a)) for k, (a, b) in want.items()}
+    assert {k: (r.low_word_hundredths, r.high_word_hundredths) for k, r in got.items()} == {k: (a - 4 * (b - a), b + 4 * (b - a)) for k, (a, b) in want.items()}
     assert len({(r.low_word_hundredths, r.high_word_hundredths) for r in got.values()}) >= 4
     assert {r.high_mark_pm for r in got.values()} == {None}, "no text shows a mark, so nothing is judged by marks"
 
@@ -252,6 +252,32 @@ def test_sketches_decide_on_the_given_table(spark):
         assert most <= len(values) / 2, name
 
 
+def test_each_measure_rejects_and_clean_documents_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.measured(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    rows = quality.judged(rows, quality.thresholds(rows)).where("not _q_failed")
+    value = quality.measures()
+    beyond = [F.count_if(value[k] > F.col(f"high_{k}")).alias(k) for k, *_ in quality.RULES]
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = rows.join(labels, "doc_id", "left")
+    found = rows.agg(*beyond, F.avg(F.when(F.col("quality") == 1, (~F.col("_q_kept")).cast("int"))).alias("clean"), F.avg(F.when(F.col("quality") == 0, (~F.col("_q_kept")).cast("int"))).alias("junk")).first()
+    assert all(found[k] > 0 for k, *_ in quality.RULES) and found.clean <= 0.005 and found.junk == 1
+
+
+def test_many_sources_make_no_more_rows_than_their_sketches(spark):
+    """A group's fences need the rows of its own sketch alone; its language's go to each task of GROUPS groups."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(
+        F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 20_000).alias("source"), *(F.lit(100).cast("long").alias(f"_q_{k}") for k in ("n_words", "n_symbols", "n_lines")),
+        (F.col("id") % 40).alias("_q_n_marks"), (500 + F.col("id") % 7).alias("_q_word_chars"), *(F.lit(0).cast("long").alias(f"_q_{k}") for k in ("n_dup_lines", "n_repeat_words")),
+    )
+    fences = quality.thresholds(rows)
+    assert fences.count() == 20_000 and fences.agg(F.count_distinct("high_mark_pm")).first()[0] > 1
+
+
 def test_rules_adapt_and_keep_clean_documents(make):
     rng = random.Random(7)
     prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(80))
@@ -337,3 +363,12 @@ def test_gradient_equals_differences():
         model.p[name][at] = old - 1e-6
         assert (up - loss()) / 2e-6 == pytest.approx(g[name][at], rel=1e-4, abs=1e-8)
         model.p[name][at] = old
+
+
+def test_text_ids_are_scored(spark):
+    from corvane.llm import classifier
+
+    docs = spark.createDataFrame([(f"d{i}", ("fine prose here " if i % 2 else "$$$ ### %%% ") * 20) for i in range(40)] + [(None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, quality int")
+    rows = classifier.quality_scores(docs, labels).collect()
+    assert len(rows) == 41 and all(0 <= r.score <= 1 for r in rows) and {r.doc_id for r in rows} == {f"d{i}" for i in range(40)} | {None}
