@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import geom
-from corvane.operators import canonical, circular, interactions, joins, metrics, patterns, topology
+from corvane.operators import canonical, circular, interactions, joins, metrics, patterns, topology, valence
 from corvane.operators.patterns import Pattern
 from corvane.plans.registry import PTS, conformers, query, r
 from corvane.session import settled, table
+from corvane.sources import perception
 
 #: Atoms of a molecule; the first half of them is aromatic.
 MOLECULE, AROMATIC = 24, 12
@@ -225,3 +226,58 @@ def q108_hbonds_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = topology.bond_distances(bonds, most=3, sources=donors.select(F.col("vec_id").alias("graph"), F.col("donor").alias("a")))
     met = interactions.hydrogen_bonds(donors.join(hydrogens, ["vec_id", "donor"]), acceptors, ["vec_id"], bonds=steps.withColumnRenamed("graph", "vec_id"), least_angle=100.0)
     return met.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dist"), 5).alias("mean_dist"), F.sum(F.col("acceptor").cast("long")).alias("acceptors"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS n FROM lineitem),
+a AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM l WHERE f = 'A'),
+s AS (SELECT l_orderkey, run, count(*) AS size, min(n) AS low, max(n) AS high FROM a GROUP BY 1, 2),
+x AS (SELECT s.l_orderkey, bool_or(size % 2 = 1 AND (size > 1 OR EXISTS (FROM l WHERE l.l_orderkey = s.l_orderkey AND f = 'R' AND n IN (low - 1, high + 1)))) AS bad FROM s GROUP BY 1)
+SELECT o_orderpriority, count(*) AS n, count(*) FILTER (coalesce(bad, false)) AS n_impossible FROM (SELECT DISTINCT l_orderkey FROM l) k JOIN orders ON o_orderkey = k.l_orderkey LEFT JOIN x USING (l_orderkey) GROUP BY 1
+""")
+def q115_kekule_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a chain of its lines: A aromatic carbons, R aromatic oxygens, N carbons. A stretch of carbons that can't pair up makes its molecule impossible."""
+    flags = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
+    chains = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("graph")).agg(F.transform(flags, lambda v: v["l_returnflag"]).alias("a"))
+    ends = F.when((F.col("atom") == 0) & (F.size("a") == 1), 2).when((F.col("atom") == 0) | (F.col("atom") == F.size("a") - 1), 1).otherwise(0)
+    atoms = chains.select("graph", "a", F.posexplode("a").alias("atom", "f"))
+    atoms = atoms.select("graph", "atom", F.when(F.col("f") == "R", 8).otherwise(6).alias("z"), F.lit(0).alias("charge"), F.when(F.col("f") == "R", ends).when(F.col("f") == "A", 1).otherwise(0).alias("n_h"))
+    pairs = chains.where(F.size("a") > 1).select("graph", F.explode(F.transform(F.sequence(F.lit(1), F.size("a") - 1), lambda j: F.struct((j - 1).alias("i"), j.alias("j"), ((F.get("a", j) != "N") & (F.get("a", j - 1) != "N")).alias("aromatic")))).alias("b"))
+    found = valence.checked_molecules(settled(atoms), pairs.select("graph", "b.i", "b.j", F.lit(1).alias("type"), "b.aromatic"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph"), "o_orderpriority")
+    return found.join(orders, "graph").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("n_impossible"))
+
+
+_RESIDUES = list(perception.SIDE_CHAINS)
+_TEMPLATES = ", ".join(f"({k}, '{res}', {sum(r[0] == res and 'OXT' not in r[1:3] for r in perception.template_rows())})" for k, res in enumerate(_RESIDUES))
+
+
+@query(f"""
+WITH t AS (FROM (VALUES {_TEMPLATES}) t(k, res, n)),
+r AS (SELECT s_nationkey AS chain, s_suppkey AS res_id, CASE WHEN s_suppkey % 7 = 6 THEN NULL ELSE s_suppkey % 20 END AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS turn FROM supplier),
+c AS (SELECT chain, count(*) FILTER (res = 'CYS') AS n_cys, sum(n)::BIGINT AS n_template, count(*) FILTER (r.k IS NULL) AS n_ligands FROM r LEFT JOIN t USING (k) GROUP BY 1),
+p AS (SELECT a.chain, count(*) AS n FROM r a JOIN r b ON a.chain = b.chain AND b.turn = a.turn + 1 AND a.k IS NOT NULL AND b.k IS NOT NULL GROUP BY 1)
+SELECT chain, 'template' AS kind, n_template AS n FROM c WHERE n_template > 0 UNION ALL SELECT chain, 'peptide', n FROM p
+UNION ALL SELECT chain, 'disulphide', n_cys // 2 FROM c WHERE n_cys > 1 UNION ALL SELECT chain, 'radius', 3 * n_ligands FROM c WHERE n_ligands > 0
+""")
+def q116_bond_perception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier is a residue of its nation's chain, every seventh a ligand of four carbons: bonds by template, along chains, between cysteines and by radius."""
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    names = F.array(*map(F.lit, _RESIDUES))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.when(F.col("s_suppkey") % 7 == 6, "LIG").otherwise(F.get(names, (F.col("s_suppkey") % 20).cast("int"))).alias("res_name"))
+    cysteines = Window.partitionBy("s_nationkey", "res_name").orderBy("s_suppkey")
+    rows = rows.withColumns({"turn": F.row_number().over(order), "twin": F.row_number().over(cysteines) - 1})
+    parts = {res: list(dict.fromkeys(x for r in perception.template_rows() if r[0] == res for x in r[1:3] if x != "OXT")) for res in _RESIDUES} | {"LIG": ["C1", "C2", "C3", "C4"]}
+    held = F.create_map(*(x for res, those in parts.items() for x in (F.lit(res), F.array(*map(F.lit, those)))))
+    rows = rows.select("s_nationkey", "s_suppkey", "res_name", "turn", "twin", F.posexplode(F.element_at(held, F.col("res_name"))).alias("k", "name"))
+    sulphur, ligand, main = (F.col("name") == "SG"), (F.col("res_name") == "LIG"), F.col("name").isin("N", "C")
+    # N and C lie on the chain, 1.3 from the next residue's; sulphurs of two cysteines 2.03 apart; ligands' carbons 1.5.
+    px = F.when(sulphur, 10.0 * F.floor(F.col("twin") / 2)).when(ligand, 1.5 * F.col("k")).when(F.col("name") == "C", 5.0 * F.col("turn") + 3.7).otherwise(5.0 * F.col("turn"))
+    py = F.when(sulphur, 5000.0).when(ligand, 9000.0 + 10.0 * F.col("turn")).when(main, 0.0).otherwise(50.0 + 9.0 * F.col("k"))
+    pz = F.when(sulphur, 2.03 * (F.col("twin") % 2)).otherwise(0.0)
+    atoms = rows.select(
+        F.col("s_nationkey").cast("long").alias("protein"), (F.col("s_suppkey") * 16 + F.col("k")).cast("int").alias("atom"), F.lit(6).alias("z"), "name", "res_name",
+        F.lit("A").alias("chain"), F.col("s_suppkey").cast("int").alias("res_id"), px.alias("px"), py.alias("py"), pz.alias("pz"),
+    )
+    found = perception.perceived_bonds(settled(atoms))
+    return found.groupBy(F.col("protein").alias("chain"), "kind").agg(F.count(F.lit(1)).alias("n"))

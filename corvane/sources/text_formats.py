@@ -149,9 +149,11 @@ def parse_pdb(text: str) -> dict:
     """Chains, atoms of the first model, and the bonds that CONECT records name: places of atoms, i < j, each pair once.
 
     A pair that a record repeats is a bond of that order, as some writers mark double bonds. Partners that are no atom of
-    the first model are left out.
+    the first model are left out. Of an atom's alternate locations the one of greatest occupancy stays, the first of equals.
     """
     atoms, ties = [], []
+    places: dict[tuple, int] = {}
+    occupancies: list[float] = []
     ended = False
     for line in text.split("\n"):
         if line.startswith("CONECT"):
@@ -160,10 +162,19 @@ def parse_pdb(text: str) -> dict:
         if ended:
             continue
         if line.startswith(("ATOM  ", "HETATM")):
-            atoms.append({
+            atom = {
                 "serial": int(line[6:11]), "name": line[12:16].strip(), "res_name": line[17:20].strip(), "chain": line[21].strip(),
                 "res_id": int(line[22:26]), "element": line[76:78].strip(), "x": float(line[30:38]), "y": float(line[38:46]), "z": float(line[46:54]),
-            })
+            }
+            occupancy = float(line[54:60].strip() or 1)
+            # Atoms with a location letter are one where all else that names them is equal.
+            key = (line[21:27], line[17:20], line[12:16]) if line[16].strip() else (len(atoms),)
+            if key not in places:
+                places[key] = len(atoms)
+                atoms.append(atom)
+                occupancies.append(occupancy)
+            elif occupancy > occupancies[places[key]]:
+                atoms[places[key]], occupancies[places[key]] = atom, occupancy
         elif line.startswith("ENDMDL"):
             ended = True  # the first model only; CONECT records follow the last one
     place = {a["serial"]: i for i, a in enumerate(atoms)}
