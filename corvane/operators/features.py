@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import geom, ragged, vocab
 from corvane.functions.flow import hash_normal, hash_uniform
 from corvane.operators.joins import best_overlap
+from corvane.session import settled
 
 
 def positions(features: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -189,3 +190,15 @@ def with_features(rows: DataFrame, named: list[tuple[str, Column, float | None]]
         # 1 - u is in (0, 1], so that 0 keeps every row and 1 none.
         out |= {f"{name}-mask": (1 - hash_uniform(F.col(key), F.lit(name), seed=seed) > mask_prob).cast("int") for name in names}
     return rows.withColumns(out)
+
+
+def persisted(rows: DataFrame, named: list[tuple[str, Column, float | None]], conformers: int | None = None, group: str = "mol", order: str = "conf") -> DataFrame:
+    """with_features() worked out once, as a table that later reads take from the shared folder instead of computing again.
+
+    conformers: features are worked out for the first so many conformers of each group by order; the rest goes, as a
+    preload of an ensemble asks. A value that is missing without a sentinel is an error here and not when the table is read.
+    """
+    if conformers is not None:
+        turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
+        rows = rows.withColumn("_turn", turn).where(F.col("_turn") <= conformers).drop("_turn")
+    return settled(with_features(rows, named))

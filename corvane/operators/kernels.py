@@ -53,15 +53,27 @@ def sphere(n: int) -> np.ndarray:
     return np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], 1)
 
 
+#: Squared distances of probe points to atoms that are held at once.
+SURFACE_CELLS = 1 << 22
+
+
 def surface_areas(points: np.ndarray, radii: np.ndarray, probe: float = 1.4, n: int = 960) -> np.ndarray:
-    """Solvent-accessible area of each atom: the share of its probe sphere outside all others (Shrake and Rupley, 1973)."""
-    reach = radii + probe
-    unit, out = sphere(n), np.zeros(len(points))
-    for i, p in enumerate(points):
-        near = np.flatnonzero((np.linalg.norm(points - p, axis=1) < reach + reach[i]) & (np.arange(len(points)) != i))
-        shell = p + reach[i] * unit
-        buried = (np.linalg.norm(shell[:, None] - points[near], axis=2) < reach[near]).any(1) if len(near) else np.zeros(n, bool)
-        out[i] = 4 * np.pi * reach[i] ** 2 * (1 - buried.mean())
+    """Solvent-accessible area of each atom: the share of its probe sphere outside all others (Shrake and Rupley, 1973).
+
+    All probe points of a block of atoms meet all atoms in one product of matrices; an atom never buries its own.
+    """
+    reach, unit, many = radii + probe, sphere(n), len(points)
+    points = points - points.mean(0) if many else points
+    out = np.zeros(many)
+    step = max(1, SURFACE_CELLS // max(1, n * many))
+    for at in range(0, many, step):
+        block = slice(at, min(at + step, many))
+        shell = points[block, None] + reach[block, None, None] * unit
+        square = (shell**2).sum(2)[:, :, None] + (points**2).sum(1) - 2 * shell @ points.T
+        own = np.arange(at, block.stop)
+        square[np.arange(len(own)), :, own] = np.inf
+        buried = (square < reach**2).any(2)
+        out[block] = 4 * np.pi * reach[block] ** 2 * (1 - buried.mean(1))
     return out
 
 

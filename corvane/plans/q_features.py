@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import geom
 from corvane.operators import features
 from corvane.plans.registry import PTS, conformers, query, r
 from corvane.session import table
@@ -78,3 +79,16 @@ def q66_symmetry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.agg(F.avg("value").alias("rmsd_direct"), F.max("value").alias("rmsd_rotated"), F.min("value").alias("atom_tv"))
     out = features.symmetry_report(rows)
     return out.select("snapshot", *(r(F.col(c)).alias(c) for c in ("rmsd_direct", "rmsd_rotated", "atom_tv")))
+
+
+@query(f"""
+WITH {PTS}, g AS (SELECT vec_id, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rog FROM pts GROUP BY 1),
+f AS (SELECT vec_id // 40 AS mol, rog, CASE WHEN embedding[64] > 0 THEN embedding[64]::DOUBLE ELSE -1 END AS strain FROM g JOIN embeddings USING (vec_id))
+SELECT mol, count(*) AS n, round(avg(rog), 6) AS rog, round(max(rog), 6) AS widest, round(avg(strain), 6) AS strain FROM f GROUP BY 1
+""")
+def q120_persisted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every conformer worked out once and kept, then read twice: means and maxima of each molecule."""
+    rows = conformers(spark, sf_dir).select("vec_id", F.expr("vec_id div 40").alias("mol"), "xyz", "energy")
+    kept = features.persisted(rows, [("rog", geom.radius_of_gyration(F.col("xyz")), None), ("strain", F.when(F.col("energy") > 0, F.col("energy")), -1.0)])
+    means = kept.groupBy("mol").agg(F.count(F.lit(1)).alias("n"), r(F.avg("rog")).alias("rog"), r(F.avg("strain")).alias("strain"))
+    return means.join(kept.groupBy("mol").agg(r(F.max("rog")).alias("widest")), "mol").select("mol", "n", "rog", "widest", "strain")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import flow
@@ -14,17 +14,19 @@ STEPS = 20
 
 
 @query("""
-WITH g AS (SELECT 'constant' AS kind, i, i * (0.999::DOUBLE / 20) AS t FROM range(21) x(i) UNION ALL SELECT 'decay', i, 1 - 0.01::DOUBLE * pow(99.9::DOUBLE, (20 - i) / 20.0::DOUBLE) FROM range(21) x(i))
-SELECT kind, i::INT AS i, round(t, 9) AS t, round(lead(t) OVER (PARTITION BY kind ORDER BY i) - t, 9) AS step, round(2 * t - t * t, 9) AS polydec, round(t * t, 9) AS polyinc, round(2 * (1 - t), 9) AS slope FROM g
+WITH e AS (SELECT CASE WHEN event_type = 'click' THEN 'constant' ELSE 'decay' END AS kind, (event_id % 21)::INT AS i, count(*) AS n FROM events GROUP BY 1, 2),
+g AS (SELECT *, CASE WHEN kind = 'constant' THEN i * (0.999::DOUBLE / 20) ELSE 1 - 0.01::DOUBLE * pow(99.9::DOUBLE, (20 - i) / 20.0::DOUBLE) END AS t FROM e)
+SELECT kind, i, n, round(t, 9) AS t, round(CASE WHEN kind = 'constant' THEN 0.999::DOUBLE / 20 ELSE 1 - 0.01::DOUBLE * pow(99.9::DOUBLE, (19 - i) / 20.0::DOUBLE) - t END, 9) AS step,
+  round(2 * t - t * t, 9) AS polydec, round(t * t, 9) AS polyinc, round(2 * (1 - t), 9) AS slope FROM g
 """)
 def q45_step_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both time grids of 20 steps, their step sizes, schedules and a schedule's slope."""
-    grid = spark.range(STEPS + 1).select(F.col("id").cast("int").alias("i"))
-    both = [grid.select(F.lit(k).alias("kind"), "i", flow.time_grid(k, F.col("i"), STEPS).alias("t")) for k in ("constant", "decay")]
-    rows = both[0].unionByName(both[1])
-    step = F.lead("t").over(Window.partitionBy("kind").orderBy("i")) - F.col("t")
+    """An event is a step of a time grid of 20, clicks of the constant one: times, step sizes, schedules and a schedule's slope."""
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "constant").otherwise("decay").alias("kind"), (F.col("event_id") % (STEPS + 1)).cast("int").alias("i"))
+    at = lambda i: F.when(F.col("kind") == "constant", flow.time_grid("constant", i, STEPS)).otherwise(flow.time_grid("decay", i, STEPS))
+    rows = rows.withColumns({"t": at(F.col("i")), "step": at(F.col("i") + 1) - at(F.col("i"))})
     t = F.col("t")
-    return rows.select("kind", "i", r(t, 9).alias("t"), r(step, 9).alias("step"), r(flow.schedule("polydec", t), 9).alias("polydec"), r(flow.schedule("polyinc", t), 9).alias("polyinc"), r(flow.schedule_slope("polydec", t), 9).alias("slope"))
+    rows = rows.select("kind", "i", r(t, 9).alias("t"), r(F.col("step"), 9).alias("step"), r(flow.schedule("polydec", t), 9).alias("polydec"), r(flow.schedule("polyinc", t), 9).alias("polyinc"), r(flow.schedule_slope("polydec", t), 9).alias("slope"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +82,26 @@ def q48_transition_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT i / 10.0::DOUBLE AS t FROM range(9) x(i))
-SELECT round(t, 1) AS t, round(least(1, 0.1 * (1 + 0.5 * t) / (1 - t)), 9) AS unmask, round(CASE WHEN t + 0.1 < 1 THEN 0.05::DOUBLE ELSE 0 END, 9) AS again, round(least(10, t / (1 - t)), 9) AS weight FROM g
+WITH g AS (SELECT event_type, (event_id % 9) / 10.0::DOUBLE AS t FROM events)
+SELECT event_type, round(t, 1) AS t, count(*) AS n, round(least(1, 0.1 * (1 + 0.5 * t) / (1 - t)), 9) AS unmask, round(CASE WHEN t + 0.1 < 1 THEN 0.05::DOUBLE ELSE 0 END, 9) AS again, round(least(10, t / (1 - t)), 9) AS weight FROM g GROUP BY event_type, g.t
 """)
 def q62_mask_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked sampling: probabilities to unmask and to mask again, and the loss weight, over a grid of times."""
+    """Masked sampling: probabilities to unmask and to mask again, and the loss weight, at the times of events."""
     t = F.col("t")
-    rows = spark.range(9).select((F.col("id") / F.lit(10.0)).alias("t"))
-    return rows.select(
-        F.round(t, 1).alias("t"), r(flow.mask_transition(F.lit(True), t, 0.1, 0.5), 9).alias("unmask"), r(flow.mask_transition(F.lit(False), t, 0.1, 0.5), 9).alias("again"), r(flow.time_weight(t), 9).alias("weight")
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 9 / F.lit(10.0)).alias("t"))
+    rows = rows.select(
+        "event_type", F.round(t, 1).alias("t"), r(flow.mask_transition(F.lit(True), t, 0.1, 0.5), 9).alias("unmask"), r(flow.mask_transition(F.lit(False), t, 0.1, 0.5), 9).alias("again"), r(flow.time_weight(t), 9).alias("weight")
     )
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {PROBS} SELECT vec_id % 10 AS bin, count(*) AS n, round(avg(-ln(greatest(p, 1e-12))), 6) AS loss,
+  round(avg(-ln(greatest(p, 1e-12)) * least(10, (vec_id % 10 / 10.0::DOUBLE) / (1 - vec_id % 10 / 10.0::DOUBLE))), 6) + 0.0 AS weighted FROM probs WHERE i = (vec_id * 7) % 64 GROUP BY 1
+""")
+def q117_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of each distribution at a target category, plain and weighted by a time, by tenths of time."""
+    loss = flow.cross_entropy(F.col("p"), (F.col("vec_id") * 7 % 64).cast("int"))
+    rows = distributions(spark, sf_dir).select((F.col("vec_id") % 10).alias("bin"), loss.alias("loss"))
+    weight = flow.time_weight(F.col("bin") / F.lit(10.0))
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r(F.avg("loss")).alias("loss"), r(F.avg(F.col("loss") * weight)).alias("weighted"))

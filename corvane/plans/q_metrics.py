@@ -200,11 +200,19 @@ def q60_windowed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES (0, '0_F', 0, false, NULL), (1, '1_F', 1, false, NULL), (2, '2_F', 2, false, NULL), (3, '3_F', 3, false, NULL), (4, '1_T', 1, true, NULL),
-  (5, '2_T', 2, true, NULL), (6, '3_T', 3, true, NULL), (7, '2_F_E', 2, false, 'E'), (8, '2_F_Z', 2, false, 'Z'), (9, '-1_F', -1, false, NULL)) t(bond_id, token, bond_order, aromatic, stereo)
+WITH t AS (FROM (VALUES (0, '0_F', 0, false, NULL), (1, '1_F', 1, false, NULL), (2, '2_F', 2, false, NULL), (3, '3_F', 3, false, NULL), (4, '1_T', 1, true, NULL),
+  (5, '2_T', 2, true, NULL), (6, '3_T', 3, true, NULL), (7, '2_F_E', 2, false, 'E'), (8, '2_F_Z', 2, false, 'Z'), (9, '-1_F', -1, false, NULL)) t(bond_id, token, bond_order, aromatic, stereo)),
+l AS (SELECT CASE WHEN l_quantity >= 48 THEN -1 ELSE l_linenumber % 4 END AS bond_order, l_returnflag = 'A' AND l_linenumber % 4 > 0 AND l_quantity < 48 AS aromatic, l_linestatus FROM lineitem),
+b AS (SELECT bond_order, aromatic, CASE WHEN bond_order = 2 AND NOT aromatic THEN CASE l_linestatus WHEN 'O' THEN 'E' WHEN 'F' THEN 'Z' END END AS stereo FROM l)
+SELECT bond_id, token, t.bond_order, t.aromatic, t.stereo, count(*) AS n FROM b JOIN t ON t.bond_order = b.bond_order AND t.aromatic = b.aromatic AND t.stereo IS NOT DISTINCT FROM b.stereo GROUP BY ALL
 """)
 def q61_bond_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bond dimension table, tokens built again from their parts and encoded."""
-    rows = vocab.bond_vocabulary(spark)
-    token = vocab.bond_token(F.col("bond_order"), F.col("aromatic"), F.col("stereo"))
-    return rows.select(vocab.encode(token, vocab.BOND_TOKENS).alias("bond_id"), token.alias("token"), "bond_order", "aromatic", "stereo")
+    """A line is a bond: its token built from order, aromaticity and stereo, encoded, counted, and named by the bond dimension table."""
+    line = table(spark, sf_dir, "lineitem")
+    special = F.col("l_quantity") >= 48
+    order = F.when(special, -1).otherwise(F.col("l_linenumber") % 4).cast("int")
+    aromatic = (F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 4 > 0) & ~special
+    line = line.select(order.alias("o"), aromatic.alias("a"), "l_linestatus")
+    stereo = F.when((F.col("o") == 2) & ~F.col("a"), F.when(F.col("l_linestatus") == "O", "e").when(F.col("l_linestatus") == "F", "z"))
+    counts = line.select(vocab.encode(vocab.bond_token(F.col("o"), F.col("a"), stereo), vocab.BOND_TOKENS).alias("bond_id")).groupBy("bond_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(vocab.bond_vocabulary(spark)), "bond_id").select("bond_id", "token", "bond_order", "aromatic", "stereo", "n")

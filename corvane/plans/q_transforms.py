@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import flow, geom, vocab
 from corvane.operators import batching, ensemble, features, filters, graph, interactions, kernels
+from corvane.plans.q_geometry import MOVE, TURN
 from corvane.plans.registry import PROBS, PTS, conformers, distributions, query, r
 from corvane.session import table
 
@@ -95,6 +96,35 @@ def q82_ensemble_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "mol", r(F.col("strain")).alias("strain"), r(F.col("weight")).alias("weight"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, vec_id // 40 AS mol, 10 * embedding[64]::DOUBLE AS energy FROM embeddings), s AS (SELECT *, energy - min(energy) OVER (PARTITION BY mol) AS strain FROM e),
+k AS (SELECT * FROM s WHERE strain <= 3), w AS (SELECT *, exp(-(energy - min(energy) OVER (PARTITION BY mol)) / (0.001987 * 300)) AS raw FROM k)
+SELECT vec_id, mol, round(strain, 6) AS strain, round(raw / sum(raw) OVER (PARTITION BY mol), 6) AS weight FROM w
+""")
+def q118_deduplicated_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with deduplication: beside each conformer lies its copy, turned and shifted. The copies go, so weights are those of the conformers alone."""
+    rows = conformers(spark, sf_dir).select("vec_id", F.expr("vec_id div 40").alias("mol"), geom.scale(F.col("xyz"), 10.0).alias("xyz"), (10 * F.col("energy")).alias("energy"))
+    copies = rows.withColumns({"vec_id": F.col("vec_id") + 1_000_000_000_000, "xyz": geom.shift(geom.rotate(F.col("xyz"), TURN), geom.point(*map(F.lit, MOVE)))})
+    out = ensemble.sample_ensemble(rows.unionByName(copies), "mol", "vec_id", dedup=0.05, strain=3.0)
+    return out.select("vec_id", "mol", r(F.col("strain")).alias("strain"), r(F.col("weight")).alias("weight"))
+
+
+@query(f"""
+WITH {PTS}, s AS (SELECT vec_id, 2 * count(*) AS n, round(2 * sum(x*x + y*y + z*z), 6) AS norm2, sqrt(sum(x)**2 + sum(y)**2 + sum(z)**2) AS middle FROM pts WHERE atom % 3 <> 0 GROUP BY 1)
+SELECT vec_id, n, norm2, round(2 * middle, 6) AS middle, true AS rotated, 1 AS mode FROM s
+""")
+def q119_turned_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles that are all turned, their shape points doubled and their pharmacophores dropped: counts, norms and the length of the sum of points stay."""
+    kind = lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), F.when(i % 3 == 0, 2).otherwise(1).alias("type"))
+    rows = conformers(spark, sf_dir).select("vec_id", F.transform("xyz", kind).alias("points"))
+    out = kernels.augmented_profiles(rows, "vec_id", seed=3, resample=1.0, rotate_prob=1.0, drop_pharm=1.0)
+    along = lambda a: geom.total(F.transform("points", lambda p: p[a]))
+    whole = {a: along(a) for a in "xyz"}
+    norm2 = geom.total(F.transform("points", lambda p: geom.dot(p, p)))
+    middle = F.sqrt(sum((c * c for c in whole.values()), F.lit(0.0)))
+    return out.select("vec_id", F.size("points").cast("long").alias("n"), r(norm2).alias("norm2"), r(middle).alias("middle"), "rotated", "mode")
+
+
 @query("""
 SELECT CASE event_type WHEN 'click' THEN 'Donor' WHEN 'view' THEN 'Acceptor' ELSE event_type END AS family,
   CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 END AS type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2

@@ -58,3 +58,12 @@ def test_named_features(spark):
             features.with_features(rows, [("a", F.col("v"), 0.0)], "k", p)
     with pytest.raises(Exception, match="has no value"):
         features.with_features(rows, [("a", F.col("v"), None)]).collect()
+
+
+def test_persisted_features_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(m, c, float(c)) for m in range(3) for c in range(15)], "mol int, conf int, v double")
+    kept = features.persisted(rows, [("twice", F.col("v") * 2, None)], conformers=10)
+    assert kept.count() == 30 and kept.agg(F.max("twice")).first()[0] == 18.0
+    assert "Project" not in kept._jdf.queryExecution().optimizedPlan().toString(), "read as a table, not worked out again"
+    with pytest.raises(Exception, match="has no value"):
+        features.persisted(rows, [("none", F.when(F.col("v") > 0, F.col("v")), None)])
