@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import geom
-from corvane.operators import canonical, circular, interactions, joins, metrics, patterns, topology, valence
+from corvane.functions import geom, vocab
+from corvane.operators import canonical, circular, interactions, joins, metrics, patterns, stereo, topology, valence
 from corvane.operators.patterns import Pattern
 from corvane.plans.registry import PTS, conformers, query, r
 from corvane.session import settled, table
@@ -281,3 +281,30 @@ def q116_bond_perception(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = perception.perceived_bonds(settled(atoms))
     return found.groupBy(F.col("protein").alias("chain"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Of a tree of twenty-one atoms, atom k on atom (k - 1) // 2, the double bonds (the last one ends in a bare atom) and the atoms that aren't carbon.
+_DOUBLES = ((0, 1), (2, 5), (4, 10))
+_HETERO = {8: 8, 20: 7, 11: 8}
+
+
+@query(f"""
+WITH {PTS}, q AS (FROM (VALUES (0, 1, 2, 3), (2, 5, 0, 11)) q(i, j, si, sj)),
+v AS (
+  SELECT q.i, q.j, [b.x-p.x, b.y-p.y, b.z-p.z] AS a, [u.x-p.x, u.y-p.y, u.z-p.z] AS u, [w.x-b.x, w.y-b.y, w.z-b.z] AS w FROM q
+  JOIN pts p ON p.atom = q.i JOIN pts b ON b.vec_id = p.vec_id AND b.atom = q.j JOIN pts u ON u.vec_id = p.vec_id AND u.atom = q.si JOIN pts w ON w.vec_id = p.vec_id AND w.atom = q.sj
+)
+SELECT i, j, CASE WHEN list_inner_product(a, a) * list_inner_product(u, w) > list_inner_product(a, u) * list_inner_product(a, w) THEN '2_F_Z' ELSE '2_F_E' END AS token, count(*) AS n FROM v GROUP BY ALL
+""")
+def q121_stereo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conformer's atoms as a tree with three double bonds: bond tokens with E or Z by the branches that come first and the side they lie on."""
+    rows = settled(conformers(spark, sf_dir).select(F.col("vec_id").alias("graph"), "xyz"))
+    points = rows.select("graph", F.posexplode("xyz").alias("atom", "point"))
+    z = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _HETERO.items() for x in kv)), F.col("atom")), F.lit(6))
+    atoms = points.select("graph", "atom", z.alias("z"), F.lit(0).alias("n_h"))
+    link = points.where("atom > 0").select("graph", F.floor((F.col("atom") - 1) / 2).cast("int").alias("i"), F.col("atom").alias("j"))
+    double = (F.col("i") * 100 + F.col("j")).isin(*(100 * i + j for i, j in _DOUBLES))
+    bonds = settled(link.withColumns({"type": F.when(double, 2).otherwise(1), "aromatic": F.lit(False)}))
+    named = stereo.stereo_bonds(bonds, stereo.double_bond_stereo(atoms, bonds, points)).where("stereo is not null")
+    token = vocab.bond_token(F.col("type"), F.col("aromatic"), F.col("stereo"))
+    return named.groupBy("i", "j", token.alias("token")).agg(F.count(F.lit(1)).alias("n"))
