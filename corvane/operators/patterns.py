@@ -124,14 +124,15 @@ def matches(atoms: DataFrame, bonds: DataFrame, pattern: Pattern, unique: bool =
 def find_features(atoms: DataFrame, bonds: DataFrame, families: Mapping[str, Sequence[Pattern]]) -> DataFrame:
     """(graph, family, atoms): the atoms of each match of a family's patterns, in order of number; the same atoms once a family.
 
-    Patterns of all families share the tables, which should be settled.
+    Patterns of all families share the tables, which should be settled. Each pattern's features are settled, so that many
+    patterns make no plan of all their joins.
     """
     out = None
     for family, patterns in families.items():
         for pattern in patterns:
             found = matches(atoms, bonds, pattern, unique=True)
             covered = F.array_sort(F.array(*(c for c in found.columns if c != "graph")))
-            found = found.select("graph", F.lit(family).alias("family"), covered.alias("atoms"))
+            found = settled(found.select("graph", F.lit(family).alias("family"), covered.alias("atoms")))
             out = found if out is None else out.union(found)
     if out is None:
         raise ValueError("no pattern is given")
@@ -162,42 +163,95 @@ def directed(features: DataFrame, atoms: DataFrame, bonds: DataFrame, points: Da
     return out.fillna(0.0, [f"d{a}" for a in "xyz"])
 
 
+#: Conditions on bonds: a plain single or double one, and what stands where a pattern names no bond.
+SINGLE, DOUBLE, PLAIN, ANY = "type = 1 and not aromatic", "type = 2 and not aromatic", "type = 1 or aromatic", "true"
+
+
 def _ring(size: int) -> Pattern:
     """An aromatic ring: `size` aromatic atoms of a ring of that size and of none that is smaller, aromatic bonds around."""
     atom = f"aromatic and array_contains(ring_sizes, {size}) and array_min(ring_sizes) = {size}"
     return Pattern([atom] * size, [(k, (k + 1) % size, "aromatic") for k in range(size)])
 
 
-def _near(*atoms: str, bond: str = "true") -> Pattern:
-    """A chain of atoms, each bonded to the one before it."""
-    return Pattern(list(atoms), [(k, k + 1, bond) for k in range(len(atoms) - 1)])
-
-
-# The families of features and what belongs to them. n_h counts hydrogens, degree all bonded atoms,
-# hydrogens too; charge is the formal one.
-_CARBONYL_N = Pattern(["z = 7", "true", "z <> 6"], [(0, 1, "type = 1"), (1, 2, "type = 2")])
-_ACID_OH = Pattern(["z = 8 and n_h > 0", "z in (6, 15, 16)", "z = 8"], [(0, 1, "type = 1"), (1, 2, "type = 2")])
-_ESTER_O = Pattern(["z = 8 and degree = 2", "z = 6", "z = 6", "z = 8"], [(0, 1, "type = 1"), (0, 2, "type = 1"), (2, 3, "type = 2")])
-_NITRO_O = Pattern(["z = 8", "z = 7", "z = 8"], [(0, 1, "true"), (1, 2, "type = 2")])
-_BESIDE_HETERO = _near("z = 6", "z in (7, 8, 9)")
-_GREASY = "z = 6 and not aromatic and ((n_h = 3 and degree = 4) or (n_h = 2 and degree = 3) or (n_h = 1 and degree = 2))"
+def _chain(*atoms: str, bond: str = PLAIN, **more) -> Pattern:
+    """Atoms each bonded to the one before it."""
+    return Pattern(list(atoms), [(k, k + 1, bond) for k in range(len(atoms) - 1)], **more)
+
+
+def _star(centre: str, *arms: tuple[str, str], **more) -> Pattern:
+    """A centre, which is atom 0, and (bond, atom) for each arm."""
+    return Pattern([centre, *(a for _, a in arms)], [(0, k + 1, b) for k, (b, _) in enumerate(arms)], **more)
+
+
+def _of(z: int, more: str = "true") -> str:
+    """An atom of an element that isn't aromatic."""
+    return f"z = {z} and not aromatic and {more}"
+
+
+# The families of features and what belongs to them, as conditions on topology.described() atoms with a
+# formal charge. A family's patterns are tried one by one; features that cover the same atoms count once in a family.
+_C, _N, _O, _S = (_of(z) for z in (6, 7, 8, 16))
+_TRIFLYL = Pattern(
+    [_N, _of(16, "connections = 4"), _O, _O, _of(6, "connections = 4"), "z = 9", "z = 9", "z = 9"],
+    [(0, 1, SINGLE), (1, 2, DOUBLE), (1, 3, DOUBLE), (1, 4, PLAIN), (4, 5, PLAIN), (4, 6, PLAIN), (4, 7, PLAIN)],
+)
+_ACID_OH = Pattern([_of(8, "hydrogens = 1"), "z in (6, 15, 16) and not aromatic", _O], [(0, 1, PLAIN), (1, 2, DOUBLE)])
+_AMIDE_N = Pattern([_of(7, "connections = 3"), "true", "z <> 6"], [(0, 1, SINGLE), (1, 2, DOUBLE)])
+_AMIDINE_N = Pattern([_N, _C, "z in (6, 7) and not aromatic", _N], [(0, 1, DOUBLE), (1, 2, PLAIN), (1, 3, PLAIN)])
+_ESTER_O = Pattern([_of(8, "connections = 2"), _C, _C, _O], [(0, 1, PLAIN), (0, 2, PLAIN), (2, 3, DOUBLE)])
+_POSITIVE_N = _star(
+    _of(7, "connections = 3 and charge = 1"), (PLAIN, _of(6, "connections = 4")), *[(PLAIN, "z = 1 or (z = 6 and not aromatic and connections = 4)")] * 2, outside=[(0, _AMIDE_N)]
+)
+_HETERO = _chain("z = 6", "z in (7, 8, 9)", bond=ANY)
+_N_PLUS = _of(7, "charge = 1")
+#: Carbons at the end of a chain (CH3, =CH2, #CH) and inside one (CH2, =CH, #C), none of them aromatic.
+_END = "z = 6 and not aromatic and ((hydrogens = 3 and connections = 4) or (hydrogens = 2 and connections = 3) or (hydrogens = 1 and connections = 2))"
+_INNER = "z = 6 and not aromatic and ((hydrogens = 2 and connections = 4) or (hydrogens = 1 and connections = 3) or (hydrogens = 0 and connections = 2))"
+_BESIDE_OTHERS = _chain(_INNER, f"z <> 1 and not ({_INNER})", bond=ANY)
+_TWO_ENDS, _THREE_ENDS = (_star("true", *[(PLAIN, _END)] * k) for k in (2, 3))
 FAMILIES: dict[str, list[Pattern]] = {
     "Aromatic": [_ring(size) for size in (4, 5, 6, 7, 8)],
-    "Donor": [Pattern(["z = 7 and n_h > 0"]), Pattern(["z = 8 and n_h > 0"], outside=[(0, _ACID_OH)]), Pattern(["z = 16 and n_h > 0"])],
+    "Donor": [
+        Pattern(["z = 7 and hydrogens > 0"], outside=[(0, _TRIFLYL)]),
+        Pattern(["z = 8 and hydrogens > 0"], outside=[(0, _ACID_OH)]),
+        Pattern(["z = 16 and hydrogens > 0"]),
+        Pattern(["z in (8, 16) and not aromatic and hydrogens = 1 and charge = 0"]),
+    ],
     "Acceptor": [
-        Pattern(["z = 8 and n_h = 1 and charge = 0"]),
-        Pattern(["z = 8 and not aromatic"], outside=[(0, _ESTER_O), (0, _NITRO_O)]),
+        Pattern([_of(8, "hydrogens = 1 and valence = 2")]),
+        Pattern([_of(8, "hydrogens = 0 and valence = 2")], outside=[(0, Pattern([_O, _N, "true"], [(0, 1, DOUBLE), (1, 2, SINGLE)]))]),
+        Pattern([_of(8, "charge = -1")], outside=[(0, Pattern([_O, _N, _O], [(0, 1, SINGLE), (1, 2, DOUBLE)]))]),
         Pattern(["z = 8 and aromatic and charge = 0"]),
+        Pattern([_O], outside=[(0, _ESTER_O), (0, _star("true", (ANY, "aromatic"), (ANY, "aromatic")))]),
         Pattern(
-            ["z = 7 and degree < 4 and not (aromatic and degree = 3)"],
-            outside=[(0, _CARBONYL_N), (0, _near("z = 7 and degree = 3", "aromatic", bond="type = 1"))],
+            ["z = 7 and not (aromatic and connections = 3) and not (not aromatic and connections = 4)"],
+            outside=[(0, _AMIDE_N), (0, Pattern([_of(7, "connections = 3"), "aromatic"], [(0, 1, SINGLE)])), (0, _AMIDINE_N)],
         ),
     ],
-    "Cation": [Pattern(["charge > 0"], outside=[(0, _near("charge > 0", "charge < 0"))])],
-    "Anion": [Pattern(["charge < 0"], outside=[(0, _near("charge < 0", "charge > 0"))])],
+    "Cation": [
+        Pattern(["true"], inside=[(0, _POSITIVE_N)]),
+        _star(_of(6, "connections = 3"), (DOUBLE, _N_PLUS), (SINGLE, _N), (PLAIN, "not (z = 7 and not aromatic)")),
+        _star(_of(6, "connections = 3"), (DOUBLE, _N), (SINGLE, _N_PLUS), (PLAIN, "not (z = 7 and not aromatic)")),
+        _star(_of(6, "connections = 3"), (DOUBLE, _N_PLUS), (PLAIN, _N), (SINGLE, _N)),
+        _star(_of(6, "connections = 3 and charge = 1"), (DOUBLE, _N), (PLAIN, _N), (SINGLE, _N)),
+        _star(_of(6, "connections = 3"), (DOUBLE, _N), (PLAIN, _N_PLUS), (SINGLE, _N)),
+        Pattern(["charge > 0"], outside=[(0, _chain("true", "charge < 0"))]),
+    ],
+    "Anion": [
+        Pattern(["z = 6 and aromatic", *["z = 7 and aromatic"] * 2, "z = 7 and aromatic and hydrogens = 1", "z = 7 and aromatic"], [(k, (k + 1) % 5, PLAIN) for k in range(5)]),
+        _star("z in (15, 16) and not aromatic and connections = 4", (DOUBLE, _O), (DOUBLE, _O), (PLAIN, _of(8, "charge = -1"))),
+        _star("z in (6, 15, 16) and not aromatic and connections = 3", (DOUBLE, _O), (PLAIN, _of(8, "charge = -1"))),
+        Pattern(["charge < 0"], outside=[(0, _chain("true", "charge > 0"))]),
+    ],
     "Hydrophobe": [
-        Pattern([_GREASY], outside=[(0, _BESIDE_HETERO), (0, Pattern(["true", "true", _GREASY], [(0, 1, "true"), (1, 2, "true")]))]),
-        Pattern(["z in (35, 53)"]),
+        Pattern([_END], outside=[(0, _chain("true", "true", _END)), (0, _HETERO)]),
+        _star("true", *[(PLAIN, _END)] * 2, inside=[(0, _TWO_ENDS)], outside=[(0, _THREE_ENDS)]),
+        _THREE_ENDS,
+        _chain(_INNER, _END, bond=ANY, outside=[(0, _HETERO), (1, _HETERO)]),
+        _chain(_INNER, _INNER, _INNER, bond=ANY, inside=[(0, _BESIDE_OTHERS)]),
+        _chain(_INNER, _INNER, _INNER, _INNER, bond=ANY, inside=[(0, _chain(_INNER, _INNER, _INNER, bond=ANY, inside=[(2, _BESIDE_OTHERS)]))]),
+        Pattern([_S], inside=[(0, _chain(_S, "z = 6", bond=ANY))], outside=[(0, _chain(_S, "z <> 6", bond=ANY))]),
+        Pattern(["z in (35, 53)"], inside=[(0, Pattern(["true", "z = 6"], [(0, 1, SINGLE)]))]),
     ],
 }
 
@@ -205,7 +259,8 @@ FAMILIES: dict[str, list[Pattern]] = {
 def pharmacophores(atoms: DataFrame, bonds: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """Features of FAMILIES: (graph, family, atoms), with x, y, z where points are given.
 
-    atoms: topology.described() with z, charge, n_h and aromatic; bonds: type (1, 2, 3) and aromatic.
+    atoms: topology.described() of atoms with z, charge, n_h and aromatic; bonds: type (1, 2, 3, as in a Kekulé structure)
+    and aromatic.
     """
     found = find_features(settled(atoms), settled(bonds), FAMILIES)
     return found if points is None else placed(found, points)

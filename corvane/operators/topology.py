@@ -146,11 +146,19 @@ def marked_rings(found: DataFrame, bonds: DataFrame, flag: Column) -> DataFrame:
 
 
 def described(atoms: DataFrame, bonds: DataFrame, found: DataFrame) -> DataFrame:
-    """atoms with degree (bonded atoms), ring_sizes (sorted sizes of its rings) and in_ring, as atom predicates of patterns use them."""
-    degree = symmetric(bonds).where("i <> j").groupBy("graph", F.col("i").alias("atom")).agg(F.count(F.lit(1)).alias("degree"))
+    """atoms (graph, atom, z, n_h, ...) with what conditions of patterns ask for.
+
+    hydrogens: all of an atom's, whether they are atoms (z = 1) or counted by n_h; connections: bonded atoms and n_h;
+    valence: orders of its bonds and n_h; ring_sizes: the sorted sizes of its rings, as rings() finds them; in_ring.
+    """
+    ends = symmetric(bonds).where("i <> j")
+    hydrogen = atoms.where("z = 1").select("graph", F.col("atom").alias("j"), F.lit(1).alias("_h"))
+    sums = ends.join(hydrogen, ["graph", "j"], "left").groupBy("graph", F.col("i").alias("atom"))
+    sums = sums.agg(F.count(F.lit(1)).alias("_n"), F.sum("type").alias("_orders"), F.count("_h").alias("_hs"))
     sizes = found.select("graph", "size", F.explode("ring").alias("atom")).groupBy("graph", "atom").agg(F.array_sort(F.collect_list("size")).alias("ring_sizes"))
-    out = atoms.join(degree, ["graph", "atom"], "left").join(sizes, ["graph", "atom"], "left").fillna(0, ["degree"])
-    out = out.withColumn("ring_sizes", F.coalesce("ring_sizes", F.array().cast("array<int>")))
+    out = atoms.join(sums, ["graph", "atom"], "left").join(sizes, ["graph", "atom"], "left").fillna(0, ["_n", "_orders", "_hs"])
+    out = out.withColumns({c: (F.col(v) + F.col("n_h")).cast("int") for c, v in (("hydrogens", "_hs"), ("connections", "_n"), ("valence", "_orders"))})
+    out = out.withColumn("ring_sizes", F.coalesce("ring_sizes", F.array().cast("array<int>"))).drop("_n", "_orders", "_hs")
     return out.withColumn("in_ring", F.size("ring_sizes") > 0)
 
 

@@ -91,41 +91,67 @@ def q103_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.matches(atoms, bonds, Pattern(["z = 7", "true", "z = 6", "true", "true", "true"], [*ring, (2, 5, "type = 1")], inside=[(3, beside_oxygen)]))
 
 
+#: DuckDB: ends of chains and atoms inside chains, of x or e.
+_TERMINAL = "z = 6 AND NOT aromatic AND (n_h = 3 AND conn = 4 OR n_h = 2 AND conn = 3 OR n_h = 1 AND conn = 2)"
+_MIDDLE = "z = 6 AND NOT aromatic AND (n_h = 2 AND conn = 4 OR n_h = 1 AND conn = 3 OR n_h = 0 AND conn = 2)"
+
+
 @query(f"""
 WITH RECURSIVE {MOLS}, {SMALLEST},
 x AS (
-  SELECT a.*, coalesce(d.n, 0) AS degree, s.size FROM atoms a LEFT JOIN (SELECT graph, i, count(*) AS n FROM ends GROUP BY 1, 2) d ON d.graph = a.graph AND d.i = a.atom
+  SELECT a.*, coalesce(d.n, 0) + n_h AS conn, coalesce(d.v, 0) + n_h AS valence, s.size FROM atoms a LEFT JOIN (SELECT graph, i, count(*) AS n, sum(type) AS v FROM ends GROUP BY 1, 2) d ON d.graph = a.graph AND d.i = a.atom
   LEFT JOIN (SELECT graph, atom, min(size) AS size FROM (SELECT graph, unnest([i, j]) AS atom, size FROM smallest) GROUP BY 1, 2) s ON s.graph = a.graph AND s.atom = a.atom
-), e AS (
-  SELECT b.graph, b.i, b.j, b.type, x.z, x.charge, x.aromatic, x.degree, x.n_h,
-    x.z = 6 AND NOT x.aromatic AND (x.n_h = 3 AND x.degree = 4 OR x.n_h = 2 AND x.degree = 3 OR x.n_h = 1 AND x.degree = 2) AS greasy FROM ends b JOIN x ON x.graph = b.graph AND x.atom = b.j
+), y AS (SELECT *, z = 7 AND NOT aromatic AS n, z = 8 AND NOT aromatic AS o, {_TERMINAL} AS t, {_MIDDLE} AS m FROM x),
+e AS (
+  SELECT b.graph, b.i, b.j, b.type = 1 AND NOT b.aromatic AS sg, b.type = 2 AND NOT b.aromatic AS db, b.type = 1 OR b.aromatic AS pl, y.* EXCLUDE (graph, atom) FROM ends b JOIN y ON y.graph = b.graph AND y.atom = b.j
 ), two AS (
-  SELECT a.graph, a.i, a.j, a.type, a.z, b.j AS k, b.type AS type2, b.z AS z2, b.greasy AS greasy2 FROM e a JOIN e b ON b.graph = a.graph AND b.i = a.j AND b.j <> a.i
+  SELECT a.graph, a.i, a.j, b.j AS k, a.sg, a.db, a.pl, a.z, a.n, a.o, a.m, a.aromatic, b.sg AS sg2, b.db AS db2, b.pl AS pl2, b.z AS z2, b.n AS n2, b.o AS o2, b.t AS t2, b.m AS m2, b.charge AS charge2
+  FROM e a JOIN e b ON b.graph = a.graph AND b.i = a.j AND b.j <> a.i
 ), f AS (
-  SELECT x.*, x.z = 6 AND NOT aromatic AND (n_h = 3 AND degree = 4 OR n_h = 2 AND degree = 3 OR n_h = 1 AND degree = 2) AS greasy,
-    EXISTS (FROM two t WHERE t.graph = x.graph AND t.i = x.atom AND t.type = 1 AND t.z IN (6, 15, 16) AND t.type2 = 2 AND t.z2 = 8) AND z = 8 AND n_h > 0 AS acid,
-    EXISTS (FROM two t JOIN e o ON o.graph = t.graph AND o.i = t.i AND o.j NOT IN (t.j, t.k) AND o.type = 1 AND o.z = 6 WHERE t.graph = x.graph AND t.i = x.atom AND t.type = 1 AND t.z = 6 AND t.type2 = 2 AND t.z2 = 8)
-      AND z = 8 AND degree = 2 AS ester,
-    EXISTS (FROM two t WHERE t.graph = x.graph AND t.i = x.atom AND t.z = 7 AND t.type2 = 2 AND t.z2 = 8) AS nitro,
-    EXISTS (FROM two t WHERE t.graph = x.graph AND t.i = x.atom AND t.type = 1 AND t.type2 = 2 AND t.z2 <> 6) AS amide,
-    EXISTS (FROM e t WHERE t.graph = x.graph AND t.i = x.atom AND t.type = 1 AND t.aromatic) AND degree = 3 AS aniline,
-    EXISTS (FROM e t WHERE t.graph = x.graph AND t.i = x.atom AND t.charge < 0) AS by_minus, EXISTS (FROM e t WHERE t.graph = x.graph AND t.i = x.atom AND t.charge > 0) AS by_plus,
-    EXISTS (FROM e t WHERE t.graph = x.graph AND t.i = x.atom AND t.z IN (7, 8, 9)) AS by_hetero, EXISTS (FROM two t WHERE t.graph = x.graph AND t.i = x.atom AND t.greasy2) AS by_greasy FROM x
+  SELECT y.*,
+    o AND n_h = 1 AND EXISTS (FROM two w WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.z IN (6, 15, 16) AND NOT w.aromatic AND w.db2 AND w.o2) AS acid,
+    n AND conn = 3 AND EXISTS (FROM two w WHERE w.graph = y.graph AND w.i = y.atom AND w.sg AND w.db2 AND w.z2 <> 6) AS amide,
+    n AND conn = 3 AND EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.sg AND w.aromatic) AS aniline,
+    n AND EXISTS (FROM two w JOIN two v ON v.graph = w.graph AND v.i = w.i AND v.j = w.j AND v.k <> w.k WHERE w.graph = y.graph AND w.i = y.atom AND w.db AND w.z = 6 AND NOT w.aromatic AND w.pl2 AND (w.n2 OR w.z2 = 6 AND w.k >= {AROMATIC}) AND v.pl2 AND v.n2) AS amidine,
+    o AND conn = 2 AND EXISTS (FROM two w JOIN e v ON v.graph = w.graph AND v.i = w.i AND v.j NOT IN (w.j, w.k) WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.z = 6 AND NOT w.aromatic AND w.db2 AND w.o2 AND v.pl AND v.z = 6 AND NOT v.aromatic) AS ester,
+    (SELECT count(*) FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.aromatic) >= 2 AS between_rings,
+    EXISTS (FROM two w WHERE w.graph = y.graph AND w.i = y.atom AND w.db AND w.n AND w.sg2) AS nitroso, EXISTS (FROM two w WHERE w.graph = y.graph AND w.i = y.atom AND w.sg AND w.n AND w.db2 AND w.o2) AS nitro,
+    EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.charge < 0) AS by_minus, EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.charge > 0) AS by_plus,
+    z = 6 AND EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.z IN (7, 8, 9)) AS hetero, EXISTS (FROM two w WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.pl2 AND w.t2) AS near_end,
+    (SELECT count(*) FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.pl AND w.t) AS n_ends, m AND EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND NOT w.m) AS beside_others,
+    EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.z = 6) AS by_carbon, EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.z <> 6) AS by_other, EXISTS (FROM e w WHERE w.graph = y.graph AND w.i = y.atom AND w.sg AND w.z = 6) AS on_carbon FROM y
 ), path AS (
   SELECT graph, [atom] AS p, size FROM x WHERE aromatic AND size BETWEEN 4 AND 8
   UNION ALL SELECT p.graph, list_append(p.p, b.j), p.size FROM path p JOIN ends b ON b.graph = p.graph AND b.i = p.p[-1] AND b.aromatic JOIN x ON x.graph = b.graph AND x.atom = b.j AND x.size = p.size
   WHERE len(p.p) < p.size AND NOT list_contains(p.p, b.j)
-), ring AS (
-  SELECT DISTINCT p.graph, list_sort(p.p) AS s FROM path p JOIN ends b ON b.graph = p.graph AND b.i = p.p[-1] AND b.j = p.p[1] AND b.aromatic WHERE len(p.p) = p.size
+), arms AS (
+  SELECT a.graph, a.i, a.j AS p, b.j AS q, c.j AS r, a.db AS adb, a.n AS an, a.charge AS ac, b.sg AS bsg, b.pl AS bpl, b.n AS bn, b.charge AS bc, c.sg AS csg, c.pl AS cpl, c.n AS cn, a.o AS ao, b.db AS bdb, b.o AS bo, c.o AS co, c.charge AS cc,
+    a.pl AS apl, a.t AS end1, b.t AS end2, c.t AS end3 FROM e a JOIN e b ON b.graph = a.graph AND b.i = a.i AND b.j <> a.j JOIN e c ON c.graph = a.graph AND c.i = a.i AND c.j NOT IN (a.j, b.j)
+), chain AS (
+  SELECT f.graph, f.atom AS a, w.j AS b, w.k AS c, f.beside_others FROM f JOIN two w ON w.graph = f.graph AND w.i = f.atom AND f.m AND w.m AND w.m2
 ), found AS (
-  SELECT graph, 'Donor' AS family FROM f WHERE z = 7 AND n_h > 0 OR z = 8 AND n_h > 0 AND NOT acid OR z = 16 AND n_h > 0
-  UNION ALL SELECT graph, 'Acceptor' FROM f WHERE z = 8 AND n_h = 1 AND charge = 0 OR z = 8 AND NOT aromatic AND NOT ester AND NOT nitro OR z = 8 AND aromatic AND charge = 0
-    OR z = 7 AND degree < 4 AND NOT (aromatic AND degree = 3) AND NOT amide AND NOT aniline
-  UNION ALL SELECT graph, 'Cation' FROM f WHERE charge > 0 AND NOT by_minus UNION ALL SELECT graph, 'Anion' FROM f WHERE charge < 0 AND NOT by_plus
-  UNION ALL SELECT graph, 'Hydrophobe' FROM f WHERE greasy AND NOT by_hetero AND NOT by_greasy OR z IN (35, 53)
-  UNION ALL SELECT graph, 'Aromatic' FROM ring
-)
-SELECT graph, family, count(*) AS n FROM found GROUP BY 1, 2
+  SELECT graph, 'Donor' AS family, [atom] AS s FROM f WHERE z IN (7, 16) AND n_h > 0 OR z = 8 AND n_h > 0 AND NOT acid OR z IN (8, 16) AND NOT aromatic AND n_h = 1 AND charge = 0
+  UNION ALL SELECT graph, 'Acceptor', [atom] FROM f WHERE o AND n_h = 1 AND valence = 2 OR o AND n_h = 0 AND valence = 2 AND NOT nitroso OR o AND charge = -1 AND NOT nitro OR z = 8 AND aromatic AND charge = 0
+    OR o AND NOT ester AND NOT between_rings OR z = 7 AND NOT (aromatic AND conn = 3) AND NOT (n AND conn = 4) AND NOT amide AND NOT aniline AND NOT amidine
+  UNION ALL SELECT graph, 'Cation', [atom] FROM f WHERE charge > 0 AND NOT by_minus
+  UNION ALL SELECT f.graph, 'Cation', [f.atom] FROM f WHERE n AND conn = 3 AND charge = 1 AND NOT amide AND (SELECT count(*) FROM e WHERE e.graph = f.graph AND e.i = f.atom AND e.pl AND e.z = 6 AND NOT e.aromatic AND e.conn = 4) >= 3
+  UNION ALL SELECT f.graph, 'Cation', [f.atom, p, q, r] FROM f JOIN arms a ON a.graph = f.graph AND a.i = f.atom AND z = 6 AND NOT aromatic AND conn = 3 AND adb AND an AND (
+    ac = 1 AND bsg AND bn AND cpl AND NOT cn OR bsg AND bn AND bc = 1 AND cpl AND NOT cn OR ac = 1 AND bpl AND bn AND csg AND cn OR f.charge = 1 AND bpl AND bn AND csg AND cn OR bpl AND bn AND bc = 1 AND csg AND cn)
+  UNION ALL SELECT graph, 'Anion', [atom] FROM f WHERE charge < 0 AND NOT by_plus
+  UNION ALL SELECT f.graph, 'Anion', [f.atom, p, q, r] FROM f JOIN arms a ON a.graph = f.graph AND a.i = f.atom AND z IN (15, 16) AND NOT aromatic AND conn = 4 AND adb AND ao AND bdb AND bo AND cpl AND co AND cc = -1
+  UNION ALL SELECT f.graph, 'Anion', [f.atom, a.j, b.j] FROM f JOIN e a ON a.graph = f.graph AND a.i = f.atom AND a.db AND a.o JOIN e b ON b.graph = f.graph AND b.i = f.atom AND b.j <> a.j AND b.pl AND b.o AND b.charge = -1 WHERE f.z IN (6, 15, 16) AND NOT f.aromatic AND f.conn = 3
+  UNION ALL SELECT w.graph, 'Anion', [w.i, w.j, w.k, v.j, v.k] FROM two w JOIN two v ON v.graph = w.graph AND v.i = w.k AND v.j NOT IN (w.i, w.j) AND v.k NOT IN (w.i, w.j, w.k) JOIN e u ON u.graph = w.graph AND u.i = v.k AND u.j = w.i AND u.pl
+    JOIN y c ON c.graph = w.graph AND c.atom = w.i AND c.z = 6 AND c.aromatic JOIN y h ON h.graph = v.graph AND h.atom = v.j AND h.n_h = 1 AND h.z = 7 AND h.aromatic JOIN y l ON l.graph = v.graph AND l.atom = v.k AND l.z = 7 AND l.aromatic JOIN y k ON k.graph = w.graph AND k.atom = w.k AND k.z = 7 AND k.aromatic
+    WHERE w.pl AND w.pl2 AND w.z = 7 AND w.aromatic AND v.pl AND v.pl2
+  UNION ALL SELECT graph, 'Hydrophobe', [atom] FROM f WHERE t AND NOT hetero AND NOT near_end OR z = 16 AND NOT aromatic AND by_carbon AND NOT by_other OR z IN (35, 53) AND on_carbon
+  UNION ALL SELECT f.graph, 'Hydrophobe', [f.atom, a.j, b.j] FROM f JOIN e a ON a.graph = f.graph AND a.i = f.atom AND a.pl AND a.t JOIN e b ON b.graph = f.graph AND b.i = f.atom AND b.j > a.j AND b.pl AND b.t WHERE n_ends = 2
+  UNION ALL SELECT graph, 'Hydrophobe', [i, p, q, r] FROM arms WHERE apl AND bpl AND cpl AND end1 AND end2 AND end3
+  UNION ALL SELECT f.graph, 'Hydrophobe', [f.atom, g.atom] FROM f JOIN ends b ON b.graph = f.graph AND b.i = f.atom JOIN f g ON g.graph = b.graph AND g.atom = b.j WHERE f.m AND NOT f.hetero AND g.t AND NOT g.hetero
+  UNION ALL SELECT graph, 'Hydrophobe', [a, b, c] FROM chain WHERE beside_others
+  UNION ALL SELECT c.graph, 'Hydrophobe', [c.a, c.b, c.c, d.c] FROM chain c JOIN chain d ON d.graph = c.graph AND d.a = c.b AND d.b = c.c AND d.c <> c.a WHERE EXISTS (FROM chain g JOIN f ON f.graph = g.graph AND f.atom = g.c AND f.beside_others WHERE g.graph = c.graph AND g.a = c.a)
+  UNION ALL SELECT p.graph, 'Aromatic', p.p FROM path p JOIN ends b ON b.graph = p.graph AND b.i = p.p[-1] AND b.j = p.p[1] AND b.aromatic WHERE len(p.p) = p.size
+), s AS (SELECT DISTINCT graph, family, list_sort(s) AS s FROM found)
+SELECT graph, family, count(*) AS n FROM s GROUP BY 1, 2
 """)
 def q104_pharmacophores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many features of each family a molecule has, aromatic rings included."""

@@ -203,3 +203,27 @@ def dodecahedron():
     spokes = [(k, 5 + k) for k in range(5)] + [(10 + k, 15 + k) for k in range(5)]
     belt = [(5 + k, 10 + k) for k in range(5)] + [(10 + k, 5 + (k + 1) % 5) for k in range(5)]
     return {tuple(sorted(e)): 1 for e in ring + spokes + belt}
+
+
+def test_feature_families_of_known_molecules(spark):
+    """Phenol, acetate, guanidinium and pyridine: (z, charge, n_h, aromatic) of atoms, (i, j, type, aromatic) of bonds."""
+    ring = [(k, (k + 1) % 6, 1 + k % 2, True) for k in range(6)]
+    known = {
+        0: ([(6, 0, 0, True)] + [(6, 0, 1, True)] * 5 + [(8, 0, 1, False)], [*ring, (0, 6, 1, False)]),
+        1: ([(6, 0, 3, False), (6, 0, 0, False), (8, 0, 0, False), (8, -1, 0, False)], [(0, 1, 1, False), (1, 2, 2, False), (1, 3, 1, False)]),
+        2: ([(6, 0, 0, False), (7, 1, 2, False), (7, 0, 2, False), (7, 0, 2, False)], [(0, 1, 2, False), (0, 2, 1, False), (0, 3, 1, False)]),
+        3: ([(7, 0, 0, True)] + [(6, 0, 1, True)] * 5, ring),
+    }
+    atoms = spark.createDataFrame([(g, k, *a) for g, (those, _) in known.items() for k, a in enumerate(those)], "graph int, atom int, z int, charge int, n_h int, aromatic boolean")
+    bonds = spark.createDataFrame([(g, *b) for g, (_, those) in known.items() for b in those], "graph int, i int, j int, type int, aromatic boolean")
+    points = atoms.select("graph", "atom", *(F.col("atom").cast("double").alias(a) for a in "xyz"))
+    found = patterns.pharmacophores(topology.described(atoms, bonds, topology.rings(bonds)), bonds, points).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r.graph, r.family), set()).add(tuple(r.atoms))
+        assert r.x == pytest.approx(sum(r.atoms) / len(r.atoms))
+    six = {tuple(range(6))}
+    assert got == {
+        (0, "Aromatic"): six, (0, "Donor"): {(6,)}, (0, "Acceptor"): {(6,)}, (1, "Acceptor"): {(2,), (3,)}, (1, "Anion"): {(3,), (1, 2, 3)}, (1, "Hydrophobe"): {(0,)},
+        (2, "Donor"): {(1,), (2,), (3,)}, (2, "Cation"): {(1,), (0, 1, 2, 3)}, (3, "Aromatic"): six, (3, "Acceptor"): {(0,)},
+    }
