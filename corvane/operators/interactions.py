@@ -143,7 +143,7 @@ def pi_stacking(protein: DataFrame, ligand: DataFrame, on: list[str]) -> DataFra
     Both sides: on, ring, centre, normal, as ring_planes() gives them. Face to face: centres within 5.5, planes at up to 35
     degrees, and one normal within 33 degrees of the line between centres. Edge to face: within 6.5, planes at 50 degrees
     or more, a normal within 30 degrees of the line, and the other ring's plane passes that ring's centre within 1.5. A
-    geometric form of ProLIF's rules; without a plane a ring has no contact.
+    geometric form of the usual rules; without a plane a ring has no contact.
     """
     side = lambda rows, a: rows.where("normal is not null").select(*on, F.col("ring").alias(a), F.col("centre").alias(f"{a}_centre"), F.col("normal").alias(f"{a}_normal"))
     met = _near(side(protein, "p"), side(ligand, "l"), "p_centre", "l_centre", on, 6.5)

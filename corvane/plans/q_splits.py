@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions.flow import hash_uniform
 from corvane.operators import ensemble, split
-from corvane.plans.registry import query
+from corvane.plans.registry import query, scratch
 from corvane.session import table
+from corvane.sources import text_formats
 
 SEED, N_TEST, N_VAL = 12345, 20, 50
 
@@ -48,6 +49,16 @@ def q02_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.manifest(_splits(spark, sf_dir), "p_partkey")
 
 
+@query(f"WITH {CANDIDATES} SELECT split, count(*) AS n, count(*) AS told, sum(p_partkey)::BIGINT AS total, '{SEED}' AS seed FROM splits GROUP BY 1")
+def q122_manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split's manifest written in parts and read again: its rows by split beside the counts and the seed that it states."""
+    path = scratch(spark, "manifest")
+    text_formats.write_manifest(_splits(spark, sf_dir), "p_partkey", {"seed": SEED}, path)
+    summary, rows = text_formats.read_manifest(spark, path)
+    told = summary.select(F.col("config.seed").alias("seed"), F.explode("counts").alias("split", "told"))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("index").alias("total")).join(told, "split").select("split", "n", "told", "total", "seed")
+
+
 @query("""
 WITH c AS (
   SELECT *, CASE WHEN l_tax = 0.08 THEN NULL ELSE l_discount END AS w, l_quantity < 45 AS valid FROM lineitem

@@ -222,6 +222,30 @@ def split_manifest(rows: DataFrame, key: str, config: dict) -> DataFrame:
     return counts.crossJoin(listed).select(F.to_json(F.struct(settings.alias("config"), "counts", "molecules")).alias("manifest"))
 
 
+def write_manifest(rows: DataFrame, key: str, config: dict, path: str) -> None:
+    """The manifest in parts: path/summary, one JSON text with config and counts by split, and path/molecules, a JSON line a row.
+
+    Rows stay in their partitions, so a manifest of any length is written by as many tasks. An existing path is an error.
+    """
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("counts"))
+    settings = F.create_map(*(F.lit(str(x)) for kv in config.items() for x in kv)) if config else F.expr("map()").cast("map<string,string>")
+    rows.select(F.col(key).alias("index"), "split").write.mode("errorifexists").json(f"{path}/molecules")
+    summary = counts.select(F.to_json(F.struct(settings.alias("config"), "counts")).alias("value"))
+    summary.coalesce(1).write.mode("errorifexists").text(f"{path}/summary")
+
+
+def read_manifest(spark: SparkSession, path: str, key: str = "bigint") -> tuple[DataFrame, DataFrame]:
+    """(config, counts) and the rows (index, split) of a written manifest; key is the type of its index. Counts that the rows don't bear out are an error."""
+    rows = spark.read.schema(f"index {key}, split string").json(f"{path}/molecules")
+    kind = "config map<string,string>, counts map<string,bigint>"
+    summary = spark.read.text(f"{path}/summary").select(F.from_json("value", kind).alias("m")).select("m.*")
+    found = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("split", "n"))).alias("_found"))
+    told = F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.struct(e["key"].alias("split"), e["value"].alias("n"))))
+    both = summary.crossJoin(F.broadcast(found))  # one row each
+    whole = F.when(told == F.col("_found"), F.col("counts")).otherwise(F.raise_error(F.lit("the manifest's rows differ from its counts")))
+    return both.select("config", whole.alias("counts")), rows
+
+
 def to_interchange(rows: DataFrame) -> DataFrame:
     """(json): each row as JSON text, the interchange form of a molecule, protein or complex."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

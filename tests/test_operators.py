@@ -322,6 +322,20 @@ def test_manifest(spark):
     assert got == {"config": {"seed": "1"}, "counts": {"test": 1, "train": 1}, "molecules": [{"index": 1, "split": "train"}, {"index": 2, "split": "test"}]}
 
 
+def test_manifest_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "test" if k < 2 else "train") for k in range(9)], "k long, split string").repartition(3)
+    path = f"file://{tmp_path}/m"
+    text_formats.write_manifest(rows, "k", {"seed": 7}, path)
+    summary, back = text_formats.read_manifest(spark, path)
+    assert summary.first().asDict() == {"config": {"seed": "7"}, "counts": {"test": 2, "train": 7}}
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        text_formats.write_manifest(rows, "k", {}, path)
+    back.limit(1).write.mode("append").json(f"{path}/molecules")
+    with pytest.raises(Exception, match="differ from its counts"):
+        text_formats.read_manifest(spark, path)[0].collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from compare import SF
 
