@@ -129,8 +129,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as the mix takes them: a document taken k times is k rows, one that isn't taken none.
 
     Whole documents only. Decisions meet the texts in the scan: only the documents of each source's last place are
-    shuffled with their texts. Null and empty texts, and those of white space, have no words and so no row; a null source
-    is a source like any other; a null doc_id stays; repeated rows are taken one by one; columns beyond those of
+    shuffled with their texts. Null and empty texts, and those of white space, have no words: they come once with each
+    complete epoch of their source and not in its fraction. A null source is a source like any other; a null doc_id stays; repeated rows are taken one by one; columns beyond those of
     documents are carried along under any name; an empty table gives an empty result.
     """
     rows = written(keyed(docs.select("doc_id", "source", "text")).select("source", "_size", "_at"), "keyed")
