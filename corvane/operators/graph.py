@@ -25,6 +25,20 @@ def checked(edges: DataFrame) -> DataFrame:
     return one.withColumn("type", F.when(F.col("_n") > 1, problem).otherwise(F.col("type"))).drop("_n")
 
 
+def alike(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(atoms, bonds, members): of graphs that are the same, numbers and all columns included, only one is left; members is (graph, rep).
+
+    What follows from a graph's rows alone can be worked out for rep and joined back to its members.
+    """
+    rows = lambda frame, name: frame.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct(*(c for c in frame.columns if c != "graph")))).alias(name))
+    digest = F.sha2(F.to_json(F.struct("_atoms", "_bonds")), 256)
+    each = settled(rows(atoms, "_atoms").join(rows(bonds, "_bonds").hint("merge"), "graph", "full").select("graph", digest.alias("_same")))
+    reps = settled(each.groupBy("_same").agg(F.min("graph").alias("rep")))
+    some = reps.select(F.col("rep").alias("graph"))
+    members = settled(each.join(reps, "_same").select("graph", "rep"))
+    return settled(atoms.join(some, "graph", "left_semi")), settled(bonds.join(some, "graph", "left_semi")), members
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of each edge; a loop once."""
     back = edges.where("i <> j").select("graph", F.col("j").alias("i"), F.col("i").alias("j"), "type")

@@ -102,3 +102,21 @@ def test_small_rings_have_no_stereo(spark):
     points = spark.createDataFrame([(0, k, (float(k % 3), float(k // 3), 0.0)) for k in range(6)] + [(1, k, (float(k), float(k % 2), 0.0)) for k in range(4)], POINT)
     found = stereo.double_bond_stereo(atoms, bonds, points, rings=topology.rings(bonds))
     assert [r.graph for r in found.collect()] == [1]
+
+
+def test_ranks_are_never_broadcast(spark):
+    atoms = spark.range(8).selectExpr("id div 4 as graph", "int(id % 4) as atom", "6 as z", "0 as n_h")
+    bonds = spark.range(6).selectExpr("id div 3 as graph", "int(id % 3) as i", "int(id % 3) + 1 as j", "if(id % 3 = 1, 2, 1) as type", "false as aromatic")
+    points = spark.range(8).selectExpr("id div 4 as graph", "int(id % 4) as atom", "named_struct('x', double(id % 4), 'y', double(id % 2), 'z', 0d) as point")
+    plan = stereo.double_bond_stereo(atoms, bonds, points)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_graphs_that_are_the_same_are_worked_out_once(spark):
+    from corvane.operators.graph import alike
+
+    atoms = spark.createDataFrame([(g, a, 6 if g < 3 else 7) for g in (1, 2, 3, 4) for a in (0, 1)], "graph long, atom int, z int")
+    bonds = spark.createDataFrame([(g, 0, 1, 1 if g < 4 else 2) for g in (1, 2, 3, 4)], "graph long, i int, j int, type int")
+    some, links, members = alike(atoms, bonds)
+    assert {(r.graph, r.rep) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert {r.graph for r in some.collect()} == {r.graph for r in links.collect()} == {1, 3, 4}
