@@ -203,7 +203,7 @@ SELECT a, b, common, round(common::DOUBLE / (x.n + y.n - common), 6) AS score FR
 def q106_circular_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Molecules alike by their circular fingerprints, Tanimoto 0.12 or more. Molecules of equal prints would be one row."""
     reps, named = joins.array_sets(settled(_prints(spark, sf_dir).withColumnRenamed("bits", "tokens")), "graph")
-    found = joins.jaccard_pairs(settled(reps), 0.12)
+    found = joins.common_bits(settled(reps), 0.12, 2048)
     return found.select("a", "b", "common", r(F.col("score")).alias("score"))
 
 
