@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.graph import symmetric
+from corvane.operators.graph import alike, symmetric
 from corvane.session import settled, shipped
 
 
@@ -130,7 +130,11 @@ def canonical_ranks(atoms: DataFrame, bonds: DataFrame, invariants: list[Column]
 
 
 def canonical_keys(atoms: DataFrame, bonds: DataFrame, invariants: list[Column]) -> DataFrame:
-    """(graph, key): SHA-256 of the graph written by canonical ranks; equal exactly for graphs that differ by numbering alone."""
+    """(graph, key): SHA-256 of the graph written by canonical ranks; equal exactly for graphs that differ by numbering alone.
+
+    Graphs that are the same, numbers included, are worked out once.
+    """
+    atoms, bonds, members = alike(atoms, bonds)
     ranks = settled(canonical_ranks(atoms, bonds, invariants))
     labels = atoms.select("graph", "atom", F.array(*(v.cast("string") for v in invariants)).alias("_v")).join(ranks, ["graph", "atom"])
     labels = labels.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("rank", "_v"))).alias("_atoms"))
@@ -139,4 +143,5 @@ def canonical_keys(atoms: DataFrame, bonds: DataFrame, invariants: list[Column])
     links = links.select("graph", F.struct(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "type").alias("_l"))
     links = links.groupBy("graph").agg(F.array_sort(F.collect_set("_l")).alias("_bonds"))
     text = F.to_json(F.struct("_atoms", "_bonds"))
-    return labels.join(links, "graph", "left").select("graph", F.sha2(text, 256).alias("key"))
+    keys = labels.join(links, "graph", "left").select(F.col("graph").alias("rep"), F.sha2(text, 256).alias("key"))
+    return members.join(keys, "rep").select("graph", "key")
