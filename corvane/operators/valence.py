@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.graph import components, symmetric
+from corvane.operators.graph import alike, components, symmetric
 from corvane.session import settled, shipped
 
 # The valences that an element takes, by its atomic number. A charged atom has those of the element with
@@ -161,8 +161,11 @@ def valence_faults(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def checked_molecules(atoms: DataFrame, bonds: DataFrame, connected: bool = True) -> DataFrame:
-    """(graph, valid, fault) of every graph of atoms: the first fault of valences, Kekulé structures and, if asked, connection."""
-    bonds = settled(bonds)
+    """(graph, valid, fault) of every graph of atoms: the first fault of valences, Kekulé structures and, if asked, connection.
+
+    Graphs that are the same, numbers included, are worked out once.
+    """
+    atoms, bonds, members = alike(atoms, bonds)
     structure, broken = kekulized(atoms, bonds)
     structure = settled(structure)
     wrong = valence_faults(atoms, structure).groupBy("graph").agg(F.min_by("fault", "atom").alias("_valence"))
@@ -176,4 +179,5 @@ def checked_molecules(atoms: DataFrame, bonds: DataFrame, connected: bool = True
         pieces = F.col("_parts") + F.col("_n") - F.col("_tied")
         faults.append(F.when(pieces > 1, F.format_string("%d parts", pieces)))
     fault = F.coalesce(*faults)
-    return out.select("graph", fault.isNull().alias("valid"), fault.alias("fault"))
+    found = out.select(F.col("graph").alias("rep"), fault.isNull().alias("valid"), fault.alias("fault"))
+    return members.join(found, "rep").select("graph", "valid", "fault")
