@@ -61,10 +61,6 @@ def pos_neg(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_low: float
 
 def pos_pos_diagnostics(scores: DataFrame, sizes: DataFrame, tau_high: float, tau_chem: float, tol: int) -> DataFrame:
     """(i, size_matched, with_witness, past_guard, best, reason) for every i; reason is null where a partner was found."""
-    # Items in a size's band are the sum of 2 tol + 1 counts by size: no pair is made for them.
-    counts = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    near = counts.select(F.explode(F.sequence(F.col("size") - tol, F.col("size") + tol)).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("n"))
-    matched = sizes.join(near, "size").select("i", (F.col("n") - 1).alias("size_matched"))
     a = _side(scores.select("i", "k", F.struct("compact", "ecfp").alias("v")), sizes, "a", "v", "i").where("a.compact is not null")
     b = _side(scores.select("i", "k", F.struct("extended", "ecfp").alias("v")), sizes, "b", "v", "j").where("b.extended is not null")
     met = _met(a, b, tol)
@@ -72,6 +68,15 @@ def pos_pos_diagnostics(scores: DataFrame, sizes: DataFrame, tau_high: float, ta
     # One row a pair first: maxima combine before the shuffle, where distinct counts would not.
     each = met.groupBy("i", "j").agg(F.max(F.when(good, F.least("a.compact", "b.extended"))).alias("s"))
     seen = each.groupBy("i").agg(F.count(F.lit(1)).alias("with_witness"), F.count("s").alias("past_guard"), F.max("s").alias("best"))
+    return diagnosed(sizes, seen, tau_high, tol)
+
+
+def diagnosed(sizes: DataFrame, seen: DataFrame, tau_high: float, tol: int) -> DataFrame:
+    """pos_pos_diagnostics() of seen: (i, with_witness, past_guard, best), absent where an item met no other."""
+    # Items in a size's band are the sum of 2 tol + 1 counts by size: no pair is made for them.
+    counts = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    near = counts.select(F.explode(F.sequence(F.col("size") - tol, F.col("size") + tol)).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("n"))
+    matched = sizes.join(near, "size").select("i", (F.col("n") - 1).alias("size_matched"))
     out = sizes.select("i").join(matched, "i", "left").join(seen, "i", "left").fillna(0, ["size_matched", "with_witness", "past_guard"])
     reason = (
         F.when(F.col("size_matched") == 0, "no_size_match")
