@@ -78,6 +78,16 @@ def test_alignment_never_scores_below_its_starts_and_tells_mirror_images():
         assert shapes.align(one, mirror, 1.0)[0] < 0.98
 
 
+def test_pairs_climb_together_as_they_do_alone():
+    """Sizes differ, so that shorter sides are padded; features may be absent on one side or both."""
+    rng = np.random.default_rng(8)
+    clouds = [[shapes._Cloud(cloud(rng, 4 + k % 5), cloud(rng, k % 3), rng.integers(0, 2, k % 3)) for k in range(s, s + 12)] for s in (0, 5)]
+    together = shapes.align_all(*clouds)
+    for k, (a, b) in enumerate(zip(*clouds, strict=True)):
+        for x, y in zip(together, shapes.align(a, b), strict=True):
+            assert np.allclose(x[k], y, atol=1e-6)
+
+
 def test_climb_is_monotone():
     rng = np.random.default_rng(4)
     a, b = cloud(rng, 8), cloud(rng, 8)
